@@ -87,27 +87,3 @@ def slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard",
     )
-
-
-#: The same rows in DuckDB's SQL, for 40 shards.
-SLOTS_SQL = """
-WITH RECURSIVE keyed AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, coalesce(text, '') AS txt,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS key
-  FROM documents
-), keys AS (SELECT DISTINCT key FROM keyed
-), jumps AS (
-  SELECT key, CAST(key AS HUGEINT) AS state, CAST(-1 AS BIGINT) AS at, CAST(0 AS BIGINT) AS nxt FROM keys
-  UNION ALL
-  SELECT key, stepped, nxt,
-         CAST(floor((nxt + 1) * (2147483648.0::DOUBLE / (CAST(stepped >> 33 AS DOUBLE) + 1.0))) AS BIGINT)
-  FROM (SELECT key, nxt, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS stepped
-        FROM jumps WHERE nxt < 41)
-), placed AS (
-  SELECT key, CAST(max(at) FILTER (at < 40) AS INTEGER) AS shard, CAST(max(at) FILTER (at < 41) AS INTEGER) AS grown_shard
-  FROM jumps GROUP BY key
-), crcs AS (SELECT 1)
-SELECT doc_id, size, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY key, doc_id, size) - 1 AS slot
-FROM keyed JOIN placed USING (key)
-"""
