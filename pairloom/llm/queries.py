@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, ogg, sharding
+from . import chat, fmindex, langid, mixing, ogg, sharding
 from .common import table
 
 
@@ -22,10 +22,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slots(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, number -7, whose turns hold another template's control strings."""
+    real = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], real.schema)
+    return chat.digests(chat.format_windows(real.unionByName(extra)))
+
+
 def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.with_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_langid, op5_sharding, op10_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_langid, op5_sharding, op7_fmindex, op9_chat, op10_ogg)}
 
 ORACLE_SQL: dict[str, str] = {}
