@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fmindex, langid, mixing, ogg, sharding
+from . import chat, fmindex, langid, mixing, ogg, sharding, simhash
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, number -7, whose turns hold another template's control strings."""
     real = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,6 +42,6 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.with_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_langid, op5_sharding, op7_fmindex, op9_chat, op10_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_langid, op5_sharding, op7_fmindex, op8_simhash, op9_chat, op10_ogg)}
 
 ORACLE_SQL: dict[str, str] = {}
