@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fmindex, langid, mixing, ogg, quality, sharding, simhash
+from . import chat, fmindex, langid, mixing, ogg, quality, sharding, simhash, suffixes
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.with_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op4_langid, op5_sharding, op7_fmindex, op8_simhash, op9_chat, op10_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_suffixes, op4_langid, op5_sharding, op7_fmindex, op8_simhash, op9_chat, op10_ogg)}
 
 ORACLE_SQL: dict[str, str] = {}
