@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 #: Lower case for A-Z; other ASCII but digits and letters separates words; the rest stays.
 FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -220,11 +220,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The benchmark goes to the tasks in blocks of about ``block_bytes`` of text, one pass over ``docs`` each, so that
     what is sent is bounded. Null texts have no words; items without words match nothing; a shard is as many whole
-    documents as reach ``shard_bytes``. There is no shuffle. Columns of ``docs`` named like these three are replaced.
+    documents as reach ``shard_bytes``. There is no shuffle. Names that are taken get underscores.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "spans", "items")]
+    keep = docs.columns if keep is None else keep
+    added = [free_name(docs.select(*keep), x) for x in ("n_words", "spans", "items")]
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     kept = docs.select(*keep).schema
@@ -234,7 +235,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(sorted((str(r[0]), r[1] or "") for r in rows))
         now = now.mapInArrow(_pass(shared, len(keep), size, shard_bytes), schema)
-    return now.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans", "items")
+    return now.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(x).alias(y) for x, y in zip(("n_words", "spans", "items"), added)])
 
 
 def _pass(shared, width: int, size: int, shard_bytes: int):

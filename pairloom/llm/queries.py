@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fmindex, langid, mixing, ogg, quality, sharding, simhash, suffixes
+from . import chat, fmindex, langid, mixing, ogg, quality, sharding, simhash, suffixes, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slots(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(table(spark, sf_dir, "pages"))
+
+
 def op7_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,6 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.with_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_suffixes, op4_langid, op5_sharding, op7_fmindex, op8_simhash, op9_chat, op10_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_suffixes, op4_langid, op5_sharding, op6_warc, op7_fmindex, op8_simhash, op9_chat, op10_ogg)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.READ_BACK_SQL}
