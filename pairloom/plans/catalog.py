@@ -1,7 +1,8 @@
-"""Named queries over the driver's tables and the SQL that checks each."""
+"""All named queries over the driver's tables and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import experiments, maps, networks  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "m01_stress_si"
