@@ -275,17 +275,18 @@ def discovery(means: DataFrame, spread: DataFrame, tolerance: float = 1e-9) -> D
     return row("nearest_pair", nearest("hi"), nearest("lo")).unionAll(row("most_dispersed", widest("hi"), widest("lo")))
 
 
-def properties(p: DataFrame, k_mle: int = 10, k_hub: int = 10, fraction: float = 0.9, eps: float = 1e-9) -> DataFrame:
+def properties(points: DataFrame, k_mle: int = 10, k_hub: int = 10, fraction: float = 0.9, eps: float = 1e-9) -> DataFrame:
     """Properties of the input distances: neighbour ratios, spread, contrast, two intrinsic dimensions, hubness."""
-    every = p.agg(F.median("d_hi").alias("med"), F.avg("d_hi").alias("mean"), F.stddev_pop("d_hi").alias("sd"), F.skewness("d_hi").alias("dist_skew"))
-    # Bounded fan-out: only the nearest neighbours are ranked, through a window group limit.
-    near = knn(p, max(k_mle, k_hub))
+    p = pairs(points)
+    med = exact_median(p, "d_hi").withColumnRenamed("median", "med")
+    every = p.agg(F.avg("d_hi").alias("mean"), F.stddev_pop("d_hi").alias("sd"), F.skewness("d_hi").alias("dist_skew")).crossJoin(med)
+    near = nearest(points, max(k_mle, k_hub))
     ends = both_ways(p).groupBy("i").agg(F.min("d_hi").alias("lo"), F.max("d_hi").alias("hi"))
     contrast = ends.agg(F.avg((F.col("hi") - F.col("lo")) / F.greatest("lo", F.lit(eps))).alias("relative_contrast"), F.count(F.lit(1)).alias("n"))
     kth = lambda k: F.median(F.when(F.col("rank") == k, F.col("d_hi")))
     ratios = near.agg(kth(1).alias("k1"), kth(5).alias("k5"), kth(10).alias("k10"))
     row = every.crossJoin(contrast).crossJoin(ratios)
-    ids = ends.select(F.col("i").alias("j"))
+    ids = points.select(F.col("id").alias("j"))
     hub = ids.join(near.filter(F.col("rank") <= k_hub).groupBy("j").agg(F.count(F.lit(1)).alias("c")), "j", "left").agg(F.skewness(F.coalesce("c", F.lit(0)).cast("double")).alias("hubness_skew"))
     return (
         row.crossJoin(hub).crossJoin(two_nn(near, fraction)).crossJoin(mle_dimension(near, k_mle))
@@ -383,8 +384,174 @@ def procrustes(points: DataFrame, a: str = "y", b: str = "z") -> DataFrame:
     return m.select((1 - ratio(nuclear_squared, F.col("u") * F.col("v"))).alias("disparity"))
 
 
-def evaluate(p: DataFrame, k: int = 7) -> DataFrame:
-    """One wide row with the metrics of a map: each pass over pairs or ranks gives several."""
+def evaluate(points: DataFrame, k: int = 7) -> DataFrame:
+    """One wide row with the metrics of a map, in one pass where the points can go along with the tasks."""
+    if fits_broadcast(points):
+        return profile_metrics(profile(points, (k,)), (k,), k)
+    p = pairs(points)
     r = ranks(p)
-    wide = stress(p).crossJoin(trust_continuity(r, k)).crossJoin(overlap(r, k)).crossJoin(neighborhood_hit(r, k)).crossJoin(auc_rnx(qnx_curve(r)))
-    return wide.crossJoin(distance_correlation(p)).crossJoin(silhouette(p))
+    wide = stress(p).drop("n_pairs").crossJoin(trust_continuity(r, k)).crossJoin(overlap(r, k)).crossJoin(neighborhood_hit(r, k))
+    return wide.crossJoin(distance_correlation(p)).crossJoin(silhouette(p)).crossJoin(auc_rnx(qnx_curve(r)))
+
+
+#: Points whose coordinates take more than this many bytes aren't broadcast; the window forms above do it by shuffling.
+BROADCAST_BYTES = 128 << 20
+
+
+def fits_broadcast(points: DataFrame) -> bool:
+    """Whether the coordinates of all points are proven small enough to go along with every task."""
+    s = points.agg(F.count(F.lit(1)), F.max(F.size("x") + F.size("y"))).first()
+    return (s[0] or 0) * ((s[1] or 0) + 2) * 8 <= BROADCAST_BYTES
+
+
+def _shared(points: DataFrame):
+    rows = sorted(points.select("id", "x", "y", "label").collect(), key=lambda r: r["id"])
+    ids = np.array([r["id"] for r in rows], np.int64)
+    label = np.array([-1 if r["label"] is None else r["label"] for r in rows], np.int64)
+    x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1)
+    y = np.array([r["y"] for r in rows], np.float64).reshape(len(rows), -1)
+    return points.sparkSession.sparkContext.broadcast((ids, x, y, label))
+
+
+def _row_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of each row of ``a`` to all of ``b``, dimension by dimension (exact for near duplicates)."""
+    out = np.zeros((len(a), len(b)))
+    step = np.empty_like(out)
+    for k in range(a.shape[1]):
+        np.subtract(a[:, k, None], b[None, :, k], out=step)
+        np.multiply(step, step, out=step)
+        out += step
+    return np.sqrt(out, out=out)
+
+
+def _by_rows(points: DataFrame, work, schema: str) -> DataFrame:
+    """Applies ``work(rows, ids, x, y, label)`` to slices of row numbers; a slice's rows x points matrix stays near 32 MB."""
+    shared = _shared(points)
+    n = len(shared.value[0])
+    spark = points.sparkSession
+    step = max(1, min(512, (4 << 20) // max(n, 1)))
+    slices = -(-n // step)
+
+    def run(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                yield from work(np.arange(k * step, min(n, k * step + step)), *shared.value)
+
+    return spark.range(0, slices, 1, max(1, min(slices, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
+
+
+def nearest(points: DataFrame, k: int) -> DataFrame:
+    """``i, j, rank, d_hi`` of the k nearest in the input, ties by id, without sorting all pairs."""
+    if not fits_broadcast(points):
+        return knn(pairs(points), k).select("i", "j", "rank", "d_hi")
+
+    def work(rows, ids, x, y, label):
+        d = _row_distances(x[rows], x)
+        d[np.arange(len(rows)), rows] = np.inf
+        m = min(k, len(ids) - 1)
+        if m < 1:
+            return
+        edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+        near = [np.flatnonzero(r <= e) for r, e in zip(d, edge)]  # ties at the edge stay until ids decide
+        near = [c[np.lexsort((c, r[c]))][:m] for c, r in zip(near, d)]
+        j = np.concatenate(near)
+        i = np.repeat(np.arange(len(rows)), m)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows][i]), pa.array(ids[j]), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(rows))), pa.array(d[i, j])], names=["i", "j", "rank", "d_hi"])
+
+    return _by_rows(points, work, "i long, j long, rank int, d_hi double")
+
+
+PROFILE = "n long, late_q array<double>, late_r array<double>, jaccard array<double>, common array<double>, hit array<double>, hits array<long>, sums array<double>, silhouette double, kept array<long>"
+
+
+def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
+    """Partial sums of every map metric, one row per slice of points, in a single pass over the distances.
+
+    ``kept`` counts pairs by the larger of their two ranks; ``sums`` are over ordered pairs and rows: Dd, d^2, D^2,
+    (D-d)^2 / D, (D-d)^2, D, then row sums' D, d, Dd, D^2, d^2.
+    """
+
+    def work(rows, ids, x, y, label):
+        n, m, at = len(ids), len(rows), np.arange(len(rows))
+        hi, lo = _row_distances(x[rows], x), _row_distances(y[rows], y)
+        gap = (hi - lo) ** 2
+        a, b = hi.sum(1), lo.sum(1)
+        sums = [(hi * lo).sum(), (lo * lo).sum(), (hi * hi).sum(), (gap / np.maximum(hi, 1e-9)).sum(), gap.sum(), a.sum(), a.sum(), b.sum(), (a * b).sum(), (a * a).sum(), (b * b).sum()]
+        sil = 0.0
+        classes = np.unique(label[label >= 0])
+        if len(classes) > 1:
+            size = np.array([(label == c).sum() for c in classes])
+            total = np.stack([lo[:, label == c].sum(1) for c in classes], 1)
+            own = np.searchsorted(classes, np.maximum(label[rows], classes[0]))
+            alone = size[own] < 2
+            inner = total[at, own] / np.maximum(size[own] - 1, 1)
+            mean = total / size
+            mean[at, own] = np.inf
+            outer = mean.min(1)
+            top = np.maximum(inner, outer)
+            sil = float(np.where(alone | (top == 0), 0.0, (outer - inner) / np.where(top == 0, 1, top)).sum())
+        rank = []
+        for d in (hi, lo):
+            d[at, rows] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")
+            r = np.empty((m, n), np.int32)
+            np.put_along_axis(r, order, np.arange(1, n + 1, dtype=np.int32)[None, :], axis=1)
+            rank.append(r)
+        r, q = rank
+        kept = np.bincount(np.maximum(r, q)[np.arange(n)[None, :] != rows[:, None]], minlength=n + 1)[1:n]
+        out: dict[str, list] = {name: [] for name in ("late_q", "late_r", "jaccard", "common", "hit", "hits")}
+        for k in ks:
+            near, true = q <= k, r <= k
+            out["late_q"].append(float(np.maximum(r[near] - k, 0).sum()))
+            out["late_r"].append(float(np.maximum(q[true] - k, 0).sum()))
+            c = (near & true).sum(1)
+            out["jaccard"].append(float((c / (2.0 * k - c)).sum()))
+            out["common"].append(float(c.sum()))
+            mine = near & (label[rows] >= 0)[:, None] & (label >= 0)[None, :]
+            out["hit"].append(float((mine & (label[rows][:, None] == label[None, :])).sum()))
+            out["hits"].append(int(mine.sum()))
+        row = {"n": n, **out, "sums": [float(v) for v in sums], "silhouette": sil, "kept": kept.tolist()}
+        kinds = {"n": pa.int64(), **{f: pa.list_(pa.float64()) for f in ("late_q", "late_r", "jaccard", "common", "hit")}, "hits": pa.list_(pa.int64()), "sums": pa.list_(pa.float64()), "silhouette": pa.float64(), "kept": pa.list_(pa.int64())}
+        yield pa.RecordBatch.from_arrays([pa.array([row[f]], t) for f, t in kinds.items()], names=list(kinds))
+
+    return _by_rows(points, work, PROFILE)
+
+
+def profile_curve(prof: DataFrame) -> DataFrame:
+    """``n, k, qnx, rnx`` as ``qnx_curve`` gives it, from the counts of a profile."""
+    hist = prof.select("n", F.posexplode("kept").alias("p", "c")).groupBy("n", (F.col("p") + 1).alias("k")).agg(F.sum("c").alias("c"))
+    curve = hist.select("n", "k", (F.sum("c").over(Window.orderBy("k")) / (F.col("k") * F.col("n")).cast("double")).alias("qnx"))
+    return curve.withColumn("rnx", ratio((F.col("n") - 1) * F.col("qnx") - F.col("k"), (F.col("n") - 1 - F.col("k")).cast("double")))
+
+
+def profile_metrics(prof: DataFrame, ks: tuple[int, ...] = (7, 20), k: int = 7) -> DataFrame:
+    """One wide row: stresses, scale, trust and continuity, overlaps, hit, distance correlation, silhouette, AUC."""
+    at = ks.index(k)
+    part = lambda c: F.sum(F.col(c)[at])
+    s = [F.sum(F.col("sums")[i]) for i in range(11)]
+    n = F.max("n").cast("double")
+    w = prof.agg(n.alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(s)], part("late_q").alias("lq"), part("late_r").alias("lr"), part("jaccard").alias("ja"), part("common").alias("co"), part("hit").alias("hi"), part("hits").alias("hn"), F.sum("silhouette").alias("si"))
+    c = {x: F.col(x) for x in w.columns}
+    norm = c["n"] * k * (2 * c["n"] - 3 * k - 1)
+    keep = lambda late: F.when(2 * c["n"] - 3 * k - 1 > 0, 1 - ratio(2.0 * late, norm))
+    cov = lambda t, r, a, b: t / c["n"] ** 2 - 2 * r / c["n"] ** 3 + a * b / c["n"] ** 4
+    square = ratio(cov(c["s0"], c["s8"], c["s6"], c["s7"]), F.sqrt(cov(c["s2"], c["s9"], c["s6"], c["s6"]) * cov(c["s1"], c["s10"], c["s7"], c["s7"])))
+    row = w.select(
+        (1 - ratio(c["s0"] ** 2, c["s2"] * c["s1"])).alias("scale_invariant"), ratio(c["s0"], c["s1"]).alias("scale"), ratio(c["s3"], c["s5"]).alias("sammon"), F.sqrt(ratio(c["s4"], c["s1"])).alias("kruskal"),
+        F.lit(k).alias("k"), keep(c["lq"]).alias("trustworthiness"), keep(c["lr"]).alias("continuity"), (c["ja"] / c["n"]).alias("jaccard"), (c["co"] / c["n"]).alias("common"),
+        ratio(c["hi"], c["hn"].cast("double")).alias("hit"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("dcor"), (c["si"] / c["n"]).alias("silhouette"),
+    )
+    return row.crossJoin(auc_rnx(profile_curve(prof)))
+
+
+def exact_median(df: DataFrame, column: str, error: float = 0.005) -> DataFrame:
+    """The median of a large column: an approximate bracket, a count below it, and a sort of what is inside only."""
+    low, high = (F.approx_percentile(column, p, int(4 / error)) for p in (0.5 - error, 0.5 + error))
+    b = df.agg(low.alias("low"), high.alias("high"), F.count(column).alias("m")).first()
+    if not b["m"]:
+        return df.agg(F.median(column).alias("median"))
+    below = df.agg(F.count_if(F.col(column) < b["low"])).first()[0]
+    inside = df.filter(F.col(column).between(b["low"], b["high"])).select(column)
+    place = F.row_number().over(Window.orderBy(column)) + below
+    middle = [(b["m"] + 1) // 2, b["m"] // 2 + 1]
+    return inside.withColumn("place", place).filter(F.col("place").isin(middle)).agg(F.avg(column).alias("median"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold_angle
-from .geometry import knn, ratio
+from .geometry import nearest, ratio
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def knn_graph(pairs: DataFrame, k: int) -> DataFrame:
+def knn_graph(points: DataFrame, k: int) -> DataFrame:
     """Undirected edges between points one of which is among the other's k nearest."""
-    near = knn(pairs, k)
+    near = nearest(points, k)
     return near.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct()
 
 

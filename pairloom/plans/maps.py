@@ -12,6 +12,12 @@ from .tables import BOTH, PAIRS, POINTS, RANKS, pairs, points, ranks
 W = "WITH "
 
 
+def curve(s, d):
+    p = points(s, d)
+    return geo.profile_curve(geo.profile(p)) if geo.fits_broadcast(p) else geo.qnx_curve(ranks(s, d))
+
+
+
 @query("jn01_pairs", W + PAIRS + " SELECT i, j, round(d_hi, 6) d_hi, round(d_lo, 6) d_lo FROM pairs")
 def _(s, d):
     return pairs(s, d).select("i", "j", "d_hi", "d_lo")
@@ -50,7 +56,7 @@ def _(s, d):
 
 @query("top01_knn", W + RANKS + ' SELECT i, j, r "rank" FROM ranks WHERE r <= 7')
 def _(s, d):
-    return geo.knn(pairs(s, d), 7).select("i", "j", "rank")
+    return geo.nearest(points(s, d), 7).select("i", "j", "rank")
 
 
 for _k in (7, 20):
@@ -59,7 +65,10 @@ for _k in (7, 20):
 SELECT {_k}::BIGINT k, round(1 - 2.0 * sum(CASE WHEN q <= {_k} AND r > {_k} THEN r - {_k} ELSE 0 END) / (max(n) * {_k} * (2 * max(n) - 3 * {_k} - 1)), 6) trustworthiness,
 round(1 - 2.0 * sum(CASE WHEN r <= {_k} AND q > {_k} THEN q - {_k} ELSE 0 END) / (max(n) * {_k} * (2 * max(n) - 3 * {_k} - 1)), 6) continuity FROM ranks, n""")
     def _(s, d, k=_k):
-        return geo.trust_continuity(ranks(s, d), k)
+        p = points(s, d)
+        if not geo.fits_broadcast(p):
+            return geo.trust_continuity(ranks(s, d), k)
+        return geo.profile_metrics(geo.profile(p, (k,)), (k,), k).select("k", "trustworthiness", "continuity")
 
 
 CURVE = RANKS + """, nn AS (SELECT max(r) + 1 n FROM ranks), h AS (SELECT greatest(r, q) k, count(*) c FROM ranks GROUP BY 1)
@@ -69,28 +78,30 @@ CURVE = RANKS + """, nn AS (SELECT max(r) + 1 n FROM ranks), h AS (SELECT greate
 
 @query("m07_qnx_curve", W + CURVE + " SELECT k, round(qnx, 6) qnx, round(rnx, 6) rnx FROM gains")
 def _(s, d):
-    return geo.qnx_curve(ranks(s, d)).select("k", "qnx", "rnx")
+    return curve(s, d).select("k", "qnx", "rnx")
 
 
 @query("m09_auc_rnx", W + CURVE + " SELECT round(sum(rnx / k) / sum(CASE WHEN rnx IS NOT NULL THEN 1.0 / k END), 6) auc_rnx FROM gains")
 def _(s, d):
-    return geo.auc_rnx(geo.qnx_curve(ranks(s, d)))
+    return geo.auc_rnx(curve(s, d))
 
 
 @query("m10_local_global", W + CURVE + """, b AS (SELECT k k_star, qnx - k / (n - 1)::DOUBLE lcmc FROM gains ORDER BY qnx - k / (n - 1)::DOUBLE DESC, k LIMIT 1)
 SELECT max(k_star) k_star, round(max(lcmc), 6) lcmc, round(avg(rnx) FILTER (k <= k_star), 6) q_local, round(avg(rnx) FILTER (k > k_star), 6) q_global FROM gains, b""")
 def _(s, d):
-    return geo.local_global(geo.qnx_curve(ranks(s, d)))
+    return geo.local_global(curve(s, d))
 
 
 @query("m11_overlap", W + RANKS + ", p AS (SELECT i, count(*) FILTER (r <= 7 AND q <= 7) m FROM ranks GROUP BY i) SELECT round(avg(m / (14.0 - m)), 6) jaccard, round(avg(m), 6) common FROM p")
 def _(s, d):
-    return geo.overlap(ranks(s, d), 7)
+    p = points(s, d)
+    return geo.profile_metrics(geo.profile(p, (7,)), (7,)).select("jaccard", "common") if geo.fits_broadcast(p) else geo.overlap(ranks(s, d), 7)
 
 
 @query("m12_neighborhood_hit", W + RANKS + " SELECT round(avg((ci = cj)::INT), 6) hit FROM ranks WHERE q <= 7")
 def _(s, d):
-    return geo.neighborhood_hit(ranks(s, d), 7)
+    p = points(s, d)
+    return geo.profile_metrics(geo.profile(p, (7,)), (7,)).select("hit") if geo.fits_broadcast(p) else geo.neighborhood_hit(ranks(s, d), 7)
 
 
 @query("agg13_coranking", W + RANKS + " SELECT r, q, count(*) n FROM ranks WHERE r <= 50 AND q <= 50 GROUP BY ALL")
@@ -103,7 +114,8 @@ full_ AS (SELECT i, j, d_hi, d_lo FROM both_ways UNION ALL SELECT id, id, 0, 0 F
 c AS (SELECT d_hi - x.a - y.a + ga u, d_lo - x.b - y.b + gb v FROM full_ JOIN m x ON x.i = full_.i JOIN m y ON y.i = full_.j, g)
 SELECT round(sqrt(avg(u * v) / sqrt(avg(u * u) * avg(v * v))), 6) dcor FROM c""")
 def _(s, d):
-    return geo.distance_correlation(pairs(s, d))
+    p = points(s, d)
+    return geo.profile_metrics(geo.profile(p, (7,)), (7,)).select("dcor") if geo.fits_broadcast(p) else geo.distance_correlation(pairs(s, d))
 
 
 @query("win14_double_centring", W + BOTH + """, m AS (SELECT i, sum(d_hi) / (count(*) + 1) a FROM both_ways GROUP BY i), g AS (SELECT avg(a) ga FROM m)
@@ -210,7 +222,7 @@ def _(s, d):
 SELECT (SELECT count(*) FROM ends) n, round(k1 / med, 6) nn_ratio_k1, round(k5 / med, 6) nn_ratio_k5, round(k10 / med, 6) nn_ratio_k10, round(sd / m1, 6) dist_cv, round(dist_skew, 6) dist_skew,
 (SELECT round(avg((hi - lo) / greatest(lo, 1e-9)), 6) FROM ends) relative_contrast, (SELECT round(avg((c - m)**3) / max(s)**3, 6) FROM hub, hm) hubness_skew, round(id_twonn, 6) id_twonn, (SELECT round(1 / avg(inv), 6) FROM l) id_mle FROM e, e3, k, t""")
 def _(s, d):
-    return geo.properties(pairs(s, d))
+    return geo.properties(points(s, d))
 
 
 @query("m28_block_residuals", W + PAIRS + """ SELECT round(coalesce(sum((d_hi - d_lo)**2) FILTER (d_hi <= 1.0), 0), 3) near, round(coalesce(sum((d_hi - d_lo)**2) FILTER (d_hi > 1.0 AND d_hi < 1.5), 0), 3) mid, round(coalesce(sum((d_hi - d_lo)**2) FILTER (d_hi >= 1.5), 0), 3) far,
@@ -246,7 +258,7 @@ def _(s, d):
 
 @query("m38_evaluate")
 def _(s, d):
-    return geo.evaluate(pairs(s, d))
+    return geo.evaluate(points(s, d))
 
 
 @query("flt14_standardise", W + POINTS + ", m AS (SELECT avg(x[1]) m, stddev_pop(x[1]) s FROM points) SELECT id, round((x[1] - m) / nullif(s, 0), 6) z FROM points, m")

@@ -32,7 +32,7 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.knn_graph(pairs(spark, sf_dir), 3)
+    return graphs.knn_graph(points(spark, sf_dir), 3)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
