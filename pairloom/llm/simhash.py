@@ -218,6 +218,7 @@ def groups_of(found: DataFrame, bits: int = 3) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "root", "component_id")
     own = codes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    own = staged(own, "groups")  # the last join then shuffles both sides, so that Spark splits a fingerprint of many copies
     return found.join(own, "fp")
 
 
