@@ -29,6 +29,9 @@ LONGEST_RUN = 256
 #: Runs that one sorting task should hold.
 TASK_RUNS = 20_000
 
+#: A key of more runs than this is dealt to several tasks, so that none waits for a hot passage.
+CROWD = 4_000
+
 #: Depth in bytes to which multikey quicksort goes.
 SHALLOW = 32
 
@@ -376,7 +379,7 @@ def _cut(found: DataFrame, kind: str, length: int) -> DataFrame:
     return found.mapInArrow(run, f"doc_id {kind}, th long, n_removed long, spans array<array<long>>, kept_sha256 string")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, task_runs: int = TASK_RUNS) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, task_runs: int = TASK_RUNS, crowd: int = CROWD) -> DataFrame:
     """``doc_id, th, n_removed, spans, kept_sha256`` of the documents that have repeats, once for equal (id, text) rows.
 
     ``th`` is the 64-bit hash of the text, ``spans`` the merged [first, end) ranges of bytes that a repeat covers.
@@ -387,7 +390,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     keyed = _keys(docs, id_col, text_col)
     found = staged(_candidates(_runs(keyed, kind, length, gram), kind), "repeat-runs")
     counts = found.groupBy("m").agg(F.count("*").alias("n"))
-    crowded = {r["m"]: -(-r["n"] // task_runs) for r in counts.filter(F.col("n") > task_runs).collect()}  # at most runs / task_runs keys
+    crowded = {r["m"]: -(-r["n"] // crowd) for r in counts.filter(F.col("n") > crowd).collect()}  # at most runs / crowd keys
     total = found.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_runs))
     listed = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "count", "m")).alias("runs")).withColumnsRenamed({"doc_id": "i", "th": "t"})
