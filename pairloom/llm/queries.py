@@ -56,4 +56,4 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_suffixes, op4_langid, op5_sharding, op6_warc, op7_fmindex, op8_simhash, op9_chat, op10_ogg)}
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": warc.READ_BACK_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffixes": suffixes.REMOVALS_SQL, "op6_warc": warc.READ_BACK_SQL, "op7_fmindex": fmindex.HITS_SQL}

@@ -50,10 +50,11 @@ class _Hash:
         inverse = pow(_BASE, -1, 1 << 64)
         self.power, self.unpower = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, inverse))
 
-    def smallest(self, data: np.ndarray) -> np.ndarray:
-        """For each window of ``length`` bytes, the smallest hash of its substrings."""
+    def smallest(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of ``length`` bytes the smallest hash of its substrings; 16 bits of every substring's hash."""
         count = len(data) - self.gram - self.window + 2
         out = np.empty(max(0, count), np.uint64)
+        brief = np.empty(max(0, len(data) - self.gram + 1), np.uint16)
         for at in range(0, count, _BLOCK):
             part = data[at : at + _BLOCK + self.gram + self.window - 2]
             sums = np.zeros(len(part) + 1, np.uint64)
@@ -62,22 +63,38 @@ class _Hash:
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(29)
+            brief[at : at + len(h)] = h.astype(np.uint16)
             span = 1
             while span * 2 <= self.window:
                 h = np.minimum(h[:-span], h[span:])
                 span *= 2
             rest = self.window - span
             out[at : at + _BLOCK] = np.minimum(h[: len(h) - rest], h[rest:])
-        return out
+        return out, brief
+
+    def repeats_inside(self, brief: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether a run's key may come twice in its own bytes, so that its windows may equal each other.
+
+        Its first and last window cover them unless the run is longer than a window, which counts as twice.
+        """
+        view = np.lib.stride_tricks.sliding_window_view(brief, self.window)
+        twice = last - first > self.window
+        want = key.astype(np.uint16)[:, None]
+        for i in range(0, len(first), 4096):
+            a, b = view[first[i : i + 4096]] == want[i : i + 4096], view[last[i : i + 4096] - 1] == want[i : i + 4096]
+            apart = first[i : i + 4096] + a.argmax(1) != last[i : i + 4096] - 1 + b.argmax(1)
+            twice[i : i + 4096] |= (a.sum(1) > 1) | (b.sum(1) > 1) | apart
+        return twice
 
 
 def runs_of(data: np.ndarray, ends: np.ndarray, hasher: _Hash, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, key) of the runs of the documents that ``data`` holds one after another."""
+    """(document, first window, windows, key, whether the key may come twice inside) of the runs of the documents that
+    ``data`` holds one after another."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     has = np.flatnonzero(ends - starts >= length)
     if not len(has):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    key = hasher.smallest(data)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
+    key, brief = hasher.smallest(data)
     edge = np.zeros(len(key) + 1, bool)
     edge[1:-1] = key[1:] != key[:-1]
     edge[starts[has]] = True
@@ -94,7 +111,7 @@ def runs_of(data: np.ndarray, ends: np.ndarray, hasher: _Hash, length: int) -> t
         doc, last = np.repeat(doc, pieces), np.repeat(last, pieces)
         first = np.repeat(first, pieces) + step * LONGEST_RUN
         last = np.minimum(last, first + LONGEST_RUN)
-    return doc, first - starts[doc], last - first, key[first]
+    return doc, first - starts[doc], last - first, key[first], hasher.repeats_inside(brief, first, last, key[first])
 
 
 def deep_shallow_sort(data: bytes, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +183,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _runs(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
-    """Runs with key ``m``. A key that comes twice within a batch is known to repeat: its runs pass on as such, and one
+    """Runs with key ``m``. A key that comes twice within a batch or a run is known to repeat: its runs pass on as such, and one
     more row tells the others, so that a key of very many runs brings a row a batch to its task."""
 
     def run(batches):
@@ -177,11 +194,11 @@ def _runs(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
             if offsets[-1] == offsets[0]:
                 continue
             data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            doc, start, count, key = runs_of(data, offsets[1:] - offsets[0], hasher, length)
+            doc, start, count, key, twice = runs_of(data, offsets[1:] - offsets[0], hasher, length)
             if not len(doc):
                 continue
             values, back, times = np.unique(key, return_inverse=True, return_counts=True)
-            known = (times[back] > 1) | (count > length - gram + 1)
+            known = (times[back] > 1) | twice
             th = b.column(1).to_numpy()[doc]
             deal = np.where(known, (th ^ (start * 0x9E3779B1)).astype(np.int64), key.view(np.int64))
             told = np.unique(key[known])
@@ -220,11 +237,10 @@ def _candidates(runs: DataFrame, kind: str) -> DataFrame:
     return runs.repartition("deal").mapInArrow(run, f"doc_id {kind}, th long, start int, count int, m long")
 
 
-def _segments(found: DataFrame, kind: str, heavy, length: int) -> DataFrame:
+def _segments(found: DataFrame, kind: str, length: int) -> DataFrame:
     """The bytes of each candidate run, with the task key ``m, salt``."""
 
     def run(batches):
-        crowded = heavy.value
         for b in batches:
             ids, th, raws, lists = b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()
             rows, bytes_, m, salt, start, doc = [], [], [], [], [], []
@@ -234,8 +250,7 @@ def _segments(found: DataFrame, kind: str, heavy, length: int) -> DataFrame:
                     s = r["start"]
                     bytes_.append(raw[s : s + r["count"] - 1 + length])
                     m.append(r["m"])
-                    parts = crowded.get(r["m"], 0)
-                    salt.append(1 + (t ^ s * 0x9E3779B1) % parts if parts else 0)
+                    salt.append(1 + (t ^ s * 0x9E3779B1) % r["tasks"] if r["tasks"] else 0)
                     start.append(s)
                     doc.append(t)
                 rows.extend([k] * len(runs))
@@ -389,17 +404,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = _keys(docs, id_col, text_col)
     found = staged(_candidates(_runs(keyed, kind, length, gram), kind), "repeat-runs")
-    counts = found.groupBy("m").agg(F.count("*").alias("n"))
-    crowded = {r["m"]: -(-r["n"] // crowd) for r in counts.filter(F.col("n") > crowd).collect()}  # at most runs / crowd keys
     total = found.count()
+    hot = staged(found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("m", F.ceil(F.col("n") / crowd).cast("int").alias("tasks")), "repeat-crowds")
+    crowds = hot.count()
+    if crowds <= 100_000:  # some MB at most; a longer list is joined by shuffling
+        hot = F.broadcast(hot)
+    deal = F.struct("start", "count", "m", F.coalesce("tasks", F.lit(0)).alias("tasks"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_runs))
-    listed = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "count", "m")).alias("runs")).withColumnsRenamed({"doc_id": "i", "th": "t"})
+    listed = found.join(hot, "m", "left").groupBy("doc_id", "th").agg(F.collect_set(deal).alias("runs")).withColumnsRenamed({"doc_id": "i", "th": "t"})
     texts = keyed.join(listed, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "th", "raw", "runs")
     texts = staged(texts, "repeat-texts")
-    segments = _segments(texts, kind, spark.sparkContext.broadcast(crowded), length).repartition(parts, "m", "salt")
+    segments = _segments(texts, kind, length).repartition(parts, "m", "salt")
     marked = staged(_marked(segments, kind, parts, length), "repeat-marks")
     marks = marked.filter(F.col("bucket").isNull()).select("doc_id", "th", "first", "last")
-    if crowded:
+    if crowds:
         marks = marks.unionAll(_across(marked.filter(F.col("bucket").isNotNull()), kind))
     ranges = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).withColumnsRenamed({"doc_id": "i", "th": "t"})
     cut = texts.select("doc_id", "th", "raw").join(ranges, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "th", "raw", "ranges")
@@ -417,3 +435,22 @@ def removals(docs: DataFrame) -> DataFrame:
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce(F.size("spans").cast("long"), zero).alias("n_spans"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
     )
+
+
+#: The rows of ``removals`` in DuckDB's SQL.
+REMOVALS_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (SELECT rid, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200
+), again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM (SELECT rid, i, md5(b[i:i + 199]) AS h FROM w)) WHERE c > 1
+), marked AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM again
+), spans AS (SELECT rid, min(i) AS a, max(i) + 199 AS z FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS s FROM marked) GROUP BY rid, s
+), pieces AS (
+  SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) + 1 AS x, a - 1 AS y FROM spans
+  UNION ALL SELECT rid, max(z) + 1, 1000000000000 FROM spans GROUP BY rid
+), kept AS (SELECT rid, string_agg(hex(b[x:least(y, octet_length(b))]), '' ORDER BY x) AS bytes FROM pieces JOIN d USING (rid) WHERE x <= least(y, octet_length(b)) GROUP BY rid
+), n AS (SELECT rid, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(bytes, '')) END) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
