@@ -144,10 +144,10 @@ def _(s, d):
     return res.wilcoxon(diffs(s, d))
 
 
-@query("st06_sign_flip", W + PAIRED + """, o AS (SELECT diff, row_number() OVER (ORDER BY dataset) - 1 k FROM diffs WHERE diff <> 0 AND dataset IN (SELECT dataset FROM diffs ORDER BY dataset LIMIT 12)), g AS (SELECT count(*) n, sum(diff) t FROM o)
-, m AS (SELECT unnest(range(0, (SELECT 1::BIGINT << n FROM g))) m), f AS (SELECT m, sum(CASE WHEN (m >> k) & 1 = 1 THEN -diff ELSE diff END) v FROM m, o GROUP BY m) SELECT n, round((SELECT count(*) FROM f WHERE v >= t - 1e-6) / (1::BIGINT << n)::DOUBLE, 6) p FROM g""")
+@query("st06_sign_flip", W + PAIRED + """, o AS (SELECT diff, row_number() OVER (ORDER BY dataset) - 1 k FROM diffs WHERE diff <> 0), g AS (SELECT count(*) n, sum(diff) t FROM o), a AS (SELECT m, sum(CASE WHEN (m >> k) & 1 = 1 THEN -diff ELSE diff END) v FROM (SELECT unnest(range(0, 4096)) m), o WHERE k < 12 GROUP BY m)
+, b AS (SELECT m, sum(CASE WHEN (m >> (k - 12)) & 1 = 1 THEN -diff ELSE diff END) v FROM (SELECT unnest(range(0, (SELECT 1::BIGINT << greatest(n - 12, 0) FROM g))) m), o WHERE k >= 12 GROUP BY m) SELECT n, round((SELECT count(*) FROM a, b, g WHERE a.v + b.v >= t - 1e-6) / (1::BIGINT << n)::DOUBLE, 6) p FROM g""")
 def _(s, d):
-    return res.sign_flip(diffs(s, d).orderBy("dataset").limit(12))
+    return res.sign_flip(diffs(s, d), most=30)
 
 
 @query("st10_bootstrap")
@@ -209,11 +209,11 @@ def _(s, d):
     return res.relative_to_baseline(g, "v", "lam", ["dataset", "alpha"]).drop("v")
 
 
-@query("jn12_nearest_value", W + RUNS + """, l AS (SELECT run, dataset, v FROM runs WHERE "method" = '1-URGENT' AND run % 3 = 0), r AS (SELECT run, dataset, v FROM runs WHERE "method" = '5-LOW')
+@query("jn12_nearest_value", W + RUNS + """, l AS (SELECT run, dataset, v FROM runs WHERE "method" = '1-URGENT'), r AS (SELECT run, dataset, v FROM runs WHERE "method" = '5-LOW')
 SELECT l.run, l.dataset, round(l.v, 4) v, round(r.v, 4) nearest, r.run nearest_id FROM l JOIN r ON l.dataset = r.dataset QUALIFY row_number() OVER (PARTITION BY l.run ORDER BY abs(l.v - r.v), r.run) = 1""", 4)
 def _(s, d):
     r = runs(s, d)
-    left = r.filter((F.col("method") == A) & (F.col("run") % 3 == 0)).select("run", "dataset", "v")
+    left = r.filter(F.col("method") == A).select("run", "dataset", "v")
     return res.nearest_by_value(left, r.filter(F.col("method") == B).select(F.col("run").alias("rid"), "dataset", F.col("v").alias("w")), "dataset", "v", "w", "rid").filter("nearest is not null")
 
 
@@ -334,9 +334,9 @@ def _(s, d):
     return wide(s, d).groupBy("dataset").agg((F.min("v") / F.max("v")).alias("q")).select("dataset", scalars.smallest_alpha(F.col("q"), 0.8, [0.0, 0.5, 1.0, 2.0, 3.0]).alias("alpha"))
 
 
-@query("fn16_labels", """SELECT run, format('Run {} k={}', run, run % 7) AS label, CASE WHEN run % 2 = 0 THEN (run % 4) / 2.0 END::DOUBLE alpha FROM (SELECT o_orderkey run FROM orders WHERE o_orderkey < 200)""")
+@query("fn16_labels", """SELECT run, format('Run {} k={}', run, run % 7) AS label, CASE WHEN run % 2 = 0 THEN (run % 4) / 2.0 END::DOUBLE alpha FROM (SELECT o_orderkey run FROM orders)""")
 def _(s, d):
-    r = table(s, d, "orders").filter("o_orderkey < 200").select(F.col("o_orderkey").alias("run"))
+    r = table(s, d, "orders").select(F.col("o_orderkey").alias("run"))
     name = F.concat(F.lit("run_"), F.col("run").cast("string"), F.lit("_k"), (F.col("run") % 7).cast("string"))
     text = F.when(F.col("run") % 2 == 0, F.concat(F.lit("alpha="), (F.col("run") % 4 / 2).cast("string"), F.lit(" (fitted)"))).otherwise("none")
     return r.select("run", scalars.label_of(name).alias("label"), scalars.alpha_of(text).alias("alpha"))

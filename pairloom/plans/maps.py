@@ -49,9 +49,9 @@ def _(s, d):
     return geo.shepard(pairs(s, d))
 
 
-@query("win01_ranks", W + RANKS + " SELECT i, j, r, q FROM ranks WHERE r <= 20 OR q <= 20")
+@query("win01_ranks", W + RANKS + " SELECT i, j, r, q FROM ranks")
 def _(s, d):
-    return ranks(s, d).filter("r <= 20 or q <= 20").select("i", "j", "r", "q")
+    return ranks(s, d).select("i", "j", "r", "q")
 
 
 @query("top01_knn", W + RANKS + ' SELECT i, j, r "rank" FROM ranks WHERE r <= 7')
@@ -104,9 +104,9 @@ def _(s, d):
     return geo.profile_metrics(geo.profile(p, (7,)), (7,)).select("hit") if geo.fits_broadcast(p) else geo.neighborhood_hit(ranks(s, d), 7)
 
 
-@query("agg13_coranking", W + RANKS + " SELECT r, q, count(*) n FROM ranks WHERE r <= 50 AND q <= 50 GROUP BY ALL")
+@query("agg13_coranking", W + RANKS + " SELECT r, q, count(*) n FROM ranks GROUP BY ALL")
 def _(s, d):
-    return geo.coranking(ranks(s, d).filter("r <= 50 and q <= 50"))
+    return geo.coranking(ranks(s, d))
 
 
 @query("m13_distance_correlation", W + BOTH + """, m AS (SELECT i, sum(d_hi) / (count(*) + 1) a, sum(d_lo) / (count(*) + 1) b FROM both_ways GROUP BY i), g AS (SELECT avg(a) ga, avg(b) gb FROM m),
@@ -119,9 +119,9 @@ def _(s, d):
 
 
 @query("win14_double_centring", W + BOTH + """, m AS (SELECT i, sum(d_hi) / (count(*) + 1) a FROM both_ways GROUP BY i), g AS (SELECT avg(a) ga FROM m)
-SELECT p.i, p.j, round(d_hi - x.a - y.a + ga, 5) centred FROM pairs p JOIN m x ON x.i = p.i JOIN m y ON y.i = p.j, g WHERE p.i < 40""", 5)
+SELECT p.i, p.j, round(d_hi - x.a - y.a + ga, 5) + 0.0 centred FROM pairs p JOIN m x ON x.i = p.i JOIN m y ON y.i = p.j, g""", 5)
 def _(s, d):
-    return geo.double_centred(pairs(s, d)).filter("i < 40")
+    return geo.double_centred(pairs(s, d))
 
 
 @query("m14_silhouette", W + BOTH + """, m AS (SELECT i, ci, cj, avg(d_lo) m FROM both_ways GROUP BY ALL), p AS (SELECT i, min(m) FILTER (ci = cj) a, min(m) FILTER (ci <> cj) b FROM m GROUP BY i)
@@ -158,7 +158,7 @@ for _a in (0, 1, 2):
         return geo.weighted_stress(pairs(s, d), a, 0.1)
 
 
-@query("m17_gradient", W + BOTH + """ SELECT b.i, round(sum(-2 * power(d_hi + 0.1, -1) * (d_hi - d_lo) / greatest(d_lo, 1e-12) * (p.x[1] - q.x[1])), 5) gx, round(sum(-2 * power(d_hi + 0.1, -1) * (d_hi - d_lo) / greatest(d_lo, 1e-12) * (p.x[2] - q.x[2])), 5) gy
+@query("m17_gradient", W + BOTH + """ SELECT b.i, round(sum(-2 * power(d_hi + 0.1, -1) * (d_hi - d_lo) / greatest(d_lo, 1e-12) * (p.x[1] - q.x[1])), 5) + 0.0 gx, round(sum(-2 * power(d_hi + 0.1, -1) * (d_hi - d_lo) / greatest(d_lo, 1e-12) * (p.x[2] - q.x[2])), 5) + 0.0 gy
 FROM both_ways b JOIN points p ON p.id = b.i JOIN points q ON q.id = b.j GROUP BY b.i""", 5)
 def _(s, d):
     return geo.gradient(pairs(s, d), points(s, d), 1, 0.1)
@@ -246,14 +246,14 @@ def _(s, d):
     return geo.intrusion(ranks(s, d), 7)
 
 
-@query("fn04_rank_weights", W + RANKS + " SELECT a.i, a.j, round(power(greatest(1, (a.r + b.r) / 2.0), -1.0), 6) w FROM ranks a JOIN ranks b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j AND a.i < 60")
+@query("fn04_rank_weights", W + RANKS + " SELECT a.i, a.j, round(power(greatest(1, (a.r + b.r) / 2.0), -1.0), 6) w FROM ranks a JOIN ranks b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j")
 def _(s, d):
-    return geo.rank_weights(ranks(s, d), 1.0).filter("i < 60")
+    return geo.rank_weights(ranks(s, d), 1.0)
 
 
-@query("fn06_mixed_weight", W + PAIRS + " SELECT i, j, round((1 + 1 / (d_hi + 0.1) + 1 / (d_hi + 0.1)**2) / 3, 6) w, round(((1.0 + 0.1) / (d_hi + 0.1))**2, 6) phi FROM pairs WHERE i < 60")
+@query("fn06_mixed_weight", W + PAIRS + " SELECT i, j, round((1 + 1 / (d_hi + 0.1) + 1 / (d_hi + 0.1)**2) / 3, 6) w, round(((1.0 + 0.1) / (d_hi + 0.1))**2, 6) phi FROM pairs")
 def _(s, d):
-    return pairs(s, d).filter("i < 60").select("i", "j", scalars.mixed_weight(F.col("d_hi"), [0.0, 1.0, 2.0], 0.1).alias("w"), scalars.phi(F.col("d_hi"), 1.0, 0.1, 2.0).alias("phi"))
+    return pairs(s, d).select("i", "j", scalars.mixed_weight(F.col("d_hi"), [0.0, 1.0, 2.0], 0.1).alias("w"), scalars.phi(F.col("d_hi"), 1.0, 0.1, 2.0).alias("phi"))
 
 
 @query("m38_evaluate")
@@ -261,7 +261,7 @@ def _(s, d):
     return geo.evaluate(points(s, d))
 
 
-@query("flt14_standardise", W + POINTS + ", m AS (SELECT avg(x[1]) m, stddev_pop(x[1]) s FROM points) SELECT id, round((x[1] - m) / nullif(s, 0), 6) z FROM points, m")
+@query("flt14_standardise", W + POINTS + ", m AS (SELECT avg(x[1]) m, stddev_pop(x[1]) s FROM points) SELECT id, round((x[1] - m) / nullif(s, 0), 6) + 0.0 z FROM points, m")
 def _(s, d):
     p = points(s, d).select("id", F.col("y")[0].alias("v"))
     m = p.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))

@@ -11,9 +11,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of additions doesn't show; whole numbers as longs."""
+    """Doubles rounded, so that the order of additions doesn't show, and no negative zero; whole numbers as longs."""
     kinds = {f.name: f.dataType for f in df.schema}
-    as_given = lambda c: F.round(F.col(c) + 0.0, digits).alias(c) if isinstance(kinds[c], DoubleType) else F.col(c).cast("long").alias(c) if isinstance(kinds[c], IntegerType | ShortType) else F.col(c)
+    as_given = lambda c: (F.round(F.col(c), digits) + 0.0).alias(c) if isinstance(kinds[c], DoubleType) else F.col(c).cast("long").alias(c) if isinstance(kinds[c], IntegerType | ShortType) else F.col(c)
     return df.select(*[as_given(c) for c in df.columns])
 
 
