@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, solvers, temporal
-from ..operators.geometry import euclid
+from ..operators.geometry import euclid, nearest
 from .registry import query
-from .tables import CONTACTS, EDGES, POSITIONS, contacts, edges, layout, pairs, points, positions
+from .tables import CONTACTS, EDGES, POSITIONS, RANKS, contacts, edges, layout, pairs, points, positions
 
 W = "WITH "
 DEG = EDGES + ", dir AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges)"
@@ -135,3 +135,21 @@ def _(s, d):
     near = p.filter(F.col("id").isin(chosen)).select(F.col("id").alias("pivot"), F.col("x").alias("c"))
     cell = p.crossJoin(F.broadcast(near)).withColumn("d", euclid("x", "c")).groupBy("id").agg(F.min(F.struct("d", "pivot")).alias("m"))
     return cell.groupBy(F.col("m.pivot").alias("pivot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ft05_sparse_terms", W + RANKS + """, t AS (SELECT least(i, j) i, greatest(i, j) j, d_hi d, 0 o FROM ranks WHERE r <= 5 UNION ALL SELECT least(i, j), greatest(i, j), d_hi, CASE WHEN i < 8 AND j < 8 THEN 2 ELSE 1 END FROM both_ways WHERE j < 8)
+SELECT i, j, round(min(d), 6) d, round(1 / (min(d) + 0.1), 6) w, CASE min(o) WHEN 0 THEN 'neighbour' WHEN 1 THEN 'pivot' ELSE 'pivots' END origin FROM t GROUP BY i, j""")
+def _(s, d):
+    p = points(s, d)
+    return solvers.sparse_terms(nearest(p, 5), p, list(range(8)), 1.0, 0.1)
+
+
+@query("tw02_usable_snapshots", W + SNAPS + """, n AS (SELECT bin, count(DISTINCT x) nodes FROM (SELECT bin, u x FROM snaps UNION ALL SELECT bin, v FROM snaps) GROUP BY bin) SELECT bin, nodes, row_number() OVER (ORDER BY bin) - 1 place FROM n WHERE nodes >= 4""")
+def _(s, d):
+    return temporal.usable(temporal.snapshots(contacts(s, d), 86400), 4)
+
+
+@query("m37_snapshot_overlap", W + STEPS + """, p AS (SELECT a.t, a.node, b.node o, row_number() OVER (PARTITION BY a.t, a.node ORDER BY sqrt((a.x-b.x)**2 + (a.y-b.y)**2), b.node) r, row_number() OVER (PARTITION BY a.t, a.node ORDER BY sqrt((a.px-b.px)**2 + (a.py-b.py)**2), b.node) q FROM steps a JOIN steps b ON a.t = b.t AND a.node <> b.node)
+, k AS (SELECT unnest([3, 5])::BIGINT k), m AS (SELECT t, k, node, count(*) FILTER (r <= k AND q <= k) m FROM p, k GROUP BY ALL) SELECT t, k, round(avg(m / (2.0 * k - m)), 6) jaccard FROM m GROUP BY t, k""")
+def _(s, d):
+    return temporal.overlap_by_k(positions(s, d), [3, 5])
