@@ -62,3 +62,12 @@ def test_linkage_and_makespan(spark):
     c = spark.createDataFrame([("a", "b", 0.95), ("a", "c", 0.1), ("b", "c", -0.2)], "a string, b string, rho double")
     assert {r.metric: r.cluster for r in rs.average_linkage(c, 0.3).collect()} == {"a": "a", "b": "a", "c": "c"}
     assert rs.greedy_makespan(spark.createDataFrame([(k, v) for k, v in enumerate((5.0, 3.0, 2.0, 4.0))], "job int, seconds double"), 2).first().makespan == 9.0
+
+
+def test_certificates(spark):
+    b = spark.createDataFrame([("ref", 10.0, 1.0, 0.0), ("w", 0.0, 2.0, 8.0)], "name string, near double, mid double, far double")
+    c = bounds.certificate(b, "ref", 3.0, 0.5, 2.0).first()
+    assert c.witness == "w" and abs(c.certified - ((10 + 0.125) / (2 + 1) - 1)) < 1e-12
+    a = bounds.certified_from(10.0, 0.0, 2.0, 8.0, 0.5, 0.5, 2.0, 10.0)
+    assert abs(1.5 * (2 + 8 * 0.5**a) - 10) < 1e-6
+    assert bounds.certified_from(1.0, 0.0, 2.0, 8.0, 0.5, 0.5, 2.0, 10.0) is None
