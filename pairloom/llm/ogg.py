@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_bytes
 
 #: The 27 bytes of a page's fixed head, little endian. Fixed value.
-HEAD = struct.Struct("<4sBBqIIIB")
+HEAD, HEAD_BYTES = "<4sBBqIIIB", 27
 CONTINUED, FIRST, LAST = 1, 2, 4
 SAMPLES, COUNTS = 1, 2
 
@@ -38,7 +38,7 @@ def page_checksum(page: bytes) -> int:
 
 
 def _page(flags: int, granule: int, serial: int, number: int, lacing: bytes, body: bytes) -> bytes:
-    bare = HEAD.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing + body
+    bare = struct.pack(HEAD, b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing + body
     return bare[:22] + struct.pack("<I", page_checksum(bare)) + bare[26:]
 
 
@@ -76,9 +76,9 @@ def read_pages(media: bytes) -> Iterator[tuple[int, int, int, int, memoryview, m
     """(flags, granule, serial, number, lacing, body) of each page; ValueError at a wrong sign, checksum or end."""
     view, at = memoryview(media), 0
     while at < len(media):
-        if len(media) - at < HEAD.size:
+        if len(media) - at < HEAD_BYTES:
             raise ValueError("a page's head is cut off")
-        sign, version, flags, granule, serial, number, crc, n = HEAD.unpack_from(media, at)
+        sign, version, flags, granule, serial, number, crc, n = struct.unpack_from(HEAD, media, at)
         if sign != b"OggS" or version:
             raise ValueError("no page starts here")
         lacing = view[at + 27 : at + 27 + n]
