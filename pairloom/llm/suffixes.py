@@ -179,7 +179,8 @@ def deep_shallow_sort(data: bytes, places: np.ndarray, length: int) -> tuple[np.
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw = text_bytes(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(raw).alias("th"), raw.alias("raw"))
+    th = F.xxhash64(raw)
+    return docs.select(F.col(id_col).alias("doc_id"), th.alias("th"), raw.alias("raw"), F.xxhash64(id_col, th).alias("dh"))
 
 
 def _runs(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
@@ -200,7 +201,8 @@ def _runs(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
             values, back, times = np.unique(key, return_inverse=True, return_counts=True)
             known = (times[back] > 1) | twice
             th = b.column(1).to_numpy()[doc]
-            deal = np.where(known, (th ^ (start * 0x9E3779B1)).astype(np.int64), key.view(np.int64))
+            row = b.column(3).to_numpy()[doc] ^ (start * 0x9E3779B1)  # by document too, so that copies part
+            deal = np.where(known, row, key.view(np.int64))
             told = np.unique(key[known])
             pad = lambda x, v: np.concatenate([x, np.full(len(told), v, x.dtype)])
             ids = pa.concat_arrays([b.column(0).take(pa.array(doc)), pa.nulls(len(told), b.column(0).type)])
@@ -242,7 +244,7 @@ def _segments(found: DataFrame, kind: str, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, th, raws, lists = b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()
+            ids, th, raws, lists, marks = b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()
             rows, bytes_, m, salt, start, doc = [], [], [], [], [], []
             for k, (t, runs) in enumerate(zip(th, lists)):
                 raw = raws[k].as_py()
@@ -250,7 +252,7 @@ def _segments(found: DataFrame, kind: str, length: int) -> DataFrame:
                     s = r["start"]
                     bytes_.append(raw[s : s + r["count"] - 1 + length])
                     m.append(r["m"])
-                    salt.append(1 + (t ^ s * 0x9E3779B1) % r["tasks"] if r["tasks"] else 0)
+                    salt.append(1 + (marks[k] ^ s * 0x9E3779B1) % r["tasks"] if r["tasks"] else 0)
                     start.append(s)
                     doc.append(t)
                 rows.extend([k] * len(runs))
@@ -412,7 +414,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     deal = F.struct("start", "count", "m", F.coalesce("tasks", F.lit(0)).alias("tasks"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_runs))
     listed = found.join(hot, "m", "left").groupBy("doc_id", "th").agg(F.collect_set(deal).alias("runs")).withColumnsRenamed({"doc_id": "i", "th": "t"})
-    texts = keyed.join(listed, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "th", "raw", "runs")
+    texts = keyed.join(listed, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "th", "raw", "runs", "dh")
     texts = staged(texts, "repeat-texts")
     segments = _segments(texts, kind, length).repartition(parts, "m", "salt")
     marked = staged(_marked(segments, kind, parts, length), "repeat-marks")
