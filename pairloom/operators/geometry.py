@@ -90,12 +90,12 @@ def average_rank(column: str, *partition: str) -> Column:
 
 
 def stress(p: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """Scale-invariant, Sammon and Kruskal stress and the optimal scale, in one pass."""
+    """Scale-invariant, relative (by input distance) and Kruskal stress and the optimal scale, in one pass."""
     hl, ll, hh = F.sum(F.col("d_hi") * F.col("d_lo")), F.sum(F.col("d_lo") ** 2), F.sum(F.col("d_hi") ** 2)
     gap = (F.col("d_hi") - F.col("d_lo")) ** 2
-    sammon = ratio(F.sum(gap / F.greatest("d_hi", F.lit(eps))), F.sum("d_hi"))
+    relative = ratio(F.sum(gap / F.greatest("d_hi", F.lit(eps))), F.sum("d_hi"))
     return p.agg(
-        (1 - ratio(hl * hl, hh * ll)).alias("scale_invariant"), ratio(hl, ll).alias("scale"), sammon.alias("sammon"),
+        (1 - ratio(hl * hl, hh * ll)).alias("scale_invariant"), ratio(hl, ll).alias("scale"), relative.alias("relative"),
         F.sqrt(ratio(F.sum(gap), ll)).alias("kruskal"), F.count(F.lit(1)).alias("n_pairs"),
     )
 
@@ -537,7 +537,7 @@ def profile_metrics(prof: DataFrame, ks: tuple[int, ...] = (7, 20), k: int = 7)
     cov = lambda t, r, a, b: t / c["n"] ** 2 - 2 * r / c["n"] ** 3 + a * b / c["n"] ** 4
     square = ratio(cov(c["s0"], c["s8"], c["s6"], c["s7"]), F.sqrt(cov(c["s2"], c["s9"], c["s6"], c["s6"]) * cov(c["s1"], c["s10"], c["s7"], c["s7"])))
     row = w.select(
-        (1 - ratio(c["s0"] ** 2, c["s2"] * c["s1"])).alias("scale_invariant"), ratio(c["s0"], c["s1"]).alias("scale"), ratio(c["s3"], c["s5"]).alias("sammon"), F.sqrt(ratio(c["s4"], c["s1"])).alias("kruskal"),
+        (1 - ratio(c["s0"] ** 2, c["s2"] * c["s1"])).alias("scale_invariant"), ratio(c["s0"], c["s1"]).alias("scale"), ratio(c["s3"], c["s5"]).alias("relative"), F.sqrt(ratio(c["s4"], c["s1"])).alias("kruskal"),
         F.lit(k).alias("k"), keep(c["lq"]).alias("trustworthiness"), keep(c["lr"]).alias("continuity"), (c["ja"] / c["n"]).alias("jaccard"), (c["co"] / c["n"]).alias("common"),
         ratio(c["hi"], c["hn"].cast("double")).alias("hit"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("dcor"), (c["si"] / c["n"]).alias("silhouette"),
     )

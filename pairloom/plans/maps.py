@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import geometry as geo
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .tables import BOTH, PAIRS, POINTS, RANKS, pairs, points, ranks
 
 W = "WITH "
@@ -33,9 +33,9 @@ def _(s, d):
     return geo.stress(pairs(s, d)).select("scale_invariant", "scale", "n_pairs")
 
 
-@query("m02_sammon", W + PAIRS + " SELECT round(sum((d_hi-d_lo)**2/greatest(d_hi, 1e-9))/sum(d_hi), 6) sammon FROM pairs")
+@query("m02_relative_stress", W + PAIRS + " SELECT round(sum((d_hi-d_lo)**2/greatest(d_hi, 1e-9))/sum(d_hi), 6) relative FROM pairs")
 def _(s, d):
-    return geo.stress(pairs(s, d)).select("sammon")
+    return geo.stress(pairs(s, d)).select("relative")
 
 
 @query("m03_kruskal", W + PAIRS + " SELECT round(sqrt(sum((d_hi-d_lo)**2)/sum(d_lo**2)), 6) kruskal FROM pairs")
@@ -256,7 +256,13 @@ def _(s, d):
     return pairs(s, d).select("i", "j", scalars.mixed_weight(F.col("d_hi"), [0.0, 1.0, 2.0], 0.1).alias("w"), scalars.phi(F.col("d_hi"), 1.0, 0.1, 2.0).alias("phi"))
 
 
-@query("m38_evaluate")
+_PARTS = {
+    "m01_stress_si": "scale_invariant, scale", "m02_relative_stress": "relative", "m03_kruskal": "kruskal", "m06_trust_continuity_k7": "k, trustworthiness, continuity", "m11_overlap": "jaccard, common",
+    "m12_neighborhood_hit": "hit", "m13_distance_correlation": "dcor", "m14_silhouette": "silhouette", "m09_auc_rnx": "auc_rnx",
+}
+
+
+@query("m38_evaluate", "SELECT * FROM " + ", ".join(f"(SELECT {c} FROM ({ORACLE_SQL[n]}))" for n, c in _PARTS.items()))
 def _(s, d):
     return geo.evaluate(points(s, d))
 
