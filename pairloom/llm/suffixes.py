@@ -30,7 +30,7 @@ LONGEST_RUN = 256
 TASK_RUNS = 20_000
 
 #: A key of more runs than this is dealt to several tasks, so that none waits for a hot passage.
-CROWD = 1_000
+CROWD = 500
 
 #: Depth in bytes to which multikey quicksort goes.
 SHALLOW = 32
