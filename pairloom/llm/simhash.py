@@ -207,13 +207,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return nodes.unionAll(now.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("root"))).distinct()
 
 
-def groups_of(found: DataFrame, bits: int = 3) -> DataFrame:
+def groups_of(found: DataFrame, bits: int = 3, edges: DataFrame | None = None) -> DataFrame:
     """``doc_id, fp`` rows with ``component_id``, the smallest doc_id among the rows that links reach, and ``root``.
 
-    Null ids are passed over unless a group has no others. Rows with equal fingerprints are one node.
+    Null ids are passed over unless a group has no others. Rows with equal fingerprints are one node. ``edges`` are links
+    to take instead of those of at most ``bits`` bits.
     """
     codes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    trees = staged(components(links(codes.select("fp"), bits)), "trees")
+    trees = staged(components(links(codes.select("fp"), bits) if edges is None else edges), "trees")
     linked = trees.join(codes, trees["node"] == codes["fp"]).select("root", "fp", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "root", "component_id")
@@ -237,7 +238,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mark = free_name(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64(text_col))
     found = staged(fingerprints(marked.select(F.col(id_col).alias("doc_id"), F.col(mark).alias("mark"), F.col(text_col).alias("text")), keep=["doc_id", "mark"]), "fingerprints")
-    per = groups_of(found)
+    return keep_first(marked, groups_of(found), mark, id_col).select(*docs.columns)
+
+
+def keep_first(marked: DataFrame, per: DataFrame, mark: str, id_col: str) -> DataFrame:
+    """The rows of ``marked``, whose text hash is in ``mark``, that come first in the groups ``doc_id, mark, root``."""
     key = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark")
     chosen = per.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__mark")).distinct()
     chosen = chosen.withColumn("__key", F.xxhash64("__id", "__mark"))
@@ -245,4 +250,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = free_name(marked, "place")
     marked = marked.withColumn(place, F.xxhash64(id_col, mark))
     same = (marked[place] == F.col("__key")) & marked[id_col].eqNullSafe(F.col("__id")) & (marked[mark] == F.col("__mark"))
-    return marked.join(chosen, same, "left_semi").dropDuplicates([place, id_col, mark]).select(*docs.columns)
+    return marked.join(chosen, same, "left_semi").dropDuplicates([place, id_col, mark])
