@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -66,19 +67,23 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top), "component").select("node")
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, depth: int = 64) -> DataFrame:
-    """``source, node, hops`` by frontier: each round visits the neighbours that a source hasn't seen."""
+def hop_distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """``source, node, hops`` by frontier: each round visits the neighbours that a source hasn't seen, until none is left.
+
+    With ``depth`` it raises if a node farther away than that is reached.
+    """
     near = cut_lineage(both_directions(edges))
     seen = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
-    for hop in range(1, depth + 1):
+    for hop in count(1):
         frontier = seen.filter(F.col("hops") == hop - 1)
         found = frontier.join(near, frontier["node"] == near["u"]).select("source", F.col("v").alias("node")).distinct()
         new = found.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop))
         new = cut_lineage(new)
         if not new.limit(1).count():
             return seen
+        if depth is not None and hop > depth:
+            raise RuntimeError(f"nodes are more than {depth} hops apart")
         seen = cut_lineage(seen.unionByName(new))
-    return seen
 
 
 def with_ends(edges: DataFrame, layout: DataFrame) -> DataFrame:

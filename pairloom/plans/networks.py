@@ -36,7 +36,7 @@ def _(s, d):
 SELECT source, node, min(hops) hops FROM hop GROUP BY ALL""")
 def _(s, d):
     e = edges(s, d)
-    return graphs.hop_distances(e, graphs.degrees(e).select("node"), depth=16)
+    return graphs.hop_distances(e, graphs.degrees(e).select("node"))
 
 
 @query("m22_crossings", W + ENDS + """, t AS (SELECT a.u, a.v, b.u u2, b.v v2, sign((a.vx-a.ux)*(b.uy-a.uy)-(a.vy-a.uy)*(b.ux-a.ux)) * sign((a.vx-a.ux)*(b.vy-a.uy)-(a.vy-a.uy)*(b.vx-a.ux)) p, sign((b.vx-b.ux)*(a.uy-b.uy)-(b.vy-b.uy)*(a.ux-b.ux)) * sign((b.vx-b.ux)*(a.vy-b.uy)-(b.vy-b.uy)*(a.vx-b.ux)) q

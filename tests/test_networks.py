@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pairloom.operators import graphs, solvers, temporal
+from pairloom.plans import networks
+from pairloom.plans.catalog import QUERIES
 from pairloom.sources import files, sinks
 from pairloom.streaming.snapshots import windowed_edges
 
@@ -108,3 +110,17 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("snaps").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("snaps").collect())) == sorted(map(tuple, windowed_edges(df).collect()))
+
+
+def test_hop_distances_have_no_bound(spark, monkeypatch):
+    path = edges(spark, [(i, i + 1) for i in range(18)])
+    monkeypatch.setattr(networks, "edges", lambda s, d: path)
+    got = {(r.source, r.node): r.hops for r in QUERIES["gr01_hop_distances"](spark, "").collect()}
+    assert got == {(i, j): abs(i - j) for i in range(19) for j in range(19)}
+
+
+def test_hop_distances_raise_beyond_a_given_depth(spark):
+    short, ends = edges(spark, [(0, 1), (1, 2), (2, 3)]), spark.createDataFrame([(0,)], "node long")
+    assert graphs.hop_distances(short, ends, depth=3).count() == 4
+    with pytest.raises(RuntimeError):
+        graphs.hop_distances(short, ends, depth=2)
