@@ -10,8 +10,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python: bounds a worker's memory where texts are long.
-BATCH_ROWS = 1000
+#: Bytes in one Arrow batch handed to Python: bounds a worker's memory where texts are long. A longer text is a batch alone.
+BATCH_BYTES = 16 << 20
+
+#: Rows that one task should number or repeat.
+TASK_ROWS = 100_000
+
+_AT_EXIT: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +24,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of the session; results don't depend on it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, unless they are bounded more tightly already.
+
+    Plans are lazy, so the bound has to stay for when they run. No result depends on it, and rows aren't limited.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    try:
+        tight = 0 < int(now) <= BATCH_BYTES
+    except (TypeError, ValueError):
+        tight = False
+    if not tight:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: one of this application's own in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local master; on a cluster it is an error. What is left of the folder
+    is deleted when the driver ends.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pairloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    path = f"{base.rstrip('/')}/pairloom-{context.applicationId}"
+    if path not in _AT_EXIT:
+        _AT_EXIT.add(path)
+        atexit.register(_delete_quietly, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the JVM may be gone by now  # noqa: BLE001
+        pass
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -45,12 +83,47 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Deletes the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that no later plan reads."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            _delete(df.sparkSession, name.rsplit("/", 1)[0])
+
+
+#: Rows of a slim table that may be broadcast: about 100 MB as a hashed relation.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, a staged table of a few numbers a row, to be broadcast if its rows are few enough to be, by their count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def partitions_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Partitions that hold about ``each`` of ``amount``, not fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
+def chunks(n: Column | str, first: Column, most: int = TASK_ROWS) -> Column:
+    """``[first, last]`` ranges of at most ``most`` that cover ``n`` numbers from ``first`` on; none where ``n`` is 0."""
+    n = F.col(n) if isinstance(n, str) else n
+    starts = F.when(n > 0, F.sequence(first, first + n - 1, F.lit(most).cast("long")))
+    return F.transform(starts, lambda s: F.struct(s.alias("first"), F.least(s + most - 1, first + n - 1).alias("last")))
+
+
+def repeated(rows: DataFrame, n: str, name: str, first: Column | None = None, most: int = TASK_ROWS) -> DataFrame:
+    """Each row ``n`` times, numbered in ``name`` from ``first`` (0) on; rows without a number of times go.
+
+    A row that comes very often is cut into ranges first, and these are dealt to all tasks.
+    """
+    first = F.lit(0).cast("long") if first is None else first
+    held = free_name(rows, "_range")
+    cut = rows.withColumn(held, first)
+    number = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    few = cut.filter(F.col(n).between(1, most)).withColumn(name, number(F.col(held), F.col(held) + F.col(n) - 1)).drop(held)
+    many = cut.filter(F.col(n) > most).withColumn(held, F.explode(chunks(n, F.col(held), most)))
+    many = many.repartition(F.xxhash64(F.col(f"{held}.first"), *rows.columns)).withColumn(name, number(F.col(f"{held}.first"), F.col(f"{held}.last"))).drop(held)
+    return few.unionByName(many)
 
 
 def text_bytes(col: Column | str) -> Column:

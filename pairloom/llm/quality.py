@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, staged
+from .common import bound_batches, held_out, staged
 
 STATISTICS = [
     "log_bytes", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "space", "newline", "non_ascii",
@@ -61,7 +61,7 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and the statistics of each whole text as ``x array<double>``; no shuffle."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     fields = docs.select(*keep).schema.fields
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "x array<double>"])
     width = len(fields)
@@ -124,12 +124,51 @@ def _moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]
     return {k: (m.reshape(d + 1, d + 1)[0, 0], m.reshape(d + 1, d + 1)[0, 1:], m.reshape(d + 1, d + 1)[1:, 1:]) for k, m in sums.items()}
 
 
-def fit(rows: DataFrame, pooled: float = 0.1, diagonal: float = 0.05, calibration_rows: int = 20_000) -> Model:
-    """The model of training rows ``label, x``. Moments cover all rows.
+#: Width of the cells of signed roots that calibration counts; and the root beyond which all are alike.
+CELL, FARTHEST = 1 / 64, 1000.0
 
-    ``pooled`` and ``diagonal`` are the shares of the pooled covariance and of the diagonal in a class's covariance. The
-    probability's scale is fitted on the ``calibration_rows`` rows of the smallest hash. Without rows of a class, its
-    density is the standard normal one and its prior that of half a row.
+
+def calibration(rows: DataFrame, model: Model) -> DataFrame:
+    """``label, cell, n``: training rows by label and by the signed root of their log-density difference, in cells of ``CELL``.
+
+    All rows count; there are at most 2 * 2 * FARTHEST / CELL cells, whatever the number of rows.
+    """
+    d = len(STATISTICS)
+
+    def run(batches):
+        held: dict[tuple[int, int], int] = {}
+        for b in batches:
+            diff = model.difference(b.column(1).flatten().to_numpy().reshape(-1, d))
+            t = np.clip(np.sign(diff) * np.sqrt(np.abs(diff)), -FARTHEST, FARTHEST)
+            both, n = np.unique(np.stack([b.column(0).to_numpy().astype(np.int64), np.rint(t / CELL).astype(np.int64)]), axis=1, return_counts=True)
+            for label, cell, c in zip(*both.tolist(), n.tolist()):
+                held[label, cell] = held.get((label, cell), 0) + c
+        if held:
+            label, cell = zip(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(cell, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["label", "cell", "n"])
+
+    return rows.mapInArrow(run, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+
+
+def logistic(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic curve through ``n`` rows each at (t, y), by Newton's steps, slightly ridged."""
+    w = np.zeros(2)
+    design = np.column_stack([t, np.ones_like(t)])
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-np.clip(design @ w, -40, 40)))
+        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        step = np.linalg.solve(hessian, design.T @ (n * (y - p)) - 1e-2 * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def fit(rows: DataFrame, pooled: float = 0.1, diagonal: float = 0.05) -> Model:
+    """The model of training rows ``label, x``. Moments and the probability's scale cover all rows.
+
+    ``pooled`` and ``diagonal`` are the shares of the pooled covariance and of the diagonal in a class's covariance.
+    Without rows of a class, its density is the standard normal one and its prior that of half a row.
     """
     d = len(STATISTICS)
     rows = rows.select(F.col("label").cast("int").alias("label"), "x").filter(F.col("label").isin(0, 1))
@@ -148,21 +187,11 @@ def fit(rows: DataFrame, pooled: float = 0.1, diagonal: float = 0.05, calibratio
         inverse.append(np.linalg.inv(factor))
         half_log_det.append(np.log(np.diag(factor)).sum())
     model = Model(np.log((n + 0.5) / (total + 1.0)), mean, np.array(inverse), np.array(half_log_det))
-    sample = rows.orderBy(F.xxhash64("x"), "label").limit(calibration_rows).collect() if total else []
-    if sample and n.min():
-        diff = model.difference(np.array([r["x"] for r in sample]))
-        t, y = np.sign(diff) * np.sqrt(np.abs(diff)), np.array([r["label"] for r in sample], np.float64)
-        w = np.zeros(2)
-        design = np.column_stack([t, np.ones_like(t)])
-        for _ in range(50):  # Newton's steps for a logistic curve, slightly ridged
-            p = 1.0 / (1.0 + np.exp(-np.clip(design @ w, -40, 40)))
-            hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-            step = np.linalg.solve(hessian, design.T @ (y - p) - 1e-2 * w)
-            w += step
-            if np.abs(step).max() < 1e-9:
-                break
-        if w[0] > 0:
-            model.scale, model.shift = float(w[0]), float(w[1])
+    if total and n.min():
+        cells = calibration(rows, model).toPandas()  # bounded by the number of cells
+        scale, shift = logistic(cells["cell"].to_numpy() * CELL, cells["label"].to_numpy(np.float64), cells["n"].to_numpy(np.float64))
+        if scale > 0:
+            model.scale, model.shift = scale, shift
     return model
 
 
@@ -180,9 +209,15 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; learns from labelled rows that aren't held out."""
+    """``doc_id, held_out, score, predicted`` of every row; learns from labelled rows that aren't held out.
+
+    Null texts count as empty, and empty ones have a score like any. A document whose label is repeated counts once, one
+    with both labels teaches nothing, and null ids and labels don't either. Rows with equal texts get equal scores; an
+    empty table of documents or labels gives no rows, or scores of a model without rows.
+    """
     rows = staged(with_statistics(docs.select("doc_id", "text"), ["doc_id"]), "statistics").withColumn("held_out", held_out())
-    known = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
+    known = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("label"), F.max("quality").alias("top"))
+    known = known.filter("label = top").drop("top")
     train = rows.filter(~F.col("held_out")).join(known, F.col("doc_id") == F.col("labelled")).select("label", "x")
     out = score(rows.select("doc_id", "held_out", "x"), fit(train))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
