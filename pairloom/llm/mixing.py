@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, staged
+from .common import drop_staged, free_name, repeated, staged
 
 #: A word is a run of anything but a blank and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,25 +72,28 @@ def _step(state: Column, x: Column, seed: int) -> Column:
 
 
 def copies(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: int = 3, block: int = 128, seed: int = 42) -> DataFrame:
-    """``doc_id, source, size, source_size, target, n, total``: the ``n`` rows equal in the first three get ``total`` copies.
+    """``doc_id, source, size, text_hash, source_size, target, n, total``: the ``n`` rows equal in the first four get
+    ``total`` copies together.
 
     Equal rows are counted before any shuffle and rounded as one, so a repeated row is no hot key. Rows without words
     get the whole part of their copies only. An empty table gives an empty plan.
     """
     per_source = staged(targets(sized, weights, ceiling), "mix-targets")
     most = per_source.agg(F.max("rows")).first()[0] or 0
-    rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    rows = sized.groupBy(*UNIT).agg(F.count("*").alias("n"))
     few = per_source.count() <= 50_000  # then the table is below some MB and may be broadcast
     rows = rows.join(F.broadcast(per_source) if few else per_source, rows["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     expected = F.col("n") * F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     rows = rows.withColumn("expected", F.least(expected, F.col("n") * F.lit(float(ceiling)))).withColumn("whole", F.floor("expected").cast("long"))
     rows = rows.withColumn("part", F.when(F.col("size") > 0, F.col("expected") - F.col("whole")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("mark", F.xxhash64("doc_id", "source", "size", F.lit(seed)))
+    rows = rows.withColumn("mark", F.xxhash64(*UNIT, F.lit(seed)))
     rows = rows.withColumn("block", F.pmod("mark", F.ceil(F.col("rows") / F.lit(block)).cast("long")))
     source = ["source", "source_size", "target"]
-    item = ["size", "mark", "doc_id", "n", "whole", "part"]
+    item = ["size", "mark", "doc_id", "text_hash", "n", "whole", "part"]
+    kept = ["size", "doc_id", "text_hash", "n"]
     rows = staged(rows.select(*source, *item, "block"), "mix-rows")
-    ready = [rows.filter(F.col("part") <= 0).select(*source, "size", "doc_id", "n", F.col("whole").alias("total"))]
+    drop_staged(per_source)
+    ready = [rows.filter(F.col("part") <= 0).select(*source, *kept, F.col("whole").alias("total"))]
     level, blocks = rows.filter(F.col("part") > 0), max(1, -(-most // block))
     while True:
         listed = level.groupBy(*source, "block").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), *item))).alias("met"))
@@ -99,42 +102,59 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: in
         start = F.struct(F.lit(None).cast(kind).alias("open"), done.alias("done"))
         met = staged(listed.select(*source, "block", F.aggregate("met", start, lambda s, x: _step(s, x, seed)).alias("s")), "mix-level")
         settled = met.select(*source, F.explode("s.done").alias("d"))
-        ready.append(settled.select(*source, "d.size", "d.doc_id", "d.n", (F.col("d.whole") + F.col("d.up")).alias("total")))
+        ready.append(settled.select(*source, *[f"d.{c}" for c in kept], (F.col("d.whole") + F.col("d.up")).alias("total")))
         level = met.select(*source, *[F.col(f"s.open.{c}").alias(c) for c in item], F.floor(F.col("block") / block).cast("long").alias("block"))
         if blocks <= 1:
             break
         blocks = -(-blocks // block)
     last = (F.col("part") >= 0.5).cast("long")  # one document a source is left, and goes to the nearer whole number
-    ready.append(level.select(*source, "size", "doc_id", "n", (F.col("whole") + last).alias("total")))
+    ready.append(level.select(*source, *kept, (F.col("whole") + last).alias("total")))
     return reduce(DataFrame.unionByName, ready)
 
 
 def share_of(place: Column, n: Column, total: Column) -> Column:
-    """Copies of the row at ``place`` (from 1) of ``n`` equal rows that get ``total`` together."""
-    return F.floor(total / n).cast("long") + (place <= total % n).cast("long")
+    """Copies of the row at ``place`` (from 0) of ``n`` equal rows that get ``total`` together."""
+    return F.floor(total / n).cast("long") + (place < total % n).cast("long")
+
+
+#: What makes rows equal for the mix: a repeated id with another text is another document.
+UNIT = ["doc_id", "source", "size", "text_hash"]
 
 
 def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row: the words that the mix takes of it, repeats counted."""
     plan = copies(staged(sized_rows(docs), "mix-sizes"), **options)
-    rows = plan.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("place"))
+    rows = repeated(plan, "n", "place")
     return rows.select("doc_id", "size", "source_size", "target", (share_of(F.col("place"), F.col("n"), F.col("total")) * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as its copies say, with the columns of ``docs``."""
-    plan = copies(staged(sized_rows(docs, id_col, text_col, source_col), "mix-sizes"), **options)
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("n").alias("__n"), F.col("total").alias("__total"))
-    size, place, copy = (free_name(docs, x) for x in ("mix_size", "mix_place", "mix_copy"))
-    rows = docs.withColumn(size, word_count(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col(size) == F.col("__size"))
-    rows = rows.join(plan, same)
-    equal = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col))
-    rows = rows.withColumn(place, F.when(F.col("__n") == 1, F.lit(1)).otherwise(F.row_number().over(equal)))
-    share = share_of(F.col(place), F.col("__n"), F.col("__total"))
-    rows = rows.filter(share > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), share)))
-    return rows.select(*docs.columns)
+    """The mixed corpus: each row of ``docs`` as often as its copies say, with the columns of ``docs``.
+
+    Rows equal in id, source and text share their copies. Those that are equal in all columns are counted before they
+    move; others among them come in the order of a hash of all columns, so reruns agree.
+    """
+    plan = copies(staged(sized_rows(docs, id_col, text_col, source_col), "mix-sizes"), **options).filter("total > 0")
+    unit, times, alike, before = (free_name(docs, x) for x in ("mix_unit", "mix_times", "mix_alike", "mix_before"))
+    key = [F.col(id_col), F.col(source_col), word_count(F.col(text_col)), F.xxhash64(text_col)]
+    rows = docs.withColumn(unit, F.xxhash64(*key))
+    names = [free_name(docs, f"plan_{c}") for c in (*UNIT, "n", "total")]
+    plan = plan.select(*UNIT, "n", "total").toDF(*names)
+    p = dict(zip((*UNIT, "n", "total"), names))
+    place = free_name(rows, "plan_place")
+    plan = plan.withColumn(place, F.xxhash64(*[p[c] for c in UNIT]))
+    same = (rows[unit] == plan[place]) & rows[id_col].eqNullSafe(plan[p["doc_id"]]) & rows[source_col].eqNullSafe(plan[p["source"]])
+    same = same & (F.xxhash64(rows[text_col]) == plan[p["text_hash"]])
+
+    single = rows.join(plan.filter(F.col(p["n"]) == 1), same).withColumn(times, F.col(p["total"])).select(*docs.columns, times)
+    equal = rows.join(plan.filter(F.col(p["n"]) > 1), same).groupBy(*docs.columns, unit, p["n"], p["total"]).agg(F.count(F.lit(1)).alias(alike))
+    order = Window.partitionBy(unit).orderBy(F.xxhash64(*docs.columns))
+    equal = equal.withColumn(before, F.sum(alike).over(order) - F.col(alike))
+    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col(alike), F.col(p["total"]) % F.col(p["n"]) - F.col(before)))
+    several = equal.withColumn(times, F.col(alike) * F.floor(F.col(p["total"]) / F.col(p["n"])).cast("long") + extra).select(*docs.columns, times)
+    number = free_name(docs, "mix_number")
+    return repeated(single.unionByName(several), times, number).select(*docs.columns)

@@ -49,12 +49,36 @@ def test_mix_repeats_rows(spark, odd_docs, no_docs):
 
 
 def test_every_row_has_its_expectation(spark):
-    """Over seeds, a document's mean copies come near its expected copies."""
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "a" if i < 12 else "b") for i in range(40)], "doc_id long, text string, source string")
-    sized = mixing.sized_rows(docs).cache()
-    sums, expected = defaultdict(int), {}
-    for seed in range(12):
-        for r in mixing.copies(sized, block=8, seed=seed).collect():
-            sums[r.doc_id] += r.total
-            expected[r.doc_id] = r.target / r.source_size
-    assert all(abs(sums[d] / 12 - e) < 0.7 for d, e in expected.items())
+    """Over 200 sources alike, the mean copies of the document of each size come within four standard errors."""
+    docs = spark.range(600 * 8).selectExpr("id doc_id", "repeat('w ', cast(1 + id % 8 as int)) text", "concat('s', lpad(cast(floor(id / 8) as string), 3, '0')) source")
+    sums, expected, n = defaultdict(int), {}, defaultdict(int)
+    for r in mixing.copies(mixing.sized_rows(docs), block=4).collect():
+        key = r.size, round(r.target, 6)
+        sums[key] += r.total
+        n[key] += 1
+        expected[key] = r.target / r.source_size
+        assert r.total in (int(expected[key]), int(expected[key]) + 1)
+    assert len(n) == 24 and set(n.values()) == {200}
+    for key, e in expected.items():
+        part = e % 1
+        assert abs(sums[key] / 200 - e) <= 4 * (part * (1 - part) / 200) ** 0.5 + 1e-9
+
+
+def test_a_row_repeated_very_often(spark):
+    docs = spark.range(300_000).selectExpr("cast(null as long) doc_id", "'' text", "'a' source").unionByName(spark.createDataFrame([(1, "w w", "a")], "doc_id long, text string, source string"))
+    rows = mixing.taken_words(docs)
+    assert rows.count() == 300_001 and rows.filter("doc_id is null").agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_equal_rows_share_their_copies(spark):
+    same = [(None, "w w w", "a", k % 2) for k in range(7)] + [(None, "v v v", "a", 0), (5, "x", "b", 0), (5, "x y", "b", 0)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, source string, `plan_n` int")
+    taken = sum(r.taken for r in mixing.taken_words(docs).collect())
+    out = mixing.mix(docs).collect()
+    assert sum(len(r.text.split()) for r in out) == taken and {tuple(r) for r in out} <= set(same)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(4)).collect()))
+
+
+def test_names_that_clash_with_the_plan(spark):
+    docs = spark.createDataFrame([(1, "w w", "a", 1, 2, 3, 4)], "doc_id long, text string, source string, __id int, mix_unit int, plan_doc_id int, _range int")
+    assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() >= 1
