@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, text_bytes
+from .common import TASK_ROWS, free_name, repeated, staged, text_bytes
 
 #: The multiplier of the published linear congruential step (Lamping and Veach, 2014). Fixed value.
 STEP = 2862933555777941757
@@ -63,27 +63,50 @@ def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id"
     out.write.option("maxRecordsPerFile", rows_per_file).partitionBy(out.columns[-1]).parquet(path)
 
 
-def slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000) -> DataFrame:
+def _numbered(rows: DataFrame, keys: list[str], mark: str, n: str, total: int, rows_per_range: int) -> DataFrame:
+    """``rows`` with ``_first``: within ``keys`` the number of rows before it, each row standing for ``n``.
+
+    Ranges of ``mark``, a hash of the whole row, hold about ``rows_per_range`` rows each; places within a range come from a
+    window, those of earlier ranges are counted beforehand. Different rows of one hot key part by their marks.
+    """
+    ranges = max(1, -(-total // rows_per_range))
+    dealt = rows.withColumn("_part", F.floor((F.col(mark) / F.lit(2.0**64) + 0.5) * ranges).cast("long"))
+    held = dealt.groupBy(*keys, "_part").agg(F.sum(n).alias("_held"))
+    before = held.select(*keys, "_part", (F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_held")).alias("_before"))
+    near = Window.partitionBy(*keys, "_part").orderBy(mark, *[c for c in rows.columns if c not in (*keys, mark, n)])
+    placed = dealt.withColumn("_upto", F.sum(n).over(near)).join(before, [*keys, "_part"])
+    return placed.withColumn("_first", F.col("_before") + F.col("_upto") - F.col(n)).drop("_part", "_upto", "_before")
+
+
+def slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = TASK_ROWS) -> DataFrame:
     """Every row's place: ``id, size, text_crc32, law, shard, slot, grown_shard``, by the law ``key``.
 
     ``size`` is the text's UTF-8 bytes plus 16 (a null text has no bytes). ``slot`` counts from 0 without gaps in each
-    shard, by (key, id, size, crc32). It comes in two steps, so that no task holds a whole shard: rows within ranges of
-    keys of about ``rows_per_range`` rows, plus the number of rows in earlier ranges. Equal rows (same id, size and
-    crc32) are counted before the shuffle and get consecutive slots, so a hot id costs one row.
+    shard, in the order of a hash of (id, size, crc32). Equal rows (same id, size and crc32) are counted before the
+    shuffle and get consecutive slots; texts are read once.
     """
     raw = text_bytes(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("key", stable_key(F.col("doc_id")))
+    rows = staged(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("key", stable_key(F.col("doc_id"))), "shard-rows")
+    total = rows.agg(F.sum("n")).first()[0] or 0
     rows = rows.withColumn("shard", jump_column(F.col("key"), shards)).withColumn("grown_shard", jump_column(F.col("key"), shards + 1))
-    total = docs.count()
-    ranges = max(1, -(-total // (shards * rows_per_range)))
-    rows = rows.withColumn("part", F.floor(F.col("key") / F.lit(2.0**60) * ranges).cast("long"))
-    held = rows.groupBy("shard", "part").agg(F.sum("n").alias("held"))
-    before = held.select("shard", "part", (F.sum("held").over(Window.partitionBy("shard").orderBy("part")) - F.col("held")).alias("before"))
-    near = Window.partitionBy("shard", "part").orderBy("key", "doc_id", "size", "text_crc32")
-    rows = rows.withColumn("upto", F.sum("n").over(near)).join(before, ["shard", "part"])
-    first = F.col("before") + F.col("upto") - F.col("n")
-    return rows.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard",
-    )
+    rows = rows.withColumn("mark", F.xxhash64("doc_id", "size", "text_crc32")).drop("key")
+    placed = repeated(_numbered(rows, ["shard"], "mark", "n", total, shards * rows_per_range), "n", "slot", F.col("_first"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", rows_per_range: int = TASK_ROWS) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` (underscores are added if those names are taken), by the law ``key``.
+
+    Rows that are equal in all columns are counted before they move and get consecutive slots.
+    """
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    key = f"c{docs.columns.index(id_col)}"
+    rows = docs.toDF(*plain).groupBy(*plain).agg(F.count(F.lit(1)).alias("_n")).withColumn("_mark", F.xxhash64(*plain))
+    rows = staged(rows.withColumn("_shard", jump_column(stable_key(F.col(key)), shards)), "shard-texts")
+    total = rows.agg(F.sum("_n")).first()[0] or 0
+    slim = _numbered(rows.select("_shard", "_mark", "_n"), ["_shard"], "_mark", "_n", total, shards * rows_per_range)
+    whole = rows.join(slim.select("_shard", "_mark", "_first"), ["_shard", "_mark"])
+    placed = repeated(whole, "_n", "_slot", F.col("_first"))
+    return placed.select(*plain, "_shard", "_slot").toDF(*docs.columns, shard, slot)

@@ -40,3 +40,23 @@ def test_assigning_keeps_clashing_columns_and_empty_tables(odd_docs, no_docs):
 def test_writing_shards_keeps_every_row(spark, odd_docs, tmp_path):
     sharding.write_shards(odd_docs, 3, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd_docs.count()
+
+
+def test_null_ids_and_rows_repeated_very_often(spark):
+    docs = spark.range(300_000).selectExpr("cast(null as long) doc_id", "if(id < 200000, 'same', cast(id as string)) text")
+    rows = sharding.slots(docs, 40, rows_per_range=500)
+    one = rows.agg({"slot": "max"}).first()[0]
+    assert rows.count() == rows.select("slot").distinct().count() == 300_000 and one == 299_999 and rows.select("shard").distinct().count() == 1
+
+
+def test_sharded_rows_keep_their_columns(spark, odd_docs, no_docs):
+    out = sharding.sharded(odd_docs, 40, rows_per_range=1)
+    assert out.columns == [*odd_docs.columns, "shard_", "slot"]
+    rows = out.collect()
+    assert sorted(str(tuple(r)[:-2]) for r in rows) == sorted(str(tuple(r)) for r in odd_docs.collect())
+    slots = defaultdict(list)
+    for r in rows:
+        assert r.shard_ == brute(key_of(r.doc_id), 40)
+        slots[r.shard_].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.sharded(no_docs, 40).count() == 0
