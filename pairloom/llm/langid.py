@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import free_name, held_out, small_batches
+from .common import bound_batches, free_name, held_out, small_side, staged
 
 LETTER = regex.compile(r"\p{L}")
 NONE = "und"
@@ -28,22 +28,26 @@ BLOCK = 4096
 NARROW = 0.01
 
 
-def fit(docs: DataFrame, texts: int = 160, piece: int = 2000, languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def fit(docs: DataFrame, texts: int = 160, blocks: int = 80, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content of each language: a bounded sample of its training rows.
 
-    Up to ``texts`` rows a language, those with the smallest hash, give up to ``piece`` characters each; more than
-    ``languages`` languages are an error. Training rows have a language, a letter, and crc32(id) mod 5 other than 0.
+    Of a language's different texts the ``texts`` of the smallest hash are cut into blocks of 4096 characters, whole texts
+    with no part left out, and the ``blocks`` blocks of the smallest hash make the dictionary. So a language with much text
+    has about 320 KB, one with less has all it has, and none is cut to the size of another. Training rows have a language,
+    a letter, and crc32(id) mod 5 other than 0. No training row gives no dictionary.
     """
-    train = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
-    train = train.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, piece).alias("piece"))
-    train = train.withColumn("mark", F.xxhash64("piece", F.lit(42))).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "piece")))
-    found: dict[str, list[str]] = {}
-    for row in train.filter(F.col("r") <= texts).limit(texts * languages + 1).collect():
-        found.setdefault(row["lang"], []).append(row["piece"])
-    if len(found) > languages:
-        raise ValueError(f"more than {languages} languages")
-    size = min((sum(len(p.encode()) for p in v) for v in found.values()), default=0)
-    return {k: "\n".join(sorted(v)).lower().encode()[: max(size, 4096)] for k, v in sorted(found.items())}
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
+    train = rows.filter(F.col("lang").isNotNull() & ~F.col("held") & F.col("text").rlike(r"\p{L}")).withColumn("mark", F.xxhash64("text", F.lit(42)))
+    marks = train.select("lang", "mark").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("r") <= texts)
+    chosen = staged(marks.select(F.col("lang").alias("l"), F.col("mark").alias("m")), "language-texts")
+    found = train.join(small_side(chosen), (F.col("mark") == F.col("m")) & (F.col("lang") == F.col("l"))).select("lang", "mark", "text").dropDuplicates(["lang", "mark"])
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK).cast("int")))
+    cut = found.withColumn("at", at).select("lang", F.substring(F.col("text"), F.col("at") * BLOCK + 1, F.lit(BLOCK)).alias("block"), F.xxhash64("mark", "at").alias("order"))
+    best = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("r") <= blocks)
+    pieces: dict[str, list[tuple]] = {}
+    for row in best.select("lang", "order", "block").collect():  # bounded by the number of languages
+        pieces.setdefault(row["lang"], []).append((row["order"], row["block"]))
+    return {k: "\n".join(b for _, b in sorted(v)).lower().encode() for k, v in sorted(pieces.items())}
 
 
 class Coder:
@@ -82,23 +86,27 @@ class Coder:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``lang_pred``, ``score``, ``lang_rejected``; whole texts, no shuffle.
 
-    Names that are taken get underscores. The dictionaries are bounded by ``fit`` and go along with the tasks.
+    Names that are taken get underscores. The dictionaries are bounded by ``fit`` and broadcast. Null texts and texts
+    without a letter are rejected as ``und`` with the score 0; of equally small sizes the first language by name wins and
+    the document is rejected; rows with equal texts get the same; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     names = [free_name(docs.select(*keep), x) for x in ("lang_pred", "score", "lang_rejected")]
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
     width = len(keep)
 
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
     def run(batches):
-        coder = Coder(dictionaries)
+        coder = Coder(shared.value)
         for b in batches:
             rows = [coder.identify(x.as_py()) for x in b.column(width)]
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:width], *cols], names=[f"c{i}" for i in range(width + 3)])
 
     positional = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
-    out = docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, positional)
+    out = docs.select(*keep, F.col(text_col).alias(free_name(docs, "text_to_identify"))).mapInArrow(run, positional)
     return out.toDF(*schema.names)
 
 
