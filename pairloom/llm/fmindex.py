@@ -1,21 +1,21 @@
 """Benchmark decontamination by an FM-index per shard of training text.
 
-Words become symbols; words that no benchmark item has can't be part of a match and end a run, as do pairs of words
-that no item has. What is left of a shard is indexed: suffix array, Burrows-Wheeler transform, wavelet tree, sampled
+All words of a shard become symbols. The shard is indexed: suffix array, Burrows-Wheeler transform, wavelet tree, sampled
 suffix positions. All test phrases are searched backward at once, occurrences are located, and overlapping spans merge.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import repeat
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches
+from .common import bound_batches, drop_staged, free_name, staged
 
 #: Lower case for A-Z; other ASCII but digits and letters separates words; the rest stays.
 FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -64,27 +64,46 @@ class WaveletTree:
         return symbols, hi - lo
 
 
+def suffix_array(text: np.ndarray, separator: int = 0) -> np.ndarray:
+    """The order of all suffixes, separators sorting by their place before all else; symbols are below 2**31.
+
+    Prefix doubling: suffixes are ordered by their first 2, 4, 8 ... symbols; those that are alone in their order by then
+    are settled, so that later rounds sort only what repeats.
+    """
+    n = len(text)
+    parts = np.cumsum(text == separator)
+    rank = np.where(text == separator, parts - 1, text.astype(np.int64) + int(parts[-1] if n else 0))
+    order = np.argsort(rank)
+    ordered = rank[order]
+    head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(head, size)  # the rank of a group is the place of its first member
+    at = np.flatnonzero(np.repeat(size, size) > 1)  # places of the order that aren't settled
+    step = 1
+    while len(at):
+        who = order[at]
+        second = np.where(who + step < n, rank[np.minimum(who + step, n - 1)], -1)
+        key = rank[who] * np.int64(n + 1) + second + 1
+        turn = np.argsort(key)
+        who, key = who[turn], key[turn]
+        order[at] = who
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(at)))
+        # Unsettled groups fill neighbouring places, so a new group begins where its first member stands.
+        rank[who] = np.repeat(at[head], size)
+        at = at[np.repeat(size, size) > 1]
+        step *= 2
+    return order
+
+
 class FMIndex:
     """Index of a text of symbols: 0 separates runs, each separator sorting by its place; ``starts`` are run starts."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, sample: int = 8):
-        n = len(text)
-        parts = np.cumsum(text == 0)
-        rank = np.where(text == 0, parts - 1, text.astype(np.int64) + int(parts[-1] if n else 0))
-        step, sa = 1, np.argsort(rank, kind="stable")
-        while n > 1:
-            new = np.empty(n, np.int64)
-            ordered = rank[sa]
-            second = np.where(sa + step < n, rank[np.minimum(sa + step, n - 1)], -1)
-            order = np.lexsort((second, ordered))
-            sa, ordered, second = sa[order], ordered[order], second[order]
-            changed = np.concatenate([[0], (ordered[1:] != ordered[:-1]) | (second[1:] != second[:-1])])
-            new[sa] = np.cumsum(changed)
-            rank = new
-            if rank[sa[-1]] == n - 1:
-                break
-            step *= 2
-        self.n = n
+        n = self.n = len(text)
+        sa = suffix_array(text)
         top = int(text.max()) + 1 if n else 1
         bwt = text[sa - 1]  # before the first symbol comes the last, a separator
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top))]).astype(np.int64)
@@ -129,68 +148,60 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of benchmark items as symbols from 1."""
+    """The different windows of a block of benchmark items, as rows of a table of word numbers from 1."""
 
     def __init__(self, items: list[tuple], size: int = 10):
-        self.ids: dict[bytes, int] = {}
-        found: dict[tuple, set[int]] = {}
+        ids: defaultdict[bytes, int] = defaultdict(count(1).__next__)
         self.items = [str(i) for i, _ in items]
+        tables, owners = [], []
         for k, (_, text) in enumerate(items):
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of((text or "").encode())]
-            for i in range(max(1, len(seq) - size + 1) if seq else 0):
-                found.setdefault(tuple(seq[i : i + size]), set()).add(k)
-        self.keys = list(found)
-        self.of = [sorted(v) for v in found.values()]
-        self.lengths = np.array([len(k) for k in self.keys], np.int64)
-        self.table = np.zeros((len(self.keys), size), np.int64)
-        for i, k in enumerate(self.keys):
-            self.table[i, : len(k)] = k
-        self.shortest = int(self.lengths.min(initial=size))
-        self.base = len(self.ids) + 1
-        self.pairs = np.unique(np.array([a * self.base + b for k in self.keys for a, b in zip(k, k[1:])] or [-1], np.int64))
-
-    def match(self, docs: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], list[str]]]:
-        """For each document of a shard: merged spans of hit words, and the items that have occurring windows."""
+            words = words_of((text or "").encode())
+            seq = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+            if 0 < len(seq) < size:
+                seq = np.pad(seq, (0, size - len(seq)))
+            if len(seq):
+                tables.append(np.unique(np.lib.stride_tricks.sliding_window_view(seq, size), axis=0))
+                owners.append(np.full(len(tables[-1]), k, np.int64))
+        self.words = list(ids)
+        every = np.concatenate(tables) if tables else np.zeros((0, size), np.int32)
+        self.table, which = np.unique(every, axis=0, return_inverse=True)
+        self.lengths = (self.table > 0).sum(1).astype(np.int64)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        order = np.argsort(which.ravel(), kind="stable")
+        self.owners = owner[order]  # the items that have each window, one window after another
+        self.begins = np.searchsorted(which.ravel()[order], np.arange(len(self.table) + 1))
+
+    def match(self, docs: list[np.ndarray], ids: dict[bytes, int]) -> list[tuple[list[tuple[int, int]], list[str]]]:
+        """For each document of a shard, given as its words' numbers in ``ids``: merged spans of hit words, and the items
+        that have occurring windows."""
         ends = np.cumsum([len(d) + 1 for d in docs])
-        shard = np.concatenate([x for d in docs for x in (d, [0])]).astype(np.int64) if docs else np.zeros(0, np.int64)
-        if self.shortest > 1:
-            pair = np.flatnonzero((shard[:-1] > 0) & (shard[1:] > 0))
-            keys = shard[pair] * self.base + shard[pair + 1]
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            linked = np.zeros(len(shard) + 1, np.int8)
-            linked[pair[self.pairs[at] == keys]] = 1
-        else:
-            linked = np.concatenate([shard > 0, [False]]).astype(np.int8)
-        edge = np.diff(np.concatenate([[0], linked]).astype(np.int8))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + (1 if self.shortest > 1 else 0)
-        long = end - begin >= self.shortest
-        begin, end = begin[long], end[long]
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64) if docs else np.zeros(0, np.int64)
+        shard = np.concatenate([x for d in docs for x in (d, [0])]).astype(np.int32) if docs else np.zeros(0, np.int32)
         spans: list[list] = [[] for _ in docs]
         items: list[set] = [set() for _ in docs]
-        if len(begin):
-            sizes = end - begin
-            starts = np.cumsum(np.concatenate([[0], sizes[:-1] + 1]))
-            places = np.repeat(begin - starts, sizes + 1) + np.arange(int(sizes.sum()) + len(sizes))
-            text = shard[np.minimum(places, len(shard) - 1)]
-            text[starts + sizes] = 0
-            index = FMIndex(text, starts)
-            lo, hi = index.search(self.table, self.lengths)
-            hit = np.flatnonzero(hi > lo)
-            n = (hi - lo)[hit]
-            rows = np.repeat(lo[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            which = np.repeat(hit, n)
-            where = places[index.locate(rows)]
-            cover = np.zeros(len(shard) + 1, np.int64)
-            np.add.at(cover, where, 1)
-            np.add.at(cover, where + self.lengths[which], -1)
-            edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)]))
-            first = np.concatenate([[0], ends])
-            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                d = int(np.searchsorted(ends, a, side="right"))
-                spans[d].append((int(a - first[d]), int(b - first[d])))
-            owner = np.searchsorted(ends, where, side="right")
-            for d, w in set(zip(owner.tolist(), which.tolist())):
-                items[d].update(self.items[k] for k in self.of[w])
+        # The benchmark's words in the shard's numbers; a window with a word that the shard lacks isn't there.
+        number = np.fromiter((ids.get(w, 0) for w in self.words), np.int64, len(self.words))
+        table = np.concatenate([[0], number])[self.table]
+        here = np.flatnonzero(((table > 0) | (self.table == 0)).all(1))
+        if not len(shard) or not len(here):
+            return [(s, []) for s in spans]
+        index = FMIndex(shard, first)
+        lo, hi = index.search(table[here], self.lengths[here])
+        hit = np.flatnonzero(hi > lo)
+        n = (hi - lo)[hit]
+        rows = np.repeat(lo[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        which = np.repeat(here[hit], n)
+        where = index.locate(rows)
+        cover = np.zeros(len(shard) + 1, np.int64)
+        np.add.at(cover, where, 1)
+        np.add.at(cover, where + self.lengths[which], -1)
+        edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)]))
+        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+            d = int(np.searchsorted(ends, a, side="right"))
+            spans[d].append((int(a - first[d]), int(b - first[d])))
+        owner = np.searchsorted(ends, where, side="right")
+        for d, w in np.unique(np.stack([owner, which]), axis=1).T.tolist():
+            items[d].update(self.items[k] for k in self.owners[self.begins[w] : self.begins[w + 1]].tolist())
         return [(s, sorted(i)) for s, i in zip(spans, items)]
 
 
@@ -215,15 +226,16 @@ def cut(text: str, spans: list) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, size: int = 10, shard_bytes: int = 16 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, size: int = 10, shard_bytes: int = 8 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``n_words, spans, items``: spans are [first, end) in words.
 
-    The benchmark goes to the tasks in blocks of about ``block_bytes`` of text, one pass over ``docs`` each, so that
-    what is sent is bounded. Null texts have no words; items without words match nothing; a shard is as many whole
-    documents as reach ``shard_bytes``. There is no shuffle. Names that are taken get underscores.
+    The benchmark is searched for in blocks of about ``block_bytes`` of text, one pass over ``docs`` each; passes are
+    written out in between, so that only one block is in memory at a time. A shard is as many whole documents as reach
+    ``shard_bytes``. There is no shuffle. Null texts have no words; items without words match nothing; equal items and
+    repeated rows are found alike; empty tables give no rows, or no spans. Names that are taken get underscores.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     keep = docs.columns if keep is None else keep
     added = [free_name(docs.select(*keep), x) for x in ("n_words", "spans", "items")]
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -231,21 +243,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     kept = docs.select(*keep).schema
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept.fields)] + ["t string", "n_words long", "spans array<array<int>>", "items array<string>"])
     now = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<array<int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    before = None
     for k in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(sorted((str(r[0]), r[1] or "") for r in rows))
         now = now.mapInArrow(_pass(shared, len(keep), size, shard_bytes), schema)
+        if k + 1 < blocks:
+            now = staged(now, "decontamination-pass")
+            shared.unpersist()
+            if before is not None:
+                drop_staged(before)
+            before = now
     return now.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(x).alias(y) for x, y in zip(("n_words", "spans", "items"), added)])
 
 
 def _pass(shared, width: int, size: int, shard_bytes: int):
     def run(batches):
         phrases = Phrases(shared.value, size)
-        get = phrases.ids.get
+        ids: defaultdict[bytes, int] = defaultdict(count(1).__next__)
         held, docs, held_bytes = [], [], 0
 
         def flush():
-            found = iter(phrases.match(docs))
+            found = iter(phrases.match(docs, ids))
             lengths = iter([len(d) for d in docs])
             for b in held:
                 spans, items, n = [], [], []
@@ -260,12 +279,14 @@ def _pass(shared, width: int, size: int, shard_bytes: int):
             for x in b.column(width):
                 raw = (x.as_py() or "").encode()
                 words = words_of(raw)
-                docs.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
+                docs.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
                 held_bytes += len(raw)
             held.append(b)
             if held_bytes >= shard_bytes:
                 yield from flush()
                 held, docs, held_bytes = [], [], 0
+                ids.clear()
+                ids.default_factory = count(1).__next__
         if held:
             yield from flush()
 

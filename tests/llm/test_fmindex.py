@@ -49,6 +49,17 @@ def test_agrees_with_brute_force(spark):
         assert sorted((r.doc_id, sum(y - x for x, y in r.spans), len(r["items"])) for r in blocks) == sorted((g[0], g[2], g[3]) for g in got)
 
 
+def test_suffix_array_orders_suffixes():
+    rnd = random.Random(5)
+    for alphabet, runs in ((1, [30, 1, 0, 30]), (2, [50, 7, 50]), (40, [200, 200, 3])):
+        text = [x for n in runs for x in [*(rnd.randrange(1, alphabet + 1) for _ in range(n)), 0]]
+        place = {}
+        for i, x in enumerate(text):
+            place[i] = len(place) if x == 0 else None
+        key = lambda i: [(0, j) if text[j] == 0 else (1, text[j]) for j in range(i, len(text))]  # noqa: B023, E731
+        assert fmindex.suffix_array(np.array(text, np.int32)).tolist() == sorted(range(len(text)), key=key)
+
+
 def test_wavelet_ranks_and_access():
     s = np.random.default_rng(0).integers(0, 37, 1000)
     tree = fmindex.WaveletTree(s, 6)
