@@ -6,8 +6,10 @@ run, and only runs whose key occurs again can hold a repeat. Their bytes go, by
 what they got: by multikey quicksort with 8-byte characters to a shallow depth, then, where long prefixes are shared, by
 blind tries that look at branching bytes only. Neighbours with ``length`` common bytes are repeats.
 
-A key with more runs than a task should hold is dealt to several tasks; each sends one digest for each of its different
-windows, and equal digests of two tasks are repeats too. Equal runs are stored once per task, with their number.
+A key with more runs than a task should hold is dealt to several tasks. Each sorts what it has; what it found single meets
+what other tasks have by 128-bit digests of windows, which is exact up to collisions of such digests. Results don't depend
+on where that limit is, and tests hold limits of one run, of 500 and none against each other. Equal runs are stored once
+per task, with their number. Very long texts are worked on in pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_bytes
+from .common import bound_batches, partitions_for, staged, text_bytes
 
 LENGTH, GRAM = 200, 40
 
@@ -32,6 +34,9 @@ TASK_RUNS = 20_000
 #: A key of more runs than this is dealt to several tasks, so that none waits for a hot passage.
 CROWD = 500
 
+#: Windows of a text, or bytes of several short ones, that are worked on together.
+PIECE = 1 << 22
+
 #: Depth in bytes to which multikey quicksort goes.
 SHALLOW = 32
 
@@ -177,6 +182,25 @@ def deep_shallow_sort(data: bytes, places: np.ndarray, length: int) -> tuple[np.
     return places[order], ~new
 
 
+def _pieces(offsets: np.ndarray, length: int):
+    """(first text, ends of texts, first byte, first window) of what to work on together: short texts side by side, and
+    parts of one long text, each window in one of them."""
+    sizes = np.diff(offsets)
+    k = 0
+    while k < len(sizes):
+        if sizes[k] > PIECE:
+            for base in range(0, max(1, int(sizes[k]) - length + 1), PIECE):
+                yield k, np.array([min(int(sizes[k]), base + PIECE + length - 1) - base]), int(offsets[k]) + base, base
+            k += 1
+            continue
+        stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + PIECE, side="right")) - 1)
+        while stop > k + 1 and (sizes[k:stop] > PIECE).any():
+            stop -= 1
+        if offsets[stop] > offsets[k]:
+            yield k, offsets[k + 1 : stop + 1] - offsets[k], int(offsets[k]), 0
+        k = stop
+
+
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw = text_bytes(text_col)
     th = F.xxhash64(raw)
@@ -194,30 +218,32 @@ def _runs(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
             offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
             if offsets[-1] == offsets[0]:
                 continue
-            data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            doc, start, count, key, twice = runs_of(data, offsets[1:] - offsets[0], hasher, length)
-            if not len(doc):
-                continue
-            values, back, times = np.unique(key, return_inverse=True, return_counts=True)
-            known = (times[back] > 1) | twice
-            th = b.column(1).to_numpy()[doc]
-            row = b.column(3).to_numpy()[doc] ^ (start * 0x9E3779B1)  # by document too, so that copies part
-            deal = np.where(known, row, key.view(np.int64))
-            told = np.unique(key[known])
-            pad = lambda x, v: np.concatenate([x, np.full(len(told), v, x.dtype)])
-            ids = pa.concat_arrays([b.column(0).take(pa.array(doc)), pa.nulls(len(told), b.column(0).type)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, pa.array(pad(th, 0)), pa.array(pad(start, -1).astype(np.int32)), pa.array(pad(count, 0).astype(np.int32)),
-                    pa.array(np.concatenate([key, told]).view(np.int64)), pa.array(pad(known, False)), pa.array(np.concatenate([deal, told.view(np.int64)])),
-                ],
-                names=["doc_id", "th", "start", "count", "m", "known", "deal"],
-            )
+            every = np.frombuffer(raw.buffers()[2], np.uint8)
+            for at, ends, begin, base in _pieces(offsets, length):
+                doc, start, count, key, twice = runs_of(every[begin : begin + ends[-1]], ends, hasher, length)
+                if not len(doc):
+                    continue
+                doc, start = doc + at, start + base
+                values, back, times = np.unique(key, return_inverse=True, return_counts=True)
+                known = (times[back] > 1) | twice
+                th = b.column(1).to_numpy()[doc]
+                row = b.column(3).to_numpy()[doc] ^ (start * 0x9E3779B1)  # by document too, so that copies part
+                deal = np.where(known, row, key.view(np.int64))
+                told = np.unique(key[known])
+                pad = lambda x, v: np.concatenate([x, np.full(len(told), v, x.dtype)])  # noqa: B023, E731
+                ids = pa.concat_arrays([b.column(0).take(pa.array(doc)), pa.nulls(len(told), b.column(0).type)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids, pa.array(pad(th, 0)), pa.array(pad(start, -1).astype(np.int32)), pa.array(pad(count, 0).astype(np.int32)),
+                        pa.array(np.concatenate([key, told]).view(np.int64)), pa.array(pad(known, False)), pa.array(np.concatenate([deal, told.view(np.int64)])),
+                    ],
+                    names=["doc_id", "th", "start", "count", "m", "known", "deal"],
+                )
 
     return keyed.mapInArrow(run, f"doc_id {kind}, th long, start int, count int, m long, known boolean, deal long")
 
 
-def _candidates(runs: DataFrame, kind: str) -> DataFrame:
+def _candidates(runs: DataFrame, kind: str, parts: int) -> DataFrame:
     """Runs whose key occurs again anywhere."""
 
     def run(batches):
@@ -236,7 +262,7 @@ def _candidates(runs: DataFrame, kind: str) -> DataFrame:
             keep = (times[back] > 1) & (rows.column(2).to_numpy() >= 0)
             yield from rows.filter(pa.array(keep)).to_batches(max_chunksize=100_000)
 
-    return runs.repartition("deal").mapInArrow(run, f"doc_id {kind}, th long, start int, count int, m long")
+    return runs.repartition(parts, "deal").mapInArrow(run, f"doc_id {kind}, th long, start int, count int, m long")
 
 
 def _segments(found: DataFrame, kind: str, length: int) -> DataFrame:
@@ -244,26 +270,30 @@ def _segments(found: DataFrame, kind: str, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, th, raws, lists, marks = b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()
-            rows, bytes_, m, salt, start, doc = [], [], [], [], [], []
-            for k, (t, runs) in enumerate(zip(th, lists)):
-                raw = raws[k].as_py()
-                for r in runs:
-                    s = r["start"]
-                    bytes_.append(raw[s : s + r["count"] - 1 + length])
-                    m.append(r["m"])
-                    salt.append(1 + (marks[k] ^ s * 0x9E3779B1) % r["tasks"] if r["tasks"] else 0)
-                    start.append(s)
-                    doc.append(t)
-                rows.extend([k] * len(runs))
-                if sum(map(len, bytes_[-len(runs) :])) and len(bytes_) > 20_000:
-                    yield pack(ids, rows, doc, start, m, salt, bytes_)
-                    rows, bytes_, m, salt, start, doc = [], [], [], [], [], []
+            ids, th, raws, marks = b.column(0), b.column(1).to_pylist(), b.column(2), b.column(4).to_pylist()
+            runs = b.column(3)
+            size = runs.value_lengths().to_numpy()
+            flat = runs.flatten()
+            starts, counts, keys, tasks = (flat.field(c).to_numpy() for c in ("start", "count", "m", "tasks"))
+            salts = np.where(tasks > 0, 1 + (np.repeat(np.array(marks, np.int64), size) ^ starts.astype(np.int64) * 0x9E3779B1) % np.maximum(tasks, 1), 0)
+            rows, bytes_, held, at = [], [], 0, 0
+            for k in range(len(size)):
+                raw = raws[k].as_buffer().to_pybytes()
+                for r in range(at, at + int(size[k])):
+                    s = starts[r]
+                    bytes_.append(raw[s : s + counts[r] - 1 + length])
+                    rows.append((k, r))
+                    held += len(bytes_[-1])
+                    if held > 4 << 20:
+                        yield pack(ids, th, rows, starts, keys, salts, bytes_)
+                        rows, bytes_, held = [], [], 0
+                at += int(size[k])
             if rows:
-                yield pack(ids, rows, doc, start, m, salt, bytes_)
+                yield pack(ids, th, rows, starts, keys, salts, bytes_)
 
-    def pack(ids, rows, doc, start, m, salt, bytes_):
-        cols = [ids.take(pa.array(rows)), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(m, pa.int64()), pa.array(salt, pa.int32()), pa.array(bytes_, pa.binary())]
+    def pack(ids, th, rows, starts, keys, salts, bytes_):
+        doc, run = np.array(rows).T
+        cols = [ids.take(pa.array(doc)), pa.array([th[k] for k in doc.tolist()], pa.int64()), pa.array(starts[run].astype(np.int32)), pa.array(keys[run]), pa.array(salts[run].astype(np.int32)), pa.array(bytes_, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "start", "m", "salt", "segment"])
 
     return found.mapInArrow(run, f"doc_id {kind}, th long, start int, m long, salt int, segment binary")
@@ -352,7 +382,7 @@ def _marked(segments: DataFrame, kind: str, buckets: int, length: int) -> DataFr
     return segments.mapInArrow(run, f"doc_id {kind}, th long, first int, last int, bucket int, digests binary, ids array<{kind}>, ths array<long>, starts array<int>, single array<boolean>")
 
 
-def _across(pending: DataFrame, kind: str) -> DataFrame:
+def _across(pending: DataFrame, kind: str, parts: int) -> DataFrame:
     """Windows that are single in their task and have an equal in another."""
 
     def run(batches):
@@ -371,7 +401,7 @@ def _across(pending: DataFrame, kind: str) -> DataFrame:
         at = np.array(starts, np.int32)[hit]
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], id_type), pa.array(np.array(ths, np.int64)[hit]), pa.array(at), pa.array(at + 1, pa.int32())], names=["doc_id", "th", "first", "last"])
 
-    rows = pending.repartition("bucket").select("digests", "ids", "ths", "starts", "single")
+    rows = pending.repartition(parts, "bucket").select("digests", "ids", "ths", "starts", "single")
     return rows.mapInArrow(run, f"doc_id {kind}, th long, first int, last int")
 
 
@@ -379,17 +409,21 @@ def _cut(found: DataFrame, kind: str, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for k, ranges in enumerate(b.column(3).to_pylist()):
-                raw = b.column(2)[k].as_py()
-                cover = np.zeros(len(raw) + 1, np.int64)
-                r = np.array([(x["first"], x["last"]) for x in ranges], np.int64)
-                np.add.at(cover, r[:, 0], 1)
-                np.add.at(cover, np.minimum(r[:, 1] - 1 + length, len(raw)), -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((int(gone.sum()), [list(s) for s in spans], hashlib.sha256(kept).hexdigest()))
+            lists = b.column(3)
+            size, flat = lists.value_lengths().to_numpy(), lists.flatten()
+            every = np.stack([flat.field(c).to_numpy() for c in ("first", "last")], 1).astype(np.int64)
+            for k, (i, n) in enumerate(zip(np.cumsum(size) - size, size)):
+                raw = memoryview(b.column(2)[k].as_buffer())
+                r = every[i : i + n]
+                r = r[np.argsort(r[:, 0], kind="stable")]
+                stop = np.maximum.accumulate(np.minimum(r[:, 1] - 1 + length, len(raw)))
+                new = np.concatenate([[True], r[1:, 0] > stop[:-1]])
+                spans = list(zip(r[new, 0].tolist(), stop[np.append(new[1:], True)].tolist()))
+                kept, at = hashlib.sha256(), 0
+                for a, z in [*spans, (len(raw), len(raw))]:
+                    kept.update(raw[at:a])
+                    at = z
+                out.append((sum(z - a for a, z in spans), [list(s) for s in spans], kept.hexdigest()))
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "th", "n_removed", "spans", "kept_sha256"])
 
@@ -399,20 +433,22 @@ def _cut(found: DataFrame, kind: str, length: int) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, task_runs: int = TASK_RUNS, crowd: int = CROWD) -> DataFrame:
     """``doc_id, th, n_removed, spans, kept_sha256`` of the documents that have repeats, once for equal (id, text) rows.
 
-    ``th`` is the 64-bit hash of the text, ``spans`` the merged [first, end) ranges of bytes that a repeat covers.
+    ``th`` is the 64-bit hash of the text, ``spans`` the merged [first, end) ranges of bytes that a repeat covers. Texts
+    shorter than ``length``, null ones too, have none; equal rows repeat each other; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = _keys(docs, id_col, text_col)
-    found = staged(_candidates(_runs(keyed, kind, length, gram), kind), "repeat-runs")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    found = staged(_candidates(_runs(keyed, kind, length, gram), kind, partitions_for(spark, size, 128 << 20)), "repeat-runs")
     total = found.count()
     hot = staged(found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("m", F.ceil(F.col("n") / crowd).cast("int").alias("tasks")), "repeat-crowds")
     crowds = hot.count()
     if crowds <= 100_000:  # some MB at most; a longer list is joined by shuffling
         hot = F.broadcast(hot)
     deal = F.struct("start", "count", "m", F.coalesce("tasks", F.lit(0)).alias("tasks"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_runs))
+    parts = partitions_for(spark, total, task_runs)
     listed = found.join(hot, "m", "left").groupBy("doc_id", "th").agg(F.collect_set(deal).alias("runs")).withColumnsRenamed({"doc_id": "i", "th": "t"})
     texts = keyed.join(listed, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "th", "raw", "runs", "dh")
     texts = staged(texts, "repeat-texts")
@@ -420,7 +456,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     marked = staged(_marked(segments, kind, parts, length), "repeat-marks")
     marks = marked.filter(F.col("bucket").isNull()).select("doc_id", "th", "first", "last")
     if crowds:
-        marks = marks.unionAll(_across(marked.filter(F.col("bucket").isNotNull()), kind))
+        marks = marks.unionAll(_across(marked.filter(F.col("bucket").isNotNull()), kind, parts))
     ranges = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).withColumnsRenamed({"doc_id": "i", "th": "t"})
     cut = texts.select("doc_id", "th", "raw").join(ranges, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "th", "raw", "ranges")
     return _cut(cut, kind, length).dropDuplicates(["doc_id", "th"])

@@ -33,7 +33,7 @@ def corpus(seed):
 
 
 def test_agrees_with_brute_force(spark, monkeypatch):
-    for seed, crowd in ((1, 4000), (2, 5)):
+    for seed, crowd in ((1, 1 << 40), (1, 500), (1, 1), (2, 5)):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         whole = suffixes.repeats
@@ -59,3 +59,30 @@ def test_odd_rows(odd_docs, no_docs):
     rows = suffixes.removals(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r.n_removed for r in rows if r.doc_id in (5, 6)} == {300_000}
     assert suffixes.removals(no_docs).count() == 0
+
+
+def test_long_texts_are_worked_on_in_pieces(spark, monkeypatch):
+    rows = corpus(4) + [(300, "z" + corpus(5)[-5][1] if corpus(5)[-5][1] else "z"), (301, "".join(t or "" for _, t in corpus(6)[:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    got = sorted((str(r.doc_id), *r[1:]) for r in suffixes.removals(docs).collect())
+    assert got == sorted(brute(rows, 200))
+
+
+def test_pieces_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 50)
+    for sizes in ([0, 10, 3, 171, 5], [9] * 20, [51, 50, 49, 0], [0, 0], [100, 1, 200]):
+        offsets = np.concatenate([[7], 7 + np.cumsum(sizes)])
+        seen = Counter()
+        for at, ends, begin, base in suffixes._pieces(offsets, 9):
+            for k, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                assert begin + a == offsets[at + k] + base and begin + z <= offsets[at + k + 1] and z <= 50 + 8
+                seen.update((at + k, base + w) for w in range(z - a - 8))
+        assert seen == Counter((k, w) for k, n in enumerate(sizes) for w in range(n - 8))
+
+
+def test_a_text_of_20_mb(spark):
+    half = "".join(random.Random(9).choices("abcdefgh ", k=10_000_000))
+    docs = spark.createDataFrame([(1, half + half[:500]), (2, half[-300:] + "!")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.removals(docs).collect()}
+    assert got == {1: (10_000_500, 1300), 2: (301, 300)}
