@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, free_name, small_batches, staged
+from .common import BROADCAST_ROWS, bound_batches, drop_staged, free_name, partitions_for, small_side, staged
 
 #: A-Z become a-z; space and the controls from tab to carriage return separate words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -47,7 +47,7 @@ def fingerprint(raw: bytes, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, name: str = "fp") -> DataFrame:
     """``docs`` (or its columns ``keep``) with the fingerprint as a signed long; null texts have no words; no shuffle."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     name = free_name(docs.select(*keep), name)
     fields = docs.select(*keep).schema.fields
@@ -149,15 +149,47 @@ class Forest:
             r = s
 
 
-def links(codes: DataFrame, bits: int = 3) -> DataFrame:
-    """``a, b``: links that connect what at most ``bits`` bits connect, for distinct codes in ``fp``.
+#: Codes that one group should hold, and that one task should get.
+GROUP_CODES, TASK_CODES = 20_000, 500_000
+
+
+def dealt(codes: DataFrame, bits: int = 3, most: int = GROUP_CODES) -> DataFrame:
+    """``fp, k``: each code once for each of its ``bits + 1`` parts, under a key that codes with an equal part share.
 
-    Each task of the join gets whole (quarter, value) groups and gives a forest of them, fewer links than codes.
+    A group of more than ``most`` codes is dealt again: what its codes don't share by the key is cut into ``bits + 1``
+    parts once more, one of which two codes of at most ``bits`` bits share as well. So groups stay small where many codes
+    agree in a part, and no link is lost.
     """
     parts = bits + 1
     width = 64 // parts
-    keys = F.array(*[(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << width)) for i in range(parts)])
-    dealt = codes.select("fp", F.explode(keys).alias("k"))
+    low = F.lit((1 << width) - 1)
+    number = F.array(*[F.lit(i) for i in range(parts)])
+    once = codes.select("fp", F.explode(number).alias("i"))
+    right = lambda c, n: F.call_function("shiftrightunsigned", F.col(c), n)
+    left = lambda c, n: F.call_function("shiftleft", c, n)
+    once = once.withColumn("v", right("fp", F.col("i") * width).bitwiseAND(low)).withColumn("k", F.col("v") + F.col("i").cast("long") * (1 << width))
+    heavy = staged(once.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("k", F.lit(True).alias("heavy")), "heavy-groups")
+    if not heavy.limit(1).count():
+        drop_staged(heavy)
+        return once.select("fp", "k")
+    marked = once.join(small_side(heavy), "k", "left")
+    light = marked.filter("heavy is null").select("fp", "k")
+    # The other parts side by side are 64 - width bits, cut into pieces again.
+    rest = right("fp", (F.col("i") + 1) * width)
+    above = F.when(F.col("i") + 1 < parts, rest).otherwise(F.lit(0).cast("long"))
+    below = F.col("fp").bitwiseAND(left(F.lit(1).cast("long"), F.col("i") * width) - 1)
+    joined = left(above, F.col("i") * width).bitwiseOR(below)
+    piece = -(-(64 - width) // parts)
+    again = marked.filter("heavy").withColumn("joined", joined).withColumn("j", F.explode(number))
+    value = right("joined", F.col("j") * piece).bitwiseAND(F.lit((1 << piece) - 1))
+    return light.unionAll(again.select("fp", (((F.col("k") * parts + F.col("j")) * (1 << piece) + value) + F.lit(1 << 40)).alias("k")))
+
+
+def links(codes: DataFrame, bits: int = 3, most: int = GROUP_CODES) -> DataFrame:
+    """``a, b``: links that connect what at most ``bits`` bits connect, for distinct codes in ``fp``.
+
+    Each task of the join gets whole groups of codes that agree in a part, and gives a forest of them, fewer links than codes.
+    """
 
     def run(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -174,7 +206,8 @@ def links(codes: DataFrame, bits: int = 3) -> DataFrame:
         sorted_fp = index.codes.view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(sorted_fp[every[child]]), pa.array(sorted_fp[root[child]])], names=["a", "b"])
 
-    return dealt.repartition("k").mapInArrow(run, "a long, b long").distinct()
+    parts = partitions_for(codes.sparkSession, codes.count() * (bits + 1), TASK_CODES)
+    return dealt(codes, bits, most).repartition(parts, "k").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -224,7 +257,11 @@ def groups_of(found: DataFrame, bits: int = 3, edges: DataFrame | None = None) -
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of all documents."""
+    """``doc_id, fingerprint, component_id`` of every row, repeated ones too; an empty table gives no rows.
+
+    Null texts and texts without a word have the fingerprint 0 and are linked like any. Ties don't arise: a component's id
+    is its smallest doc_id, and null ids count only where a component has no other.
+    """
     found = staged(fingerprints(docs.select("doc_id", "text"), keep=["doc_id"]), "fingerprints")
     out = groups_of(found)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -242,12 +279,29 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(marked: DataFrame, per: DataFrame, mark: str, id_col: str) -> DataFrame:
-    """The rows of ``marked``, whose text hash is in ``mark``, that come first in the groups ``doc_id, mark, root``."""
+    """The rows of ``marked``, whose text hash is in ``mark``, that come first in the groups ``doc_id, mark, root``.
+
+    If few keys go, or stand for several rows, these are broadcast and no text is shuffled; otherwise the keys that stay are
+    joined, and one row of each is kept, by one shuffle.
+    """
+    names = {c: free_name(marked, f"first_{c}") for c in ("id", "mark", "key")}
     key = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark")
-    chosen = per.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__mark")).distinct()
-    chosen = chosen.withColumn("__key", F.xxhash64("__id", "__mark"))
-    # One key column without nulls, so that the join and the removal of repeated rows share one shuffle of the texts.
+    counted = per.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("root").agg(F.min(key).alias("k"))
+    j = counted.join(best, "root").select(F.col("doc_id").alias(names["id"]), F.col("mark").alias(names["mark"]), "n", (key == F.col("k")).alias("stays"))
+    j = staged(j.withColumn(names["key"], F.xxhash64(names["id"], names["mark"])), "first-keys")
     place = free_name(marked, "place")
-    marked = marked.withColumn(place, F.xxhash64(id_col, mark))
-    same = (marked[place] == F.col("__key")) & marked[id_col].eqNullSafe(F.col("__id")) & (marked[mark] == F.col("__mark"))
-    return marked.join(chosen, same, "left_semi").dropDuplicates([place, id_col, mark])
+    rows = marked.withColumn(place, F.xxhash64(id_col, mark))
+    pick = list(names.values())
+
+    def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        # One key column without nulls, so that the join and the removal of repeated rows share one shuffle of the texts.
+        same = (rows[place] == keys[names["key"]]) & rows[id_col].eqNullSafe(keys[names["id"]]) & (rows[mark] == keys[names["mark"]])
+        return rows.join(keys, same, how)
+
+    some = j.filter("not stays or n > 1")
+    if some.count() <= BROADCAST_ROWS:
+        alone = joined(rows, F.broadcast(some.select(*pick)), "left_anti")
+        several = joined(rows, F.broadcast(j.filter("stays and n > 1").select(*pick)), "left_semi").dropDuplicates([place, id_col, mark])
+        return alone.unionAll(several)
+    return joined(rows, j.filter("stays").select(*pick), "left_semi").dropDuplicates([place, id_col, mark])

@@ -67,6 +67,24 @@ def test_components_agree_with_brute_force(spark):
     assert got == {d: least[root[c % 2**64]] for d, c in rows}
 
 
+def test_heavy_groups_are_dealt_again_and_lose_no_link(spark):
+    base = 0x1234_5678_9ABC_DEF0
+    rnd = random.Random(4)
+    codes = near_codes(3, 200)
+    for _ in range(300):  # many that agree in the lowest and the highest quarter
+        c = base ^ rnd.getrandbits(32) << 16
+        codes += [c, c ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64)]
+    codes = sorted(set(codes))
+    signed = [(c - 2**64 if c >= 2**63 else c,) for c in codes]
+    df = spark.createDataFrame(signed, "fp long")
+    edges = simhash.links(df, 3, most=20)
+    assert simhash.dealt(df, 3, most=20).groupBy("k").count().agg({"count": "max"}).first()[0] < simhash.dealt(df).groupBy("k").count().agg({"count": "max"}).first()[0]
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    want = slow_components(codes)
+    mine = {c: got.get(s, s) for c, (s,) in zip(codes, signed)}
+    assert len({(mine[c], want[c]) for c in codes}) == len(set(mine.values())) == len(set(want.values()))
+
+
 def test_whole_operator_on_odd_rows(odd_docs, no_docs):
     rows = simhash.groups(odd_docs).collect()
     texts = odd_docs.collect()
