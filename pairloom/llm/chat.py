@@ -4,8 +4,8 @@ A conversation longer than the budget is cut between turns: prefix sums of the t
 new turns that fits beside the system turn, which every window keeps, and a limited repeated history. Loss covers each
 assistant turn once, in the window where it is new; repeated turns are masked.
 
-Conversations are sorted on disk by Spark and streamed through: a task holds one window's turns, however long the
-conversation. Null texts and roles count as empty, a null id is a conversation of its own, equal turn numbers are
+Tokens are counted before conversations are brought together, by all tasks alike. Conversations are sorted on disk by
+Spark and streamed through: a task holds one window's turns, however long the conversation, and only adds up. Null texts and roles count as empty, a null id is a conversation of its own, equal turn numbers are
 ordered by role and text, and an empty table gives no windows.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bound_batches
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -48,29 +48,28 @@ def unescape(text: str) -> str:
     return _PLAIN.sub(r"\1", text)
 
 
-def counter(path: str):
+def counter(vocabulary: bytes):
     """Counts the tokens of a text by a public byte-level vocabulary in tiktoken's format."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     coder = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(coder.encode_ordinary(text))
 
 
-def windows(turns: Iterable[tuple[str, str]], count, budget: int, history: int) -> Iterator[dict]:
-    """Windows of one conversation of (role, text) turns, holding no more than a window's turns at a time."""
+def framed(role: str, text: str) -> tuple[str, str]:
+    """Head and body of a turn."""
+    return f"{START}{quote(role, safe='')}\n", escape(text)
+
+
+def windows(turns: Iterable[tuple[str, str, int]], budget: int, history: int) -> Iterator[dict]:
+    """Windows of one conversation of (role, text, tokens) turns, holding no more than a window's turns at a time."""
     system: list[tuple] = []
     past: list[tuple] = []  # the last turns of earlier windows
     fresh: list[tuple] = []
     sums = [0]
     number = 0
 
-    def made() -> tuple[str, str, str, int]:
-        head = f"{START}{quote(role, safe='')}\n"
-        body = escape(text)
-        return head, body, role, count(head + body + END)
-
     def window(new: list[tuple]) -> dict:
         nonlocal number
         room = budget - sum(t[3] for t in system) - sum(t[3] for t in new)
@@ -94,8 +93,8 @@ def windows(turns: Iterable[tuple[str, str]], count, budget: int, history: int)
 
     reserve = lambda: sum(t[3] for t in system) + min(sum(t[3] for t in past[-history:]) if history else 0, budget // 4)
     first = True
-    for role, text in turns:
-        turn = made()
+    for role, text, tokens in turns:
+        turn = (*framed(role, text), role, tokens)
         if first and role == "system":
             system.append(turn)
             first = False
@@ -112,21 +111,38 @@ def windows(turns: Iterable[tuple[str, str]], count, budget: int, history: int)
         yield window(fresh)
 
 
+def with_tokens(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """``conv_id, turn, role, text`` with ``tokens``: what each turn takes in a window, its frame included; no shuffle.
+
+    ``tokenizer`` is a file on the driver; its content goes to the tasks.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = turns.sparkSession.sparkContext.broadcast(f.read())
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema.fields)
+
+    def run(batches):
+        count = counter(vocabulary.value)
+        for b in batches:
+            frames = (framed(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([count(h + x + END) for h, x in frames], pa.int64())], names=[*b.schema.names, "tokens"])
+
+    return turns.mapInArrow(run, f"{types}, tokens long")
+
+
 def format_windows(conversations: DataFrame, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", budget: int = 1024, history: int = 2) -> DataFrame:
     """Windows of all conversations (``conv_id, turn, role, text``); other columns are left out.
 
     A window has its number, how many of its turns are repeated, its tokens, whether a single turn exceeds the budget,
     the text, and the spans of the text (in code points) that loss covers.
     """
-    small_batches(conversations.sparkSession)
+    bound_batches(conversations.sparkSession)
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = with_tokens(conversations.select("conv_id", "turn", blank("role"), blank("text")), tokenizer)
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "tokens")
     loss = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        count = counter(tokenizer)
         id_type = None
 
         def turns():
@@ -136,7 +152,7 @@ def format_windows(conversations: DataFrame, tokenizer: str = "/opt/tokenizers/b
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
         out: list[dict] = []
-        for conv, w in _grouped(turns(), lambda t: windows(t, count, budget, history)):
+        for conv, w in _grouped(turns(), lambda t: windows(t, budget, history)):
             out.append({"conv_id": conv, **w})
             if len(out) >= 500:
                 yield _batch(out, id_type, loss)
@@ -175,7 +191,13 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Reads the windows back: per conversation its turns, what loss covers, and the characters formatted."""
+    """Reads the windows back: per conversation its turns, what loss covers, and the characters formatted.
+
+    Windows may come in any order, as from a table read again: they are brought together by conversation and number. Null
+    ids are one conversation, a repeated turn is a turn, an empty table gives no rows.
+    """
+    bound_batches(formatted.sparkSession)
+    sorted_ = formatted.select("conv_id", "window", "n_repeated", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
     kind = formatted.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -213,4 +235,4 @@ def digests(formatted: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [id_type, *kinds])], names=names)
 
-    return formatted.select("conv_id", "n_repeated", "text", "loss").mapInArrow(run, schema)
+    return sorted_.select("conv_id", "n_repeated", "text", "loss").mapInArrow(run, schema)

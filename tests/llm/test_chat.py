@@ -22,6 +22,7 @@ def test_round_trip_with_control_strings_nulls_and_ties(spark):
     for budget, history in ((64, 2), (200, 0), (10_000, 3)):
         made = chat.format_windows(df, budget=budget, history=history)
         assert sorted((str(r[0]), *r[1:5]) for r in chat.digests(made).collect()) == sorted(expected(rows))
+        assert sorted((str(r[0]), *r[1:5]) for r in chat.digests(made.orderBy("text").repartition(5)).collect()) == sorted(expected(rows))
         for w in made.collect():
             assert w.over_budget == (w.tokens > budget)
             turns = chat.parse(w.text)
@@ -32,7 +33,7 @@ def test_round_trip_with_control_strings_nulls_and_ties(spark):
 
 def test_windows_keep_system_turn_and_mask_history():
     turns = [("system", "be brief")] + [(("user", "assistant")[i % 2], f"turn {i}") for i in range(8)]
-    made = list(chat.windows(turns, len, 200, 1))
+    made = list(chat.windows([(r, t, len("".join(chat.framed(r, t)) + chat.END)) for r, t in turns], 200, 1))
     assert len(made) > 1 and all(w["text"].startswith("<|im_start|>system\nbe brief") for w in made)
     assert all(w["n_repeated"] == 2 for w in made[1:])
     said = [w["text"][s["start"] : s["end"]] for w in made for s in w["loss"]]
