@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, shared_dir, small_batches, staged, text_bytes
+from .common import bound_batches, shared_dir, staged, text_bytes
 
 #: Payloads below this size are always stored. Fixed value.
 LEAST_REVISITED = 1000
@@ -222,10 +222,8 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    small_batches(spark, 1)  # whole archives go to Python one at a time
-    runs = staged(capture_runs(spark, path), "warc-runs")
-    small_batches(spark, BATCH_ROWS)
-    return merged_index(runs)
+    bound_batches(spark)  # an archive is as large as a batch may be, so they go to Python one or two at a time
+    return merged_index(staged(capture_runs(spark, path), "warc-runs"))
 
 
 def read_back(pages: DataFrame) -> DataFrame:
