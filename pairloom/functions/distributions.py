@@ -69,6 +69,53 @@ def binomial_both(k: float, n: float) -> float | None:
     return min(1.0, 2.0 * sum(math.comb(int(n), i) for i in range(int(k) + 1)) / 2.0 ** int(n))
 
 
+def signed_rank_both(w: float, n: float) -> float:
+    """Two-sided exact p value of a signed-rank sum ``w`` of ``n`` differences, by counting the subsets of 1 .. n by sum."""
+    ways = np.ones(1)
+    for k in range(1, int(n) + 1):
+        ways = np.concatenate([ways, np.zeros(k)]) + np.concatenate([np.zeros(k), ways])
+    at = int(round(w))
+    return float(min(1.0, 2.0 * min(ways[: at + 1].sum(), ways[at:].sum()) / 2.0 ** int(n)))
+
+
+def normal_cdf(x: float) -> float:
+    return 0.5 * math.erfc(-x / math.sqrt(2))
+
+
+def normal_quantile(p: float) -> float:
+    """Standard normal quantile by Newton's steps on the distribution function."""
+    x = 0.0
+    for _ in range(60):
+        x -= max(-1.0, min(1.0, (normal_cdf(x) - p) / (math.exp(-x * x / 2) / math.sqrt(2 * math.pi))))
+    return x
+
+
+def nemenyi_quantile(k: float, level: float) -> float:
+    """Upper quantile of the range of ``k`` standard normal variables, over the root of 2."""
+    z = np.linspace(-9.0, 9.0, 1801)
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    below = np.array([normal_cdf(v) for v in z])
+    step = z[1] - z[0]
+
+    def upper(q: float) -> float:
+        shifted = np.array([normal_cdf(v - q) for v in z])
+        return 1.0 - float(k * (density * (below - shifted) ** (k - 1)).sum() * step)  # smooth and 0 at the ends: exact to 1e-12
+
+    low, high = 0.0, 20.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if upper(mid) > level else (low, mid)
+    return low / math.sqrt(2)
+
+
+def sign_test_power(share: float, level: float, n: float) -> float:
+    """Power of the exact one-sided sign test of ``n`` trials that succeed with probability ``share``."""
+    n = int(n)
+    upper = lambda p: np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n, -1, -1)])[::-1]
+    critical = np.flatnonzero(upper(0.5) <= level)
+    return float(upper(share)[critical[0]]) if len(critical) else 0.0
+
+
 def _column(f, *cols) -> Column:
     @F.pandas_udf("double")
     def run(*series: pd.Series) -> pd.Series:
@@ -92,3 +139,19 @@ def t_sf(t, df) -> Column:
 
 def binomial_two_sided(k, n) -> Column:
     return _column(binomial_both, k, n)
+
+
+def signed_rank_two_sided(w, n) -> Column:
+    return _column(signed_rank_both, w, n)
+
+
+def nemenyi_q(k, level) -> Column:
+    return _column(nemenyi_quantile, k, level)
+
+
+def normal_below(z) -> Column:
+    return _column(normal_cdf, z)
+
+
+def sign_power(share, level, n) -> Column:
+    return _column(sign_test_power, share, level, n)

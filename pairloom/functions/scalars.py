@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,85 @@ def hms(seconds: Column) -> Column:
 
 def escape_tex(text: Column) -> Column:
     return F.regexp_replace(text, r"([&%$#_{}])", r"\\$1")
+
+
+def near(a: Column, b: Column, tolerance: float) -> Column:
+    return F.abs(a - b) <= tolerance
+
+
+def finite_positive(*columns: str) -> Column:
+    """Whether all columns are above 0 and finite; NULL isn't."""
+    parts = [F.coalesce((F.col(c) > 0) & ~F.isnan(F.col(c).cast("double")) & (F.col(c) < float("inf")), F.lit(False)) for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
+
+
+def name_parts(df: DataFrame, column: str, pattern: str, groups: dict[str, str]) -> DataFrame:
+    """Rows whose text matches the whole pattern, with its groups as typed columns; an empty group is NULL."""
+    whole = f"^(?:{pattern})$"
+    part = lambda k: F.nullif(F.regexp_extract(column, whole, k), F.lit(""))
+    return df.filter(F.col(column).rlike(whole)).select("*", *[part(k + 1).cast(t).alias(n) for k, (n, t) in enumerate(groups.items())])
+
+
+def recode(value: Column, names: dict[str, str]) -> Column:
+    """The value's new name; values that aren't listed stay."""
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), value), value)
+
+
+def eligible(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """Every condition as a column, and ``eligible`` where all hold; an unknown condition doesn't."""
+    flagged = df.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in conditions.items()})
+    every = F.forall(F.array(*[F.col(k) for k in conditions]), lambda c: c)
+    return flagged.withColumn("eligible", every)
+
+
+def oriented(metric: Column, value: Column, lower_is_better: list[str]) -> Column:
+    """The value with its sign changed where less is better, so that more is better everywhere."""
+    return F.when(metric.isin(lower_is_better), -value).otherwise(value)
+
+
+#: Digits as words. Fixed values.
+DIGITS = ["Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine"]
+
+#: Whole numbers from 10 to 20 as words. Fixed values.
+TEENS = ["Ten", "Eleven", "Twelve", "Thirteen", "Fourteen", "Fifteen", "Sixteen", "Seventeen", "Eighteen", "Nineteen", "Twenty"]
+
+
+def number_words(x: Column) -> Column:
+    """A level as letters for a name: 0.25 is ``ZeroPointTwoFive``, 3 is ``Three``, 10 is ``Ten``; NULL where it isn't finite."""
+    text = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), r"\.$", "")
+    spoken = F.transform(F.split(text, ""), lambda c: F.when(c == ".", "Point").when(c == "-", "Minus").otherwise(F.get(F.array(*[F.lit(w) for w in DIGITS]), c.cast("int"))))
+    teen = F.get(F.array(*[F.lit(w) for w in TEENS]), (x - 10).cast("int"))
+    return F.when(x.between(10, 20) & (x == F.floor(x)), teen).when(F.abs(x) < float("inf"), F.array_join(spoken, ""))
+
+
+def significant(x: Column, digits: int) -> Column:
+    """A number as text with so many significant digits after its first, never fewer than all before the point; 0 is ``0``."""
+    places = F.greatest(F.lit(0), digits - 1 - F.floor(F.log10(F.abs(x))).cast("int"))
+    fixed = lambda k: F.format_string(f"%.{k}f", F.bround(x, k))
+    text = fixed(0)
+    for k in range(1, digits + 12):
+        text = F.when(places == k, fixed(k)).otherwise(text)
+    return F.when(x == 0, "0").otherwise(text)
+
+
+def composite_key(*columns: str) -> Column:
+    """``a__b__c`` as text."""
+    return F.concat_ws("__", *[F.col(c).cast("string") for c in columns])
+
+
+def short_key(key: Column, prefixes: dict[str, str]) -> Column:
+    """The key with its longest known prefix made short; a key without one is an error."""
+    out = F.raise_error(F.concat(F.lit("unknown metric key: "), key)).cast("string")
+    for prefix in sorted(prefixes, key=len):
+        out = F.when(key.startswith(prefix), F.concat(F.lit(prefixes[prefix]), F.substring(key, len(prefix) + 1, 1000))).otherwise(out)
+    return out
+
+
+def eta(done: Column, total: Column, seconds: Column) -> Column:
+    """``done/total (p %), ETA H:MM:SS`` by the mean time so far; no estimate before the first is done."""
+    left = F.when(done > 0, hms(seconds / done * (total - done))).otherwise(F.lit("?"))
+    return F.concat(done.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), F.floor(100 * done / total).cast("string"), F.lit(" %), ETA "), left)

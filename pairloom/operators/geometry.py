@@ -14,45 +14,60 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
-def pairs(points: DataFrame, block: int = BLOCK) -> DataFrame:
+def pairs(points: DataFrame, block: int = BLOCK, extra: str | None = None) -> DataFrame:
     """All pairs i < j of ``id, x, y, label`` points: ``i, j, d_hi, d_lo, ci, cj``.
 
-    Points are packed into blocks; the join is over blocks (n / 512 of them), and each pair of blocks is one vectorised
-    distance computation, so that a task holds two blocks whatever n is.
+    Points are packed into blocks; the list of block pairs is joined to the blocks by number, and each pair of blocks is
+    one vectorised distance computation, so that a task holds two blocks whatever n is. ``extra`` names one more column
+    of coordinates, whose distances come as ``d_ref``. A point without a label gives NULL; any number is a label.
     """
-    total = points.count()
-    blocks = max(1, -(-total // block))
-    packed = points.withColumn("b", F.pmod(F.hash("id"), F.lit(blocks))).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "x", "y", "label"))).alias("rows"))
-    left, right = packed.withColumnsRenamed({"b": "b1", "rows": "r1"}), packed.withColumnsRenamed({"b": "b2", "rows": "r2"})
-    both = left.join(right, F.col("b1") <= F.col("b2")).repartition(max(1, min(blocks * (blocks + 1) // 2, 4096)), "b1", "b2")
-
-    def unpack(rows):
-        ids = np.array([r["id"] for r in rows], np.int64)
-        label = np.array([-1 if r["label"] is None else r["label"] for r in rows], np.int64)
-        return ids, np.array([r["x"] for r in rows], np.float64), np.array([r["y"] for r in rows], np.float64), label
-
-    def distance(a, b):
-        out = np.zeros((len(a), len(b)))
-        for k in range(a.shape[1]):  # one dimension at a time: no block x block x dimensions array
-            step = a[:, k, None] - b[None, :, k]
-            out += step * step
-        return np.sqrt(out)
+    spark = points.sparkSession
+    blocks = max(1, -(-points.count() // block))
+    spaces = ["x", "y"] + ([extra] if extra else [])
+    rows = points.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    packed = rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", F.col("label").cast("long").alias("label"), *spaces))).alias("r"))
+    flat = packed.select("b", F.col("r.id").alias("id"), F.col("r.label").alias("label"), *[F.flatten(F.col(f"r.{c}")).alias(c) for c in spaces])
+    met = spark.range(blocks).select(F.col("id").cast("int").alias("b1")).withColumn("b2", F.explode(F.sequence("b1", F.lit(blocks - 1))))
+    left, right = (flat.select(F.col("b").alias(f"b{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("id", "label", *spaces)]) for k in (1, 2))
+    both = met.join(left, "b1").join(right, "b2").repartition(max(1, min(blocks * (blocks + 1) // 2, 4096)), "b1", "b2")
+    names = ["i", "j", "d_hi", "d_lo", "ci", "cj"] + (["d_ref"] if extra else [])
 
     def run(batches):
         for batch in batches:
-            for b1, r1, b2, r2 in zip(*(batch.column(k) for k in range(4))):
-                a, b = unpack(r1.as_py()), unpack(r2.as_py())
-                hi, lo = distance(a[1], b[1]), distance(a[2], b[2])
-                keep = np.triu(np.ones(hi.shape, bool), 1) if b1.as_py() == b2.as_py() else np.ones(hi.shape, bool)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                n1, n2 = (len(row.column(f"id{e}")[0]) for e in (1, 2))
+                at = lambda c: row.column(c).flatten()  # noqa: B023, E731
+                points_of = lambda c, n: at(c).to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+                d = [_row_distances(points_of(f"{c}1", n1), points_of(f"{c}2", n2)) for c in spaces]
+                keep = np.triu(np.ones((n1, n2), bool), 1) if row.column("b1")[0] == row.column("b2")[0] else np.ones((n1, n2), bool)
                 p, q = np.nonzero(keep)
-                swap = a[0][p] > b[0][q]
-                i, j = np.where(swap, b[0][q], a[0][p]), np.where(swap, a[0][p], b[0][q])
-                ci, cj = np.where(swap, b[3][q], a[3][p]), np.where(swap, a[3][p], b[3][q])
-                nulls = lambda c: pa.array(c, pa.int32(), mask=c < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(hi[p, q]), pa.array(lo[p, q]), nulls(ci), nulls(cj)], names=["i", "j", "d_hi", "d_lo", "ci", "cj"])
+                a, b = (at(f"id{e}").to_numpy() for e in (1, 2))
+                swap = a[p] > b[q]
+                i, j = np.where(swap, b[q], a[p]), np.where(swap, a[p], b[q])
+                la, lb = (np.asarray(at(f"label{e}").fill_null(0)) for e in (1, 2))
+                na, nb = (np.asarray(at(f"label{e}").is_null()) for e in (1, 2))
+                first, second = np.where(swap, lb[q], la[p]), np.where(swap, la[p], lb[q])
+                none1, none2 = np.where(swap, nb[q], na[p]), np.where(swap, na[p], nb[q])
+                cols = [pa.array(i), pa.array(j), pa.array(d[0][p, q]), pa.array(d[1][p, q]), pa.array(first.astype(np.int32), mask=none1), pa.array(second.astype(np.int32), mask=none2)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(m[p, q]) for m in d[2:]], names=names)
+
+    return both.mapInArrow(run, "i long, j long, d_hi double, d_lo double, ci int, cj int" + (", d_ref double" if extra else ""))
+
 
-    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return both.select("b1", "r1", "b2", "r2").mapInArrow(run, "i long, j long, d_hi double, d_lo double, ci int, cj int")
+def within(rows: DataFrame, by: str, item: str, *values: str, block: int = 512) -> DataFrame:
+    """Each pair of the rows of a ``by`` once, as ``by, item, values, item2, values2``.
+
+    Rows are dealt to blocks of about ``block`` and meet by pairs of blocks, so that a large group is the work of many
+    tasks: what is shuffled is each row once for every block of its group, not each pair.
+    """
+    n = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = rows.select(by, item, *values).join(n, by).withColumn("_b", F.pmod(F.xxhash64(item), "_blocks").cast("int"))
+    left = dealt.withColumn("_p", F.col("_b")).withColumn("_q", F.explode(F.sequence("_b", F.col("_blocks") - 1))).drop("_blocks", "_b")
+    right = dealt.withColumn("_q", F.col("_b")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_b"))))
+    right = right.select(by, "_p", "_q", *[F.col(c).alias(f"{c}2") for c in (item, *values)])
+    met = left.join(right, [by, "_p", "_q"]).filter((F.col("_p") < F.col("_q")) | (F.col(item) < F.col(f"{item}2")))
+    return met.drop("_p", "_q")
 
 
 def both_ways(p: DataFrame) -> DataFrame:
@@ -101,17 +116,25 @@ def stress(p: DataFrame, eps: float = 1e-9) -> DataFrame:
 
 
 def shepard(p: DataFrame) -> DataFrame:
-    """Pearson and Spearman correlation of the two distances over all pairs.
-
-    Ranks come from counts of each distance value, so only the running sum over distinct values is ordered.
-    """
-    out = p.select("d_hi", "d_lo").withColumn("rh", global_rank(p, "d_hi")).withColumn("rl", global_rank(p, "d_lo"))
+    """Pearson and Spearman correlation of the two distances over all pairs."""
+    out = global_rank(global_rank(p.select("d_hi", "d_lo"), "d_hi", "rh"), "d_lo", "rl")
     return out.agg(pearson("d_hi", "d_lo").alias("pearson"), pearson("rh", "rl").alias("spearman"))
 
 
-def global_rank(p: DataFrame, column: str) -> Column:
-    """Average rank over the whole table. One partition: pair tables of a size that ranks are asked for fit a sort there."""
-    return average_rank(column)
+def global_rank(p: DataFrame, column: str, name: str, bands: int = 4096) -> DataFrame:
+    """``p`` with the average rank of ``column`` over the whole table, by a shuffle and without a sort in one task.
+
+    Values fall into bands of equal width; ranks within a band come from a window, those of earlier bands are counted
+    beforehand. A value that many rows share is one band's and is spilled there.
+    """
+    ends = p.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    width = ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / bands
+    band = F.lit(0) if not width else F.least(F.lit(bands - 1), F.floor((F.col(column) - F.lit(ends["low"])) / F.lit(width))).cast("int")
+    dealt = p.withColumn("_band", band)
+    counts = dealt.groupBy("_band").agg(F.count(F.lit(1)).alias("c")).toPandas().sort_values("_band")  # at most ``bands`` rows
+    before = dict(zip(counts["_band"].tolist(), (counts["c"].cumsum() - counts["c"]).tolist()))
+    offset = F.element_at(F.array(*[F.lit(int(before.get(k, 0))) for k in range(bands)]), F.col("_band") + 1) if len(before) > 1 else F.lit(0)
+    return dealt.withColumn(name, average_rank(column, "_band") + offset).drop("_band")
 
 
 def trust_continuity(r: DataFrame, k: int) -> DataFrame:
@@ -193,11 +216,15 @@ def double_centred(p: DataFrame) -> DataFrame:
 
 
 def silhouette(p: DataFrame, space: str = "d_lo") -> DataFrame:
-    """Mean silhouette; a point alone in its class counts 0."""
-    means = both_ways(p).groupBy("i", "ci", "cj").agg(F.avg(space).alias("m"))
-    per = means.groupBy("i").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("m"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("m"))).alias("b"))
-    s = F.when(F.col("a").isNull(), 0.0).otherwise(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return per.agg(F.avg(s).alias("silhouette"))
+    """Mean silhouette of the labelled points; one alone in its class, or with no distance at all, counts 0.
+
+    NULL unless there are at least two classes and fewer classes than points.
+    """
+    means = both_ways(p).filter(F.col("ci").isNotNull() & F.col("cj").isNotNull()).groupBy("i", "ci", "cj").agg(F.avg(space).alias("m"))
+    per = means.groupBy("i", "ci").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("m"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("m"))).alias("b"))
+    s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    classes, points = F.count_distinct("ci"), F.count(F.lit(1))
+    return per.agg(F.when((classes >= 2) & (classes < points), F.avg(s)).alias("silhouette"))
 
 
 def centroids(points: DataFrame, column: str = "y", dims: int = 2) -> DataFrame:
@@ -235,80 +262,146 @@ def class_spread(p: DataFrame) -> DataFrame:
     return p.filter(F.col("ci") == F.col("cj")).groupBy(F.col("ci").alias("label")).agg(F.median("d_hi").alias("hi"), F.median("d_lo").alias("lo"))
 
 
-def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman correlation of two columns of a small table; NULL where one is constant."""
-    return df.withColumn("ra", average_rank(a)).withColumn("rb", average_rank(b)).agg(pearson("ra", "rb").alias("spearman"))
+def rank_correlation(df: DataFrame, a: str, b: str, least: int = 0) -> DataFrame:
+    """Spearman correlation of two columns of a small table; NULL where one is constant or below ``least`` rows."""
+    rho = df.dropna("any", subset=[a, b]).withColumn("ra", average_rank(a)).withColumn("rb", average_rank(b))
+    return rho.agg(F.when(F.count(F.lit(1)) >= least, pearson("ra", "rb")).alias("spearman"))
+
 
+#: Classes that class geometry is defined for. Fixed values.
+LEAST_CLASSES, MOST_CLASSES = 3, 50
 
-def lie_factor(spread: DataFrame) -> DataFrame:
-    """Median over classes of the absolute log ratio of spreads, each relative to the median spread of its space."""
-    return spread.agg(F.median(F.abs(F.log(F.col("lo") / F.col("hi")))).alias("lie_factor"))
 
+def classes_of(p: DataFrame) -> DataFrame:
+    """``n_classes``: the number of different labels of a pair table."""
+    every = p.select(F.col("ci").alias("c")).unionAll(p.select(F.col("cj").alias("c")))
+    return every.agg(F.count_distinct("c").cast("long").alias("n_classes"))
 
-def class_neighbours_kept(means: DataFrame, k: int = 3) -> DataFrame:
-    """Share of classes whose set of k nearest classes is the same in both spaces."""
+
+def _if_classes(df: DataFrame, p: DataFrame, column: str) -> DataFrame:
+    known = F.col("n_classes").between(LEAST_CLASSES, MOST_CLASSES)
+    return df.crossJoin(F.broadcast(classes_of(p))).select(F.when(known, F.col(column)).alias(column))
+
+
+def centroid_spearman(p: DataFrame) -> DataFrame:
+    """Spearman of the mean distances between classes; NULL below three classes or above fifty."""
+    return _if_classes(rank_correlation(class_means(p), "hi", "lo", 3), p, "spearman")
+
+
+def spread_spearman(p: DataFrame) -> DataFrame:
+    """Spearman of the median distances within classes; NULL below three classes with two points, or above fifty."""
+    return _if_classes(rank_correlation(class_spread(p), "hi", "lo", 3), p, "spearman")
+
+
+def lie_factor(p: DataFrame) -> DataFrame:
+    """Median over classes of the absolute log ratio of spreads, each over the median of all distances of its space.
+
+    Classes without spread on a side are left out; NULL below three classes or above fifty.
+    """
+    whole = exact_median(p, "d_hi").withColumnRenamed("median", "all_hi").crossJoin(exact_median(p, "d_lo").withColumnRenamed("median", "all_lo"))
+    spread = class_spread(p).filter("hi > 0 and lo > 0").crossJoin(F.broadcast(whole)).filter("all_hi > 0 and all_lo > 0")
+    change = F.log((F.col("lo") / F.col("all_lo")) / (F.col("hi") / F.col("all_hi")))
+    return _if_classes(spread.agg(F.median(F.abs(change)).alias("lie_factor")), p, "lie_factor")
+
+
+def class_neighbours_kept(p: DataFrame, k: int = 3) -> DataFrame:
+    """Share of classes whose set of k nearest classes is the same in both spaces; NULL below k + 1 classes or above fifty."""
+    means = class_means(p)
     s = means.select("ca", "cb", "hi", "lo").unionAll(means.select(F.col("cb"), F.col("ca"), "hi", "lo"))
     rank = lambda d: F.row_number().over(Window.partitionBy("ca").orderBy(d, "cb"))
-    per = s.withColumn("r", rank("hi")).withColumn("q", rank("lo")).groupBy("ca").agg(F.count_if((F.col("r") <= k) & (F.col("q") <= k)).alias("m"), F.least(F.lit(k), F.count(F.lit(1))).alias("k"))
-    return per.agg(F.avg((F.col("m") == F.col("k")).cast("double")).alias("preserved"))
+    per = s.withColumn("r", rank("hi")).withColumn("q", rank("lo")).groupBy("ca").agg(F.count_if((F.col("r") <= k) & (F.col("q") <= k)).alias("m"))
+    kept = per.agg(F.when(F.count(F.lit(1)) > k, F.avg((F.col("m") == k).cast("double"))).alias("preserved"))
+    return _if_classes(kept, p, "preserved")
 
 
-def discovery(means: DataFrame, spread: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Two questions answered in both spaces: the nearest pair of classes, the most dispersed class; ties are flagged."""
+ANSWERS = "question string, n_classes long, note string, n_candidates long, true_answer string, pred_answer string, correct int, soft_rho double, tie_in_truth boolean, tie_in_prediction boolean"
 
-    def nearest(d: str) -> DataFrame:
-        w = Window.orderBy(d, "ca", "cb")
-        top = means.withColumn("p", F.row_number().over(w)).withColumn("runner", F.lead(d).over(w)).filter("p = 1")
-        tie = F.abs(F.col("runner") - F.col(d)) <= tolerance * F.abs(F.col(d))
-        return top.select(F.concat_ws("-", "ca", "cb").alias("answer"), tie.alias("tie"))
 
-    def widest(d: str) -> DataFrame:
-        w = Window.orderBy(F.desc(d), "label")
-        top = spread.withColumn("p", F.row_number().over(w)).withColumn("runner", F.lead(d).over(w)).filter("p = 1")
-        return top.select(F.col("label").cast("string").alias("answer"), (F.abs(F.col("runner") - F.col(d)) <= tolerance * F.abs(F.col(d))).alias("tie"))
+def discovery(p: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Two questions answered in both spaces: the nearest pair of classes, and the class with the largest spread.
 
-    def row(question: str, hi: DataFrame, lo: DataFrame) -> DataFrame:
-        lo = lo.select(F.col("answer").alias("answer_lo"), F.col("tie").alias("tie_lo"))
-        both = hi.crossJoin(lo)
-        return both.select(F.lit(question).alias("question"), F.col("answer").alias("answer_hi"), "answer_lo", (F.col("answer") == F.col("answer_lo")).alias("correct"), (F.col("tie") | F.col("tie_lo")).alias("tie"))
+    A row a question, with the columns of ``ANSWERS``: where there are too few or too many classes, or fewer than two
+    with a spread, the answers are NULL and the note says why. A tie is a runner-up within ``tolerance`` of the best.
+    """
+    means = class_means(p).select(F.concat_ws("|", "ca", "cb").alias("answer"), F.col("ca").alias("o1"), F.col("cb").alias("o2"), "hi", "lo")
+    spread = class_spread(p).select(F.col("label").cast("string").alias("answer"), F.col("label").alias("o1"), F.lit(0).alias("o2"), "hi", "lo")
 
-    return row("nearest_pair", nearest("hi"), nearest("lo")).unionAll(row("most_dispersed", widest("hi"), widest("lo")))
+    def best(candidates: DataFrame, d: str, sign: int, names: tuple[str, str]) -> DataFrame:
+        top = candidates.withColumn("v", sign * F.col(d)).orderBy("v", "o1", "o2").limit(2)
+        two = top.agg(F.sort_array(F.collect_list(F.struct("v", "o1", "o2", "answer"))).alias("t"), F.count(F.lit(1)).alias("n"))
+        gap = F.abs(F.col("t")[1]["v"] - F.col("t")[0]["v"]) <= tolerance * F.greatest(F.abs(F.col("t")[0]["v"]), F.lit(1e-12))
+        return two.select(F.get("t", F.lit(0))["answer"].alias(names[0]), F.when(F.col("n") > 1, gap).otherwise(F.lit(False)).alias(names[1]))
+
+    def row(question: str, candidates: DataFrame, sign: int, rho: DataFrame, least: int) -> DataFrame:
+        n = candidates.agg(F.count(F.lit(1)).alias("n_candidates"))
+        both = classes_of(p).crossJoin(n).crossJoin(best(candidates, "hi", sign, ("true_answer", "tie_in_truth"))).crossJoin(best(candidates, "lo", sign, ("pred_answer", "tie_in_prediction"))).crossJoin(rho.withColumnRenamed("spearman", "soft_rho"))
+        note = F.when(F.col("n_classes") < LEAST_CLASSES, "insufficient_classes_or_no_labels").when(F.col("n_classes") > MOST_CLASSES, "excessive_classes_likely_continuous_label").when(F.col("n_candidates") < least, "fewer_than_2_classes_with_2plus_points").otherwise("")
+        both = both.withColumn("question", F.lit(question)).withColumn("note", note).withColumn("correct", (F.col("true_answer") == F.col("pred_answer")).cast("int"))
+        names = [x.split()[0] for x in ANSWERS.split(", ")]
+        return both.select(*[F.col(c) if c in ("question", "n_classes", "note") else F.when(F.col("note") == "", F.col(c)).alias(c) for c in names])
+
+    return row("nearest_class_pair", means, 1, centroid_spearman(p), 1).unionByName(row("most_dispersed_class", spread, -1, spread_spearman(p), 2))
+
+
+def estimate_eps(points: DataFrame, k: int = 5, q: float = 0.1) -> DataFrame:
+    """``eps``: the ``q`` quantile over all points of the distance to the k-th nearest neighbour; an error if it is 0."""
+    at = nearest(points, k).filter(F.col("rank") == k)
+    found = at.agg(F.percentile("d_hi", q).alias("eps"))
+    wrong = F.raise_error(F.lit("too many points have no distance to their neighbours, or there are too few points")).cast("double")
+    return found.select(F.when(F.col("eps") > 0, F.col("eps")).otherwise(wrong).alias("eps"))
 
 
 def properties(points: DataFrame, k_mle: int = 10, k_hub: int = 10, fraction: float = 0.9, eps: float = 1e-9) -> DataFrame:
-    """Properties of the input distances: neighbour ratios, spread, contrast, two intrinsic dimensions, hubness."""
+    """Properties of the input distances: neighbour ratios, spread, contrast, two intrinsic dimensions, hubness, silhouette."""
     p = pairs(points)
     med = exact_median(p, "d_hi").withColumnRenamed("median", "med")
     every = p.agg(F.avg("d_hi").alias("mean"), F.stddev_pop("d_hi").alias("sd"), F.skewness("d_hi").alias("dist_skew")).crossJoin(med)
     near = nearest(points, max(k_mle, k_hub))
     ends = both_ways(p).groupBy("i").agg(F.min("d_hi").alias("lo"), F.max("d_hi").alias("hi"))
-    contrast = ends.agg(F.avg((F.col("hi") - F.col("lo")) / F.greatest("lo", F.lit(eps))).alias("relative_contrast"), F.count(F.lit(1)).alias("n"))
+    contrast = ends.agg(F.median((F.col("hi") - F.col("lo")) / F.greatest("lo", F.lit(eps))).alias("relative_contrast"), F.count(F.lit(1)).alias("n"))
     kth = lambda k: F.median(F.when(F.col("rank") == k, F.col("d_hi")))
     ratios = near.agg(kth(1).alias("k1"), kth(5).alias("k5"), kth(10).alias("k10"))
     row = every.crossJoin(contrast).crossJoin(ratios)
     ids = points.select(F.col("id").alias("j"))
     hub = ids.join(near.filter(F.col("rank") <= k_hub).groupBy("j").agg(F.count(F.lit(1)).alias("c")), "j", "left").agg(F.skewness(F.coalesce("c", F.lit(0)).cast("double")).alias("hubness_skew"))
     return (
-        row.crossJoin(hub).crossJoin(two_nn(near, fraction)).crossJoin(mle_dimension(near, k_mle))
+        row.crossJoin(hub).crossJoin(two_nn(near, fraction)).crossJoin(mle_dimension(near, k_mle)).crossJoin(silhouette(p, "d_hi"))
         .select("n", (F.col("k1") / F.col("med")).alias("nn_ratio_k1"), (F.col("k5") / F.col("med")).alias("nn_ratio_k5"), (F.col("k10") / F.col("med")).alias("nn_ratio_k10"),
-                (F.col("sd") / F.col("mean")).alias("dist_cv"), "dist_skew", "relative_contrast", "hubness_skew", "id_twonn", "id_mle")
+                (F.col("sd") / F.col("mean")).alias("dist_cv"), "dist_skew", "relative_contrast", "hubness_skew", "id_twonn", "id_mle", "silhouette")
     )
 
 
-def two_nn(near: DataFrame, fraction: float) -> DataFrame:
-    """Intrinsic dimension from the ratio of the two nearest distances, regression through the origin."""
-    mu = near.groupBy("i").agg((F.max(F.when(F.col("rank") == 2, F.col("d_hi"))) / F.nullif(F.max(F.when(F.col("rank") == 1, F.col("d_hi"))), F.lit(0.0))).alias("mu")).filter("mu is not null")
+def two_nn(near: DataFrame, fraction: float, least: int = 10) -> DataFrame:
+    """Intrinsic dimension from the ratio of the two nearest distances, by a regression through the origin.
+
+    Only ratios above 1 count, the smallest ``fraction`` of them, rounded; NULL with fewer than ``least``.
+    """
+    first, second = (F.max(F.when(F.col("rank") == k, F.col("d_hi"))) for k in (1, 2))
+    mu = near.groupBy("i").agg((second / F.greatest(first, F.lit(1e-300))).alias("mu")).filter((F.col("mu") > 1) & (F.col("mu") < float("inf")))
     every = Window.orderBy("mu", "i")
     f = mu.withColumn("place", F.row_number().over(every)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
-    used = f.filter(F.col("place") <= F.floor(F.col("m") * fraction)).select(F.log("mu").alias("a"), (-F.log(1 - F.col("place") / F.col("m"))).alias("b"))
+    b = -F.log(1 - F.least(F.col("place") / F.col("m"), F.lit(1.0 - 1e-12)))
+    used = f.filter((F.col("m") >= least) & (F.col("place") <= F.greatest(F.lit(2), F.bround(F.col("m") * fraction)))).select(F.log("mu").alias("a"), b.alias("b"))
     return used.agg(ratio(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") ** 2)).alias("id_twonn"))
 
 
 def mle_dimension(near: DataFrame, k: int) -> DataFrame:
-    """Levina-Bickel estimate with k neighbours: the inverse of the mean over points of mean log ratios."""
+    """Levina-Bickel estimate with k neighbours: the mean over points of their own estimates.
+
+    A point whose k distances are all the same has none, and one with a neighbour in its own place has 0.
+    """
     far = near.filter(F.col("rank") == k).select("i", F.col("d_hi").alias("t"))
-    logs = near.filter((F.col("rank") < k) & (F.col("d_hi") > 0)).join(far, "i").groupBy("i").agg((F.sum(F.log(F.col("t") / F.col("d_hi"))) / (k - 1)).alias("inverse"))
-    return logs.agg(ratio(F.lit(1.0), F.avg("inverse")).alias("id_mle"))
+    step = F.when(F.col("d_hi") > 0, F.log(F.col("t") / F.col("d_hi"))).when(F.col("t") > 0, F.lit(float("inf")))
+    logs = near.filter(F.col("rank") < k).join(far, "i").groupBy("i").agg((F.sum(step) / (k - 1)).alias("mean"))
+    return logs.filter("mean > 0").agg(F.avg(1.0 / F.col("mean")).alias("id_mle"))
+
+
+def standardised(points: DataFrame) -> DataFrame:
+    """``id, k, z``: every coordinate less its mean over its standard deviation; 0 where all values are the same."""
+    c = points.select("id", F.posexplode("x").alias("k", "v"))
+    m = c.groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    z = F.coalesce(ratio(F.col("v") - F.col("m"), F.col("s")), F.lit(0.0))
+    return c.join(F.broadcast(m), "k").select("id", "k", z.alias("z"))  # a row a dimension
 
 
 def weight(alpha: float, eps: float, d: str = "d_hi") -> Column:
@@ -334,6 +427,16 @@ def gradient(p: DataFrame, points: DataFrame, alpha: float, eps: float, floor: f
     return s.groupBy("i").agg(*[F.sum(c * (F.col("yi")[k] - F.col("yj")[k])).alias(n) for k, n in enumerate(("gx", "gy"))])
 
 
+def diagonal_hessian(p: DataFrame, points: DataFrame, alpha: float, eps: float, floor: float = 1e-12) -> DataFrame:
+    """Second derivatives of the weighted stress by each coordinate of each point of the map."""
+    where = points.select(F.col("id").alias("i"), F.col("y").alias("yi"))
+    other = points.select(F.col("id").alias("j"), F.col("y").alias("yj"))
+    s = both_ways(p).join(where, "i").join(other, "j").withColumn("low", F.greatest("d_lo", F.lit(floor)))
+    c = (F.col("d_hi") - F.col("d_lo")) / F.col("low")
+    bend = lambda k: -2.0 * weight(alpha, eps) * (c - ((F.col("yi")[k] - F.col("yj")[k]) / F.col("low")) ** 2 * (1 + c))
+    return s.groupBy("i").agg(F.sum(bend(0)).alias("hx"), F.sum(bend(1)).alias("hy"))
+
+
 def block_residuals(p: DataFrame, theta: float, m: float) -> DataFrame:
     """Squared residuals of near (d <= theta), middle and far (d >= m) pairs."""
     gap = (F.col("d_hi") - F.col("d_lo")) ** 2
@@ -367,10 +470,9 @@ def intrusion(r: DataFrame, k: int) -> DataFrame:
 
 
 def rank_weights(r: DataFrame, beta: float) -> DataFrame:
-    """Weights from mean neighbour ranks of the two directions."""
-    back = r.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("r").alias("r2"))
-    mean = F.greatest(F.lit(1.0), (F.col("r") + F.col("r2")) / 2.0)
-    return r.filter("i < j").join(back, ["i", "j"]).select("i", "j", F.pow(mean, F.lit(-beta)).alias("w"))
+    """Weights from mean neighbour ranks of the two directions, which meet by their unordered pair."""
+    mean = r.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg((F.sum("r") / 2.0).alias("m"))
+    return mean.select(F.col("a").alias("i"), F.col("b").alias("j"), F.pow(F.greatest(F.lit(1.0), F.col("m")), F.lit(-beta)).alias("w"))
 
 
 def procrustes(points: DataFrame, a: str = "y", b: str = "z") -> DataFrame:
@@ -384,14 +486,33 @@ def procrustes(points: DataFrame, a: str = "y", b: str = "z") -> DataFrame:
     return m.select((1 - ratio(nuclear_squared, F.col("u") * F.col("v"))).alias("disparity"))
 
 
-def evaluate(points: DataFrame, k: int = 7) -> DataFrame:
-    """One wide row with the metrics of a map, in one pass where the points can go along with the tasks."""
-    if fits_broadcast(points):
-        return profile_metrics(profile(points, (k,)), (k,), k)
+def evaluate(points: DataFrame, k: int = 7, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
+    """One wide row with every metric of a map.
+
+    Where the points can go along with the tasks, one pass over slices of rows gives all that ranks and sums give;
+    beyond that the window forms do. Both give the same values.
+    """
+    ks = tuple(dict.fromkeys((k, *ks)))
     p = pairs(points)
-    r = ranks(p)
-    wide = stress(p).drop("n_pairs").crossJoin(trust_continuity(r, k)).crossJoin(overlap(r, k)).crossJoin(neighborhood_hit(r, k))
-    return wide.crossJoin(distance_correlation(p)).crossJoin(silhouette(p)).crossJoin(auc_rnx(qnx_curve(r)))
+    if fits_broadcast(points):
+        prof = profile(points, ks)
+        wide, curve = profile_metrics(prof, ks, k), profile_curve(prof)
+        more = profile_metrics(prof, ks, ks[-1]).select("trustworthiness", "continuity")
+    else:
+        r = ranks(p)
+        curve = qnx_curve(r)
+        wide = stress(p).drop("n_pairs").crossJoin(trust_continuity(r, k)).crossJoin(overlap(r, k)).crossJoin(neighborhood_hit(r, k)).crossJoin(distance_correlation(p)).crossJoin(silhouette(p)).crossJoin(auc_rnx(curve))
+        more = trust_continuity(r, ks[-1]).select("trustworthiness", "continuity")
+    more = more.withColumnsRenamed({"trustworthiness": "trustworthiness_far", "continuity": "continuity_far"})
+    at = curve.filter(F.col("k").isin(*ks)).agg(*[F.max(F.when(F.col("k") == x, F.col(c))).alias(f"{c}_k{x}") for x in ks for c in ("qnx", "rnx")], F.max(F.when(F.col("k") == k, F.col("qnx") - F.col("k") / (F.col("n") - 1))).alias("lcmc_k"))
+    share = local_global(curve).select("k_star", "q_local", "q_global")
+    labelled = points.filter(F.col("label").isNotNull())
+    several = labelled.agg(F.count_distinct("label").alias("c"), F.count(F.lit(1)).alias("m")).select(F.when((F.col("c") >= 2) & (F.col("c") < F.col("m")), F.lit(1.0)).alias("_known"))
+    classes = davies_bouldin(labelled).crossJoin(distance_consistency(labelled)).crossJoin(several).select(*[(F.col(c) * F.col("_known")).alias(c) for c in ("davies_bouldin", "distance_consistency")])
+    parts = [more, at, share, shepard(p), classes, centroid_spearman(p).toDF("centroid_dist_spearman"), spread_spearman(p).toDF("class_spread_spearman"), lie_factor(p).toDF("class_spread_lie_factor"), class_neighbours_kept(p).toDF("centroid_knn_preservation")]
+    for part in parts:
+        wide = wide.crossJoin(F.broadcast(part))
+    return wide
 
 
 #: Points whose coordinates take more than this many bytes aren't broadcast; the window forms above do it by shuffling.
@@ -405,9 +526,11 @@ def fits_broadcast(points: DataFrame) -> bool:
 
 
 def _shared(points: DataFrame):
+    """Ids, coordinates and codes of the labels (-1 without one), by id."""
     rows = sorted(points.select("id", "x", "y", "label").collect(), key=lambda r: r["id"])
     ids = np.array([r["id"] for r in rows], np.int64)
-    label = np.array([-1 if r["label"] is None else r["label"] for r in rows], np.int64)
+    codes = {c: k for k, c in enumerate(sorted({r["label"] for r in rows} - {None}))}
+    label = np.array([codes.get(r["label"], -1) for r in rows], np.int64)
     x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1)
     y = np.array([r["y"] for r in rows], np.float64).reshape(len(rows), -1)
     return points.sparkSession.sparkContext.broadcast((ids, x, y, label))
@@ -424,8 +547,11 @@ def _row_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
-def _by_rows(points: DataFrame, work, schema: str) -> DataFrame:
-    """Applies ``work(rows, ids, x, y, label)`` to slices of row numbers; a slice's rows x points matrix stays near 32 MB."""
+def _by_rows(points: DataFrame, work, schema: str, total=None) -> DataFrame:
+    """Applies ``work(rows, ids, x, y, label)`` to slices of row numbers; a slice's rows x points matrix stays near 32 MB.
+
+    With ``total`` what the slices of a task give is added up by it, and a task gives one batch.
+    """
     shared = _shared(points)
     n = len(shared.value[0])
     spark = points.sparkSession
@@ -433,9 +559,8 @@ def _by_rows(points: DataFrame, work, schema: str) -> DataFrame:
     slices = -(-n // step)
 
     def run(batches):
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                yield from work(np.arange(k * step, min(n, k * step + step)), *shared.value)
+        found = (part for b in batches for k in b.column(0).to_pylist() for part in work(np.arange(k * step, min(n, k * step + step)), *shared.value))
+        yield from found if total is None else total(found)
 
     return spark.range(0, slices, 1, max(1, min(slices, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
 
@@ -461,11 +586,11 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     return _by_rows(points, work, "i long, j long, rank int, d_hi double")
 
 
-PROFILE = "n long, late_q array<double>, late_r array<double>, jaccard array<double>, common array<double>, hit array<double>, hits array<long>, sums array<double>, silhouette double, kept array<long>"
+PROFILE = "n long, classes long, labelled long, late_q array<double>, late_r array<double>, jaccard array<double>, common array<double>, hit array<double>, hits array<long>, sums array<double>, silhouette double, kept array<long>"
 
 
 def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
-    """Partial sums of every map metric, one row per slice of points, in a single pass over the distances.
+    """Partial sums of every map metric, one row per task, in a single pass over the distances.
 
     ``kept`` counts pairs by the larger of their two ranks; ``sums`` are over ordered pairs and rows: Dd, d^2, D^2,
     (D-d)^2 / D, (D-d)^2, D, then row sums' D, d, Dd, D^2, d^2.
@@ -478,12 +603,13 @@ def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
         a, b = hi.sum(1), lo.sum(1)
         sums = [(hi * lo).sum(), (lo * lo).sum(), (hi * hi).sum(), (gap / np.maximum(hi, 1e-9)).sum(), gap.sum(), a.sum(), a.sum(), b.sum(), (a * b).sum(), (a * a).sum(), (b * b).sum()]
         sil = 0.0
-        classes = np.unique(label[label >= 0])
+        classes = np.arange(int(label.max(initial=-1)) + 1)
+        mine = label[rows] >= 0
         if len(classes) > 1:
             size = np.array([(label == c).sum() for c in classes])
             total = np.stack([lo[:, label == c].sum(1) for c in classes], 1)
-            own = np.searchsorted(classes, np.maximum(label[rows], classes[0]))
-            alone = size[own] < 2
+            own = np.maximum(label[rows], 0)
+            alone = (size[own] < 2) | ~mine
             inner = total[at, own] / np.maximum(size[own] - 1, 1)
             mean = total / size
             mean[at, own] = np.inf
@@ -507,14 +633,21 @@ def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
             c = (near & true).sum(1)
             out["jaccard"].append(float((c / (2.0 * k - c)).sum()))
             out["common"].append(float(c.sum()))
-            mine = near & (label[rows] >= 0)[:, None] & (label >= 0)[None, :]
-            out["hit"].append(float((mine & (label[rows][:, None] == label[None, :])).sum()))
-            out["hits"].append(int(mine.sum()))
-        row = {"n": n, **out, "sums": [float(v) for v in sums], "silhouette": sil, "kept": kept.tolist()}
-        kinds = {"n": pa.int64(), **{f: pa.list_(pa.float64()) for f in ("late_q", "late_r", "jaccard", "common", "hit")}, "hits": pa.list_(pa.int64()), "sums": pa.list_(pa.float64()), "silhouette": pa.float64(), "kept": pa.list_(pa.int64())}
+            known = near & mine[:, None] & (label >= 0)[None, :]
+            out["hit"].append(float((known & (label[rows][:, None] == label[None, :])).sum()))
+            out["hits"].append(int(known.sum()))
+        yield {"n": n, "classes": len(classes), "labelled": int(mine.sum()), **{f: np.array(v) for f, v in out.items()}, "sums": np.array([float(v) for v in sums]), "silhouette": sil, "kept": kept}
+
+    def add_up(found):
+        row: dict = {}
+        for part in found:
+            row = {f: v if f in ("n", "classes") or f not in row else row[f] + v for f, v in part.items()}
+        if not row:
+            return
+        kinds = {"n": pa.int64(), "classes": pa.int64(), "labelled": pa.int64(), **{f: pa.list_(pa.float64()) for f in ("late_q", "late_r", "jaccard", "common", "hit")}, "hits": pa.list_(pa.int64()), "sums": pa.list_(pa.float64()), "silhouette": pa.float64(), "kept": pa.list_(pa.int64())}
         yield pa.RecordBatch.from_arrays([pa.array([row[f]], t) for f, t in kinds.items()], names=list(kinds))
 
-    return _by_rows(points, work, PROFILE)
+    return _by_rows(points, work, PROFILE, add_up)
 
 
 def profile_curve(prof: DataFrame) -> DataFrame:
@@ -530,7 +663,7 @@ def profile_metrics(prof: DataFrame, ks: tuple[int, ...] = (7, 20), k: int = 7)
     part = lambda c: F.sum(F.col(c)[at])
     s = [F.sum(F.col("sums")[i]) for i in range(11)]
     n = F.max("n").cast("double")
-    w = prof.agg(n.alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(s)], part("late_q").alias("lq"), part("late_r").alias("lr"), part("jaccard").alias("ja"), part("common").alias("co"), part("hit").alias("hi"), part("hits").alias("hn"), F.sum("silhouette").alias("si"))
+    w = prof.agg(n.alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(s)], part("late_q").alias("lq"), part("late_r").alias("lr"), part("jaccard").alias("ja"), part("common").alias("co"), part("hit").alias("hi"), part("hits").alias("hn"), F.sum("silhouette").alias("si"), F.max("classes").alias("cl"), F.sum("labelled").alias("la"))
     c = {x: F.col(x) for x in w.columns}
     norm = c["n"] * k * (2 * c["n"] - 3 * k - 1)
     keep = lambda late: F.when(2 * c["n"] - 3 * k - 1 > 0, 1 - ratio(2.0 * late, norm))
@@ -539,19 +672,43 @@ def profile_metrics(prof: DataFrame, ks: tuple[int, ...] = (7, 20), k: int = 7)
     row = w.select(
         (1 - ratio(c["s0"] ** 2, c["s2"] * c["s1"])).alias("scale_invariant"), ratio(c["s0"], c["s1"]).alias("scale"), ratio(c["s3"], c["s5"]).alias("relative"), F.sqrt(ratio(c["s4"], c["s1"])).alias("kruskal"),
         F.lit(k).alias("k"), keep(c["lq"]).alias("trustworthiness"), keep(c["lr"]).alias("continuity"), (c["ja"] / c["n"]).alias("jaccard"), (c["co"] / c["n"]).alias("common"),
-        ratio(c["hi"], c["hn"].cast("double")).alias("hit"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("dcor"), (c["si"] / c["n"]).alias("silhouette"),
+        ratio(c["hi"], c["hn"].cast("double")).alias("hit"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("dcor"), F.when((c["cl"] >= 2) & (c["cl"] < c["la"]), c["si"] / c["la"]).alias("silhouette"),
     )
     return row.crossJoin(auc_rnx(profile_curve(prof)))
 
 
-def exact_median(df: DataFrame, column: str, error: float = 0.005) -> DataFrame:
-    """The median of a large column: an approximate bracket, a count below it, and a sort of what is inside only."""
-    low, high = (F.approx_percentile(column, p, int(4 / error)) for p in (0.5 - error, 0.5 + error))
-    b = df.agg(low.alias("low"), high.alias("high"), F.count(column).alias("m")).first()
-    if not b["m"]:
-        return df.agg(F.median(column).alias("median"))
-    below = df.agg(F.count_if(F.col(column) < b["low"])).first()[0]
-    inside = df.filter(F.col(column).between(b["low"], b["high"])).select(column)
-    place = F.row_number().over(Window.orderBy(column)) + below
-    middle = [(b["m"] + 1) // 2, b["m"] // 2 + 1]
-    return inside.withColumn("place", place).filter(F.col("place").isin(middle)).agg(F.avg(column).alias("median"))
+def exact_median(df: DataFrame, column: str, bands: int = 4096, most: int = 100_000) -> DataFrame:
+    """The median of a large column, one row.
+
+    Each pass counts the values in bands of equal width between two ends and goes on with the bands that hold the
+    middle, until at most ``most`` values are left, which are looked at one by one. Only counts are ever shuffled.
+    """
+    v = F.col(column)
+    ends = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("m")).first()
+    low, high, below, inside = ends["low"], ends["high"], 0, ends["m"]
+    places = [(inside - 1) // 2, inside // 2]  # from 0, over all values
+    while inside > most and low < high:
+        width = (high - low) / bands
+        band = F.least(F.lit(bands - 1), F.floor((v - F.lit(low)) / F.lit(width))).cast("int")
+        rows = df.filter(v.between(low, high)).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()
+        rows.sort(key=lambda r: r["band"])
+        upto, met = below, []
+        for r in rows:
+            if upto <= places[1] and upto + r["c"] > places[0]:
+                met.append((upto, r))
+            upto += r["c"]
+        new = (met[0][1]["lo"], met[-1][1]["hi"], met[0][0], sum(r["c"] for _, r in met))
+        if new[3] == inside:
+            break
+        low, high, below, inside = new
+    if not inside:
+        middle = None
+    elif low == high:
+        middle = low
+    else:
+        left = [r[0] for r in df.filter(v.between(low, high)).groupBy(column).agg(F.count(F.lit(1)).alias("c")).orderBy(column).select(F.col(column), "c").collect() for _ in range(r[1])] if inside <= most else None
+        if left is None:  # the values can't be told apart by bands: order them, wherever they are
+            order = df.filter(v.between(low, high)).select(v.alias("v")).withColumn("p", F.row_number().over(Window.orderBy("v")) - 1 + below)
+            return order.filter(F.col("p").isin(places)).agg(F.avg("v").alias("median"))
+        middle = (left[places[0] - below] + left[places[1] - below]) / 2
+    return df.sparkSession.createDataFrame([(middle,)], "median double")

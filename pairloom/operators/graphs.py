@@ -18,10 +18,12 @@ from .geometry import nearest, ratio
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a round of a fix-point loop to the shared checkpoint folder and reads it back; a local one only in tests."""
+    """Writes a round of a fix-point loop to the shared checkpoint folder and reads it back; a local one only on a local master."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pairloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -67,12 +69,14 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top), "component").select("node")
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+def hop_distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, connected: bool = False) -> DataFrame:
     """``source, node, hops`` by frontier: each round visits the neighbours that a source hasn't seen, until none is left.
 
-    With ``depth`` it raises if a node farther away than that is reached.
+    With ``depth`` it raises if a node farther away than that is reached, with ``connected`` if one can't be reached.
     """
     near = cut_lineage(both_directions(edges))
+    if connected and (parts := component_labels(edges).select("component").distinct().limit(2).count()) > 1:
+        raise ValueError(f"{parts} or more components: distances between them aren't defined")
     seen = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
     for hop in count(1):
         frontier = seen.filter(F.col("hops") == hop - 1)
@@ -92,13 +96,17 @@ def with_ends(edges: DataFrame, layout: DataFrame) -> DataFrame:
     return edges.join(a, "u").join(b, "v")
 
 
-def crossings(edges: DataFrame, layout: DataFrame, cells: int = 32) -> DataFrame:
+def crossings(edges: DataFrame, layout: DataFrame, cells: int | None = None) -> DataFrame:
     """``u, v, u2, v2, angle`` of edge pairs that cross properly and share no end.
 
     Edges meet only in the grid cells that their bounding boxes touch, each pair in the first cell both have, so that
-    the join is an equi-join by cell instead of all pairs of edges.
+    the join is an equi-join by cell instead of all pairs of edges. Unless given, cells are about half as wide as the
+    mean edge's box, so an edge touches a handful of them however many edges there are.
     """
     e = with_ends(edges, layout)
+    if cells is None:
+        s = e.agg(F.avg(F.greatest(F.abs(F.col("ux") - F.col("vx")), F.abs(F.col("uy") - F.col("vy")))), F.greatest(F.max("ux") - F.min("ux"), F.max("uy") - F.min("uy"))).first()
+        cells = max(1, min(1 << 14, int(2 * s[1] / s[0]))) if s[0] else 1
     box = layout.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     e = e.crossJoin(F.broadcast(box))
     cell = lambda v, lo, hi: F.least(F.lit(cells - 1), F.floor(F.coalesce(ratio(v - F.col(lo), F.col(hi) - F.col(lo)), F.lit(0.0)) * cells)).cast("int")
@@ -124,24 +132,37 @@ def edge_length_spread(edges: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def angular_resolution(edges: DataFrame, layout: DataFrame) -> DataFrame:
-    """Mean over nodes of at least two edges of the smallest angle between neighbouring edges over the ideal one."""
-    e = with_ends(both_directions(edges), layout)
+    """Mean over nodes of the smallest angle in degrees between neighbouring edges.
+
+    Edges without length have no angle; nodes with fewer than two others are left out.
+    """
+    e = with_ends(both_directions(edges), layout).filter((F.col("ux") != F.col("vx")) | (F.col("uy") != F.col("vy")))
     a = e.select(F.col("u").alias("node"), F.pmod(F.degrees(F.atan2(F.col("vy") - F.col("uy"), F.col("vx") - F.col("ux"))), F.lit(360.0)).alias("a"))
     w = Window.partitionBy("node").orderBy("a")
     gap = F.coalesce(F.lead("a").over(w), F.min("a").over(Window.partitionBy("node")) + 360.0) - F.col("a")
     per = a.withColumn("gap", gap).groupBy("node").agg(F.min("gap").alias("g"), F.count(F.lit(1)).alias("k")).filter("k >= 2")
-    return per.agg(F.avg(F.col("g") / (360.0 / F.col("k"))).alias("angular_resolution"))
+    return per.agg(F.avg("g").alias("angular_resolution"))
+
+
+def crossing_angle_deviation(crossed: DataFrame) -> DataFrame:
+    """Mean distance of the crossings' angles from a right one; NULL without crossings."""
+    return crossed.agg(F.avg(F.abs(90.0 - F.col("angle"))).alias("angle_deviation"))
 
 
 def neighbours_kept(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Mean over nodes of the Jaccard index of their neighbours and as many nearest nodes of the map."""
+    """Mean over nodes of the share of their neighbours that are among as many nearest nodes of the map."""
     deg = degrees(edges)
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d_lo", "j"))
     both = pairs.select("i", "j", "d_lo").unionAll(pairs.select(F.col("j"), F.col("i"), "d_lo"))
     near = both.join(deg, both["i"] == deg["node"]).withColumn("rank", rank).filter("rank <= degree").select("i", "j", "degree")
     adj = both_directions(edges).select(F.col("u").alias("i"), F.col("v").alias("j"), F.lit(1).alias("edge"))
     per = near.join(adj, ["i", "j"], "left").groupBy("i", "degree").agg(F.count("edge").alias("m"))
-    return per.agg(F.avg(F.col("m") / (2.0 * F.col("degree") - F.col("m"))).alias("neighborhood_preservation"))
+    return per.agg(F.avg(F.col("m") / F.col("degree")).alias("neighborhood_preservation"))
+
+
+def simple_graph(contacts: DataFrame) -> DataFrame:
+    """``u, v, weight`` of a log of contacts ``i, j``: each pair once, with its number; self contacts are left out."""
+    return contacts.filter("i <> j").groupBy(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def resistance(edges: DataFrame, most: int = 2000) -> DataFrame:

@@ -15,23 +15,26 @@ def _numbered(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("o", F.row_number().over(Window.orderBy(order)) - 1)
 
 
-def mc_sign_flip(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """One-sided Monte-Carlo sign-flip p value, (hits + 1) / (draws + 1)."""
-    d = _numbered(pairs.filter(F.col("diff") != 0), "dataset").select("o", "diff")
+def mc_sign_flip(pairs: DataFrame, draws: int, seed: int, alternative: str = "greater") -> DataFrame:
+    """Monte-Carlo sign-flip p value, (hits + 1) / (draws + 1), as a plan: signs are hashes of (draw, data set, seed)."""
+    d = pairs.filter(F.col("diff") != 0).select("dataset", "diff")
     total = d.agg(F.sum("diff").alias("total"), F.sum(F.abs("diff")).alias("size"))
-    sign = F.when(F.xxhash64("draw", "o", F.lit(seed)).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    s = pairs.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(d)).groupBy("draw").agg(F.sum(sign * F.col("diff")).alias("s"))
-    return s.crossJoin(F.broadcast(total)).agg(((F.count_if(F.col("s") >= F.col("total") - 1e-12 * F.col("size")) + 1) / (F.lit(draws) + 1.0)).alias("p"), F.count(F.lit(1)).alias("draws"))
+    sign = F.when(F.xxhash64("draw", "dataset", F.lit(seed)).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+    s = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).groupBy("draw").agg(F.sum(sign * F.abs("diff")).alias("s"))
+    slack = 1e-12 * F.col("size")
+    far = {"greater": F.col("s") >= F.col("total") - slack, "less": F.col("s") <= F.col("total") + slack, "two-sided": F.abs("s") >= F.abs("total") - slack}[alternative]
+    return s.crossJoin(F.broadcast(total)).agg(((F.count_if(far) + 1) / (F.lit(draws) + 1.0)).alias("p"), F.count(F.lit(1)).alias("draws"))
 
 
-def permutation_spearman(df: DataFrame, x: str, y: str, key: str, draws: int, seed: int) -> DataFrame:
-    """Spearman correlation and its two-sided permutation p value; a draw orders one side by hashes."""
+def permutation_spearman(df: DataFrame, x: str, y: str, key: str, draws: int, seed: int, alternative: str = "two-sided") -> DataFrame:
+    """Spearman correlation and its permutation p value; a draw orders one side by hashes."""
     r = _numbered(df.dropna("any", subset=[x, y]), key).withColumn("rx", average_rank(x)).withColumn("ry", average_rank(y)).select("o", "rx", "ry")
     observed = r.agg(pearson("rx", "ry").alias("rho"))
     order = F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("draw", "o", F.lit(seed)), "o")) - 1
     shuffled = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(r)).withColumn("p", order).select("draw", "p", "rx")
     drawn = shuffled.join(F.broadcast(r.select(F.col("o").alias("p"), "ry")), "p").groupBy("draw").agg(pearson("rx", "ry").alias("r"))
-    return drawn.crossJoin(F.broadcast(observed)).agg(F.max("rho").alias("rho"), ((F.count_if(F.abs("r") >= F.abs("rho") - 1e-12) + 1) / (F.lit(draws) + 1.0)).alias("p"))
+    far = {"greater": F.col("r") >= F.col("rho") - 1e-12, "less": F.col("r") <= F.col("rho") + 1e-12, "two-sided": F.abs("r") >= F.abs("rho") - 1e-12}[alternative]
+    return drawn.crossJoin(F.broadcast(observed)).agg(F.max("rho").alias("rho"), ((F.count_if(far) + 1) / (F.lit(draws) + 1.0)).alias("p"))
 
 
 def cluster_slope_interval(df: DataFrame, x: str, y: str, cluster: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
@@ -47,31 +50,66 @@ def cluster_slope_interval(df: DataFrame, x: str, y: str, cluster: str, draws: i
     return per.agg(F.percentile("s", tail).alias("low"), F.percentile("s", 1 - tail).alias("high")).crossJoin(m.agg(slope.alias("slope")))
 
 
-def _ppf(p: float) -> float:
-    """Standard normal quantile by Newton's steps on the distribution function."""
-    import math
+def bootstrap(df: DataFrame, key: str, columns: list[str], statistic, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """Percentile interval ``low, high`` of a statistic over rows drawn with replacement; a draw takes whole rows.
+
+    ``statistic`` takes the drawn rows, with a column ``draw``, and gives ``draw, s``.
+    """
+    rows = _numbered(df.dropna("any", subset=columns), key).select("o", *columns)
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).select("draw", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    picked = grid.select("draw", F.pmod(F.xxhash64("draw", "k", F.lit(seed)), F.col("n")).alias("o")).join(rows, "o").drop("o")
+    tail = (1 - level) / 2
+    return statistic(picked).agg(F.percentile("s", tail).alias("low"), F.percentile("s", 1 - tail).alias("high"))
+
+
+def bootstrap_spearman(df: DataFrame, x: str, y: str, key: str, draws: int, seed: int) -> DataFrame:
+    """Percentile interval of Spearman's correlation over resampled rows."""
+
+    def rho(picked: DataFrame) -> DataFrame:
+        r = picked.withColumn("rx", average_rank(x, "draw")).withColumn("ry", average_rank(y, "draw"))
+        return r.groupBy("draw").agg(pearson("rx", "ry").alias("s"))
+
+    return bootstrap(df, key, [x, y], rho, draws, seed)
 
-    x = 0.0
-    for _ in range(60):
-        f = 0.5 * math.erfc(-x / math.sqrt(2)) - p
-        x -= max(-1.0, min(1.0, f / (math.exp(-x * x / 2) / math.sqrt(2 * math.pi))))
-    return x
 
+def bootstrap_mean(df: DataFrame, x: str, key: str, draws: int, seed: int) -> DataFrame:
+    return bootstrap(df, key, [x], lambda p: p.groupBy("draw").agg(F.avg(x).alias("s")), draws, seed)
 
-def noether(share_above: float, alpha: float, power: float) -> float:
-    """Noether's number of pairs for a signed-rank test that sees a share of positive averages."""
-    return (_ppf(1 - alpha) + _ppf(power)) ** 2 / (3 * (share_above - 0.5) ** 2)
 
+def power_table(pairs: DataFrame, level: float, power: float, sizes: list[int], robust: bool = False) -> DataFrame:
+    """Power of one-sided paired tests at each size, and the sizes that Noether's formula and the t approximation ask for.
 
-def power_table(pairs: DataFrame, alpha: float, power: float, sizes: list[int]) -> DataFrame:
-    """Normal power of a one-sided paired test at each size, and the size needed, from the differences' mean and sd."""
-    s = pairs.agg(F.avg("diff").alias("mu"), F.stddev_samp("diff").alias("sd"))
+    The effect is the median difference, its spread the standard deviation or, if ``robust``, 1.4826 times the median
+    absolute deviation; the sign test's share is that of positive differences. Without an effect above 0 the sizes are
+    infinite. ``n, noether, t, sign, noether_n, t_n``.
+    """
+    m = pairs.agg(F.median("diff").alias("mu"), F.stddev_samp("diff").alias("sd"), F.avg((F.col("diff") > 0).cast("double")).alias("share"))
+    mad = pairs.crossJoin(F.broadcast(m.select("mu"))).agg((1.4826 * F.median(F.abs(F.col("diff") - F.col("mu")))).alias("robust_sd"))
+    s = m.crossJoin(mad).withColumn("sigma", F.col("robust_sd" if robust else "sd")).withColumn("effect", ratio(F.col("mu"), F.col("sigma")))
+    s = s.withColumn("above", dist.normal_below(F.sqrt(F.lit(2.0)) * F.col("effect")) - 0.5)
     grid = pairs.sparkSession.createDataFrame([(n,) for n in sizes], "n int")
-    za, zb = _ppf(1 - alpha), _ppf(power)
-    effect = ratio(F.col("mu"), F.col("sd"))
-    upper: Column = dist.normal_two_sided(effect * F.sqrt(F.col("n").cast("double")) - F.lit(za))
-    above = effect * F.sqrt(F.col("n").cast("double")) - F.lit(za)
-    return s.crossJoin(F.broadcast(grid)).select("n", F.when(above >= 0, 1 - upper / 2).otherwise(upper / 2).alias("power"), ratio(F.lit((za + zb) ** 2), effect**2).alias("n_required"))
+    za, zb = dist.normal_quantile(1 - level), dist.normal_quantile(power)
+    n = F.col("n").cast("double")
+    endless = F.lit(float("inf"))
+    return s.crossJoin(F.broadcast(grid)).select(
+        "n", dist.normal_below(F.sqrt(3.0 * n) * F.col("above") - za).alias("noether"), dist.normal_below(F.sqrt(n) * F.col("effect") - za).alias("t"), dist.sign_power("share", F.lit(level), n).alias("sign"),
+        F.when(F.col("above") > 0, (za + zb) ** 2 / (3 * F.col("above") ** 2)).otherwise(endless).alias("noether_n"), F.when(F.col("effect") > 0, (za + zb) ** 2 / F.col("effect") ** 2).otherwise(endless).alias("t_n"),
+    )
+
+
+def wilcoxon_power(pairs: DataFrame, level: float, sizes: list[int], draws: int, seed: int) -> DataFrame:
+    """``n, power``: share of resamples of n differences in which the one-sided signed-rank test, by its normal form with
+    correction for continuity, rejects at ``level``."""
+    rows = _numbered(pairs.select("dataset", "diff"), "dataset").select("o", "diff")
+    m = rows.agg(F.count(F.lit(1)).alias("m"))
+    grid = pairs.sparkSession.createDataFrame([(n,) for n in sizes], "n int").crossJoin(F.broadcast(m)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    picked = grid.select("n", "draw", F.pmod(F.xxhash64("n", "draw", "k", F.lit(seed)), F.col("m")).alias("o")).join(rows, "o").filter("diff <> 0").withColumn("a", F.abs("diff"))
+    ranked = picked.withColumn("rank", average_rank("a", "n", "draw")).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy("n", "draw", "a")))
+    per = ranked.groupBy("n", "draw").agg(F.count(F.lit(1)).cast("double").alias("c"), F.coalesce(F.sum(F.when(F.col("diff") > 0, F.col("rank"))), F.lit(0.0)).alias("w"), F.sum(F.col("t").cast("double") ** 2 - 1).alias("ties"))
+    c = F.col("c")
+    z = ratio(F.col("w") - c * (c + 1) / 4 - 0.5, F.sqrt(c * (c + 1) * (2 * c + 1) / 24 - F.col("ties") / 48))
+    return per.groupBy("n").agg((F.count_if(z > dist.normal_quantile(1 - level)) / F.lit(float(draws))).alias("power"))
 
 
 def leave_one_out(train: DataFrame, grid: list[float]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut_lineage
+
 MOST = 4000
 
 
@@ -20,14 +22,77 @@ def dense(pdf: pd.DataFrame, i: str = "i", j: str = "j", d: str = "d_hi") -> tup
     return nodes, out
 
 
+def leading(matrix: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` largest eigenvalues of a symmetric matrix and their vectors, each with its largest entry positive."""
+    values, vectors = np.linalg.eigh(matrix)
+    top = np.argsort(values)[::-1][:n]
+    v = vectors[:, top]
+    return values[top], v * np.where(v[np.abs(v).argmax(0), range(v.shape[1])] < 0, -1, 1)
+
+
 def classical_scaling(distances: np.ndarray, dims: int = 2) -> np.ndarray:
-    """Coordinates from the leading eigenvectors of the doubly centred squared distances; signs make sums positive."""
+    """Coordinates from the leading eigenvectors of the doubly centred squared distances; signs make largest entries positive."""
     sq = distances**2
-    b = -0.5 * (sq - sq.mean(0) - sq.mean(1)[:, None] + sq.mean())
-    values, vectors = np.linalg.eigh(b)
-    top = np.argsort(values)[::-1][:dims]
-    y = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
-    return y * np.where(y[np.abs(y).argmax(0), range(dims)] < 0, -1, 1)
+    values, vectors = leading(-0.5 * (sq - sq.mean(0) - sq.mean(1)[:, None] + sq.mean()), dims)
+    return vectors * np.sqrt(np.maximum(values, 0))
+
+
+def principal(x: np.ndarray, dims: int) -> np.ndarray:
+    """Scores on the leading principal axes."""
+    if x.shape[1] < dims:
+        raise ValueError(f"{x.shape[1]} coordinates have no {dims} principal axes")
+    c = x - x.mean(0)
+    return c @ leading(c.T @ c / len(c), dims)[1]
+
+
+def nearest_of(d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest others, ties by place."""
+    away = d.copy()
+    np.fill_diagonal(away, np.inf)
+    return np.argsort(away, axis=1, kind="stable")[:, : min(k, len(d) - 1)]
+
+
+def geodesics(d: np.ndarray, k: int) -> np.ndarray:
+    """Shortest paths along the graph of k nearest neighbours; ValueError if it has several components."""
+    near = nearest_of(d, k)
+    g = np.full_like(d, np.inf)
+    rows = np.arange(len(d))
+    for c in near.T:
+        g[rows, c] = g[c, rows] = d[rows, c]
+    np.fill_diagonal(g, 0.0)
+    out = g.copy()
+    while True:  # a round follows one more step of every node's edges, in both directions
+        new = out.copy()
+        for c in near.T:
+            np.minimum(new, out[c] + d[rows, c][:, None], out=new)
+        new = np.minimum(new, new.T)
+        if (new == out).all():
+            break
+        out = new
+    if np.isinf(out).any():
+        raise ValueError("the neighbour graph isn't connected")
+    return out
+
+
+def spectral(d: np.ndarray, k: int, dims: int) -> np.ndarray:
+    """Laplacian eigenmaps of the graph of k nearest neighbours: the eigenvectors after the constant one."""
+    a = np.zeros_like(d)
+    rows = np.arange(len(d))
+    for c in nearest_of(d, k).T:
+        a[rows, c] = a[c, rows] = 1.0
+    root = np.sqrt(a.sum(1))
+    _, vectors = leading(a / root[:, None] / root[None], dims + 1)
+    return vectors[:, 1:] / root[:, None]
+
+
+def eps_of(d: np.ndarray, k: int = 5, q: float = 0.1) -> float:
+    """The quantile of the distances to the k-th neighbour."""
+    away = d.copy()
+    np.fill_diagonal(away, np.inf)
+    eps = float(np.quantile(np.partition(away, min(k, len(d) - 1) - 1, axis=1)[:, min(k, len(d) - 1) - 1], q))
+    if eps <= 0:
+        raise ValueError("too many points have no distance to their neighbours")
+    return eps
 
 
 def weights_of(distances: np.ndarray, alpha: float, eps: float) -> np.ndarray:
@@ -36,21 +101,175 @@ def weights_of(distances: np.ndarray, alpha: float, eps: float) -> np.ndarray:
     return w
 
 
-def majorise(distances: np.ndarray, w: np.ndarray, y: np.ndarray, rounds: int, tol: float) -> tuple[np.ndarray, list[float]]:
-    """Stress majorisation: each round solves the weighted Laplacian system for the current map's quadratic bound."""
-    lap = np.diag(w.sum(1)) - w
-    inverse = np.linalg.pinv(lap)
+def multiscale_weights(distances: np.ndarray, alphas, eps: float) -> np.ndarray:
+    """Mean of the alphas' weights, each scaled so that it gives the squared distances the same total."""
+    parts = [weights_of(distances, a, eps) for a in alphas]
+    return sum(w / (w * distances**2).sum() for w in parts) * (parts[0] * distances**2).sum() / len(parts)
+
+
+def scale_invariant(d: np.ndarray, low: np.ndarray) -> float:
+    return float(1 - (d * low).sum() ** 2 / ((d**2).sum() * (low**2).sum()))
+
+
+def auc_rnx(d: np.ndarray, low: np.ndarray) -> float:
+    """Gain over a random map, averaged over neighbourhoods k with weights 1 / k."""
+    n = len(d)
+    ranks = []
+    for m in (d, low):
+        away = m.copy()
+        np.fill_diagonal(away, np.inf)
+        r = np.empty((n, n), np.int64)
+        np.put_along_axis(r, np.argsort(away, axis=1, kind="stable"), np.arange(1, n + 1)[None], axis=1)
+        ranks.append(r)
+    worst = np.maximum(*ranks)[~np.eye(n, dtype=bool)]
+    k = np.arange(1, n - 1)
+    kept = np.cumsum(np.bincount(worst, minlength=n + 1)[1 : n - 1]) / (k * n)
+    gain = ((n - 1) * kept - k) / (n - 1 - k)
+    return float((gain / k).sum() / (1 / k).sum())
+
+
+def majorise(distances: np.ndarray, w: np.ndarray, y: np.ndarray, rounds: int, tol: float, anchors: np.ndarray | None = None, mask: np.ndarray | None = None, lam: float = 0.0) -> tuple[np.ndarray, list[float]]:
+    """Stress majorisation: each round solves the weighted Laplacian system for the current map's quadratic bound.
+
+    With ``lam`` the points of ``mask`` are drawn to their anchors by that times their squared distance.
+    """
+    held = lam * (np.zeros(len(y)) if mask is None else np.asarray(mask, float))
+    inverse = np.linalg.pinv(np.diag(w.sum(1) + held) - w)
     history = []
     for _ in range(rounds):
         d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
-        history.append(float((w * (distances - d) ** 2).sum() / 2))
+        history.append(float((w * (distances - d) ** 2).sum() / 2 + ((held[:, None] * (y - anchors) ** 2).sum() if lam else 0.0)))
         if len(history) > 1 and history[-2] - history[-1] <= tol * history[-2]:
             break
         pull = np.divide(w * distances, d, out=np.zeros_like(d), where=d > 1e-12)
-        y = inverse @ ((np.diag(pull.sum(1)) - pull) @ y)
+        right = (np.diag(pull.sum(1)) - pull) @ y
+        y = inverse @ (right + held[:, None] * anchors if lam else right)
     return y, history
 
 
+def newton(distances: np.ndarray, w: np.ndarray, y: np.ndarray, rounds: int, tol: float, factor: float = 0.35, halvings: int = 20) -> tuple[np.ndarray, list[float]]:
+    """Steps along the gradient over the absolute diagonal of the Hessian; a step that raises the stress is halved, and the
+    shorter step is kept for later rounds."""
+
+    def stress(y: np.ndarray) -> float:
+        return float((w * (distances - np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))) ** 2).sum() / 2)
+
+    history = []
+    for _ in range(rounds):
+        history.append(stress(y))
+        if len(history) > 1 and abs(history[-2] - history[-1]) < tol * max(history[-2], 1e-12):
+            break
+        gap = y[:, None] - y[None]
+        d = np.maximum(np.sqrt((gap**2).sum(-1)), 1e-12)
+        c = w * (distances - d) / d
+        np.fill_diagonal(c, 0.0)
+        slope = -2 * (c[..., None] * gap).sum(1)
+        bend = -2 * (c[..., None] - (w / d**2)[..., None] * gap**2 * (1 + (distances - d) / d)[..., None]).sum(1)
+        step = slope / np.maximum(np.abs(bend), 1e-12)
+        for _ in range(halvings + 1):
+            new = y - factor * step
+            if stress(new) <= history[-1]:
+                break
+            factor /= 2
+        y = new
+    return y, history
+
+
+def descend(d: np.ndarray, y: np.ndarray, epochs: int, seed: int, eps: float = 0.1, alpha: float = 2.0) -> np.ndarray:
+    """Stochastic gradient descent on stress with capped steps, over perfect matchings: no point is in two pairs of a step."""
+    n = len(d)
+    rng = np.random.default_rng(seed)
+    w = np.maximum(d, 1e-9) ** -alpha
+    of = w[np.triu_indices(n, 1)]
+    for eta in np.geomspace(1 / of.min(), eps / of.max(), epochs):
+        for _ in range(n - 1):
+            p = rng.permutation(n)
+            a, b = p[: n // 2], p[n // 2 : n // 2 * 2]
+            step = y[a] - y[b]
+            length = np.sqrt((step**2).sum(1)) + 1e-12
+            mu = np.minimum(1.0, eta * w[a, b])
+            move = (mu * (length - d[a, b]) / 2 / length)[:, None] * step
+            y[a] -= move
+            y[b] += move
+    return y
+
+
+def affinities(d: np.ndarray, perplexity: float, rounds: int = 60) -> np.ndarray:
+    """Symmetric neighbour probabilities: each row's Gaussian has the width at which its entropy is that of ``perplexity``."""
+    n = len(d)
+    sq = d**2
+    np.fill_diagonal(sq, np.inf)
+    sq = sq - sq.min(1)[:, None]
+    low, high = np.zeros(n), np.full(n, np.inf)
+    beta = np.full(n, 1.0 / max(np.median(sq[np.isfinite(sq)]), 1e-12))
+    for _ in range(rounds):
+        e = np.exp(-sq * beta[:, None])
+        total = e.sum(1)
+        entropy = np.log(total) + beta * (np.where(np.isfinite(sq), sq, 0.0) * e).sum(1) / total
+        wide = entropy > np.log(perplexity)
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    p = e / total[:, None]
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    np.fill_diagonal(p, 0.0)
+    return p
+
+
+def student(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Student-t affinities of a map, and the kernel before it is normalised."""
+    kernel = 1.0 / (1.0 + ((y[:, None] - y[None]) ** 2).sum(-1))
+    np.fill_diagonal(kernel, 0.0)
+    return np.maximum(kernel / kernel.sum(), 1e-12), kernel
+
+
+def divergence(p: np.ndarray, y: np.ndarray) -> float:
+    """Kullback-Leibler divergence of the map's affinities from the given ones."""
+    q, _ = student(y)
+    some = p > 0
+    return float((p[some] * np.log(p[some] / q[some])).sum())
+
+
+def divergence_slope(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    q, kernel = student(y)
+    c = (p - q) * kernel
+    return 4 * (c.sum(1)[:, None] * y - c @ y)
+
+
+def neighbour_embedding(p: np.ndarray, y: np.ndarray, rounds: int, anchors: np.ndarray | None = None, mask: np.ndarray | None = None, lam: float = 0.0) -> np.ndarray:
+    """Gradient descent on the divergence with momentum and gains; anchored points then take a proximal step to their anchors,
+    which is stable for any strength."""
+    n = len(y)
+    rate = max(n / 12.0 / 4.0, 50.0)
+    pace, gains = np.zeros_like(y), np.ones_like(y)
+    held = (lam / n) * (np.zeros(n) if mask is None else np.asarray(mask, float))[:, None]
+    for k in range(rounds):
+        slope = divergence_slope(p * 12.0 if k < rounds // 4 and mask is None else p, y)
+        gains = np.clip(np.where(np.sign(slope) != np.sign(pace), gains + 0.2, gains * 0.8), 0.01, None)
+        pace = (0.5 if k < rounds // 4 else 0.8) * pace - rate * gains * slope
+        y = y + pace
+        if lam:
+            y = (y / (rate * gains) + held * anchors) / (1 / (rate * gains) + held)
+    return y
+
+
+def carried(nodes: np.ndarray, d: np.ndarray, before: dict[int, np.ndarray], dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The start of a snapshot's map, and which nodes were in the map before."""
+    mask = np.array([int(v) in before for v in nodes], float)
+    if not before:
+        return classical_scaling(d, dims), mask
+    rng = np.random.default_rng(seed)
+    scale = d[~np.eye(len(d), dtype=bool)].mean() if len(d) > 1 else 1.0
+    y = np.array([before.get(int(v), np.zeros(dims)) for v in nodes])
+    old = np.flatnonzero(mask)
+    for i in np.flatnonzero(mask == 0):
+        if len(old):
+            near = old[np.argsort(d[i, old], kind="stable")[:5]]
+            y[i] = y[near].mean(0) + rng.normal(scale=1e-3 * scale, size=dims)
+        else:
+            y[i] = rng.normal(scale=0.1 * scale, size=dims)
+    return y, mask
+
+
 def fit_maps(pairs: DataFrame, alpha: float = 0.0, eps: float = 1e-9, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
     """``dataset, id, y0, y1, stress, rounds`` from ``dataset, i, j, d_hi``: classical scaling, then majorisation."""
 
@@ -67,50 +286,42 @@ def sgd_maps(pairs: DataFrame, epochs: int = 15, seed: int = 0, eps: float = 0.1
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, d = dense(pdf)
-        n = len(nodes)
-        rng = np.random.default_rng(seed)
-        y = rng.normal(size=(n, 2))
-        i, j = np.triu_indices(n, 1)
-        w = np.maximum(d[i, j], 1e-9) ** -2
-        for eta in np.geomspace(1 / w.min(), eps / w.max(), epochs):
-            for _ in range(n - 1):  # perfect matchings: no point is in two pairs of a step
-                p = rng.permutation(n)
-                a, b = p[: n // 2], p[n // 2 : n // 2 * 2]
-                step = y[a] - y[b]
-                length = np.sqrt((step**2).sum(1)) + 1e-12
-                mu = np.minimum(1.0, eta / np.maximum(d[a, b], 1e-9) ** 2)
-                move = (mu * (length - d[a, b]) / 2 / length)[:, None] * step
-                y[a] -= move
-                y[b] += move
+        y = descend(d, np.random.default_rng(seed).normal(size=(len(nodes), 2)), epochs, seed, eps)
         return pd.DataFrame({"dataset": pdf.dataset.iloc[0], "id": nodes, "y0": y[:, 0], "y1": y[:, 1]})
 
     return pairs.select("dataset", "i", "j", "d_hi").groupBy("dataset").applyInPandas(solve, "dataset string, id long, y0 double, y1 double")
 
 
 def alpha_search(pairs: DataFrame, grid: list[float], eps: float) -> DataFrame:
-    """``dataset, alpha, scale_invariant`` of the fitted map of every data set and alpha, one task each."""
+    """``dataset, alpha, scale_invariant, auc_rnx, best``: the fitted map of every data set and alpha, one task each.
+
+    The best alpha has the largest AUC of the gain curve, the smallest alpha on ties.
+    """
     tasks = pairs.select("dataset", "i", "j", "d_hi").crossJoin(F.broadcast(pairs.sparkSession.createDataFrame([(a,) for a in grid], "alpha double")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         _, d = dense(pdf)
         alpha = float(pdf.alpha.iloc[0])
         y, _ = majorise(d, weights_of(d, alpha, eps), classical_scaling(d), 60, 1e-5)
-        lo = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
-        return pd.DataFrame({"dataset": [pdf.dataset.iloc[0]], "alpha": [alpha], "scale_invariant": [1 - (d * lo).sum() ** 2 / ((d**2).sum() * (lo**2).sum())]})
+        low = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+        return pd.DataFrame({"dataset": [pdf.dataset.iloc[0]], "alpha": [alpha], "scale_invariant": [scale_invariant(d, low)], "auc_rnx": [auc_rnx(d, low)]})
 
-    return tasks.groupBy("dataset", "alpha").applyInPandas(solve, "dataset string, alpha double, scale_invariant double")
+    found = tasks.groupBy("dataset", "alpha").applyInPandas(solve, "dataset string, alpha double, scale_invariant double, auc_rnx double")
+    first = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("auc_rnx"), "alpha")) == 1
+    return found.withColumn("best", first)
 
 
 def pivots(points: DataFrame, n: int) -> list[int]:
-    """Farthest-point pivots, from the smallest id; each round is one pass that keeps every point's nearest pivot distance."""
-    first = points.agg(F.min("id")).first()[0]
-    chosen = [first]
+    """Farthest-point pivots, from the smallest id: each round writes every point's distance to its nearest pivot so far."""
     gap = lambda a: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in a]), lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    at = [points.filter(F.col("id") == first).first()["x"]]
+    row = points.orderBy("id").first()
+    chosen = [row["id"]]
+    now = points.select("id", "x").withColumn("g", gap(row["x"]))
     while len(chosen) < n:
-        row = points.withColumn("g", F.least(*[gap(a) for a in at], F.lit(float("inf")))).orderBy(F.desc("g"), "id").first()
-        chosen.append(row["id"])
-        at.append(row["x"])
+        now = cut_lineage(now)
+        row = now.agg(F.max(F.struct("g", (-F.col("id")).alias("i"), "x")).alias("t")).select("t.*").first()
+        chosen.append(-row["i"])
+        now = now.withColumn("g", F.least("g", gap(row["x"])))
     return chosen
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import results as res
 from ..sources import sinks
+from ..operators import resampling as rs
 from .registry import query
 from .tables import MEDIANS, RUNS, runs, table
 
@@ -15,6 +16,11 @@ W = "WITH "
 A, B = "1-URGENT", "5-LOW"
 
 
+def below(x: str) -> str:
+    """DuckDB's form of the normal distribution function: Simpson's rule from 0 to ``x``."""
+    return f"(0.5 + ({x}) / 2000.0 / 3 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (({x}) * i / 2000.0)**2))) / sqrt(2 * pi()))"
+
+
 def wide(s, d):
     return res.medians(runs(s, d), "v")
 
@@ -86,8 +92,8 @@ def _(s, d):
 
 @query("agg20_main_effects", W + RUNS + """ SELECT dataset, "method", status, seed, round(median(v), 4) v FROM runs GROUP BY GROUPING SETS ((dataset, "method"), (dataset, status), (dataset, seed))""", 4)
 def _(s, d):
-    runs(s, d).createOrReplaceTempView("runs_by_factor")
-    return s.sql("SELECT dataset, method, status, seed, median(v) AS v FROM runs_by_factor GROUP BY GROUPING SETS ((dataset, method), (dataset, status), (dataset, seed))")
+    sets = [[F.col(c) for c in ("dataset", f)] for f in ("method", "status", "seed")]
+    return runs(s, d).groupingSets(sets, "dataset", "method", "status", "seed").agg(F.median("v").alias("v"))
 
 
 @query("agg29_cube", W + RUNS + ' SELECT region::BIGINT AS region, "method", status, count(*) n FROM runs GROUP BY CUBE (region, "method", status)')
@@ -116,16 +122,29 @@ def _(s, d):
     return res.friedman(wide(s, d)).drop("p")
 
 
-@query("st01_friedman_p")
+FRIEDMAN = COMPLETE + """, s AS (SELECT "method", sum(rk) s, count(*) n FROM ranked GROUP BY ALL), g AS (SELECT sum(s * s) s2, max(n)::DOUBLE n, count(*)::DOUBLE k FROM s), t AS (SELECT sum(c * c * c - c)::DOUBLE t FROM (SELECT count(*) c FROM ranked GROUP BY dataset, v))
+, fr AS (SELECT n::BIGINT n, k::BIGINT k, (12 / (n*k*(k+1)) * s2 - 3*n*(k+1)) / (1 - t / (n * (k**3 - k))) chi2 FROM g, t), frp AS (SELECT *, chi2 / (n * (k - 1)) kendall_w, 1 - chi2 / 4000.0 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (chi2 * i / 4000.0)**((k - 1) / 2.0 - 1) * exp(-chi2 * i / 8000.0))) / (2**((k - 1) / 2.0) * gamma((k - 1) / 2.0)) p FROM fr)"""
+
+
+@query("st01_friedman_p", W + FRIEDMAN + " SELECT n, k, round(chi2, 6) chi2, round(kendall_w, 6) kendall_w, round(p, 6) p FROM frp")
 def _(s, d):
     return res.friedman(wide(s, d))
 
 
-@query("st02_critical_difference", W + COMPLETE + ', a AS (SELECT "method", count(*) n FROM ranked GROUP BY ALL) SELECT count(*) k, max(n) n, round(2.728 * sqrt(count(*) * (count(*) + 1) / (6.0 * max(n))), 6) cd FROM a')
+#: Upper 5 % point of the range of five standard normal variables. Fixed value, as tables print it.
+RANGE_5_OF_5 = 3.857656
+
+
+@query("st02_critical_difference", W + COMPLETE + f', a AS (SELECT "method", count(*) n FROM ranked GROUP BY ALL) SELECT count(*) k, max(n) n, round({RANGE_5_OF_5} / sqrt(2) * sqrt(count(*) * (count(*) + 1) / (6.0 * max(n))), 5) cd FROM a', 5)
 def _(s, d):
     return res.critical_difference(res.average_ranks(wide(s, d)))
 
 
+@query("st04_experiment", W + FRIEDMAN + f""" SELECT "method", round(avg(rk), 5) avg_rank, n n_datasets, k n_methods, round(chi2, 5) chi2, round(kendall_w, 5) kendall_w, round(p, 5) p, round({RANGE_5_OF_5} / sqrt(2) * sqrt(k * (k + 1) / (6.0 * n)), 5) cd FROM ranked, frp GROUP BY "method", n, k, chi2, kendall_w, p""", 5)
+def _(s, d):
+    return res.experiment_statistics(runs(s, d), "v")
+
+
 @query("st03_cliques", W + COMPLETE + """, a AS (SELECT "method", avg(rk) r FROM ranked GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY r, "method") p FROM a)
 , e AS (SELECT x.p, x."method" f, max(y.p) z FROM o x JOIN o y ON y.p >= x.p AND y.r - x.r < 0.5 GROUP BY ALL), k AS (SELECT *, max(z) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) b FROM e)
 SELECT f "first", o."method" "last", z - k.p + 1 size FROM k JOIN o ON o.p = z WHERE z > k.p AND (b IS NULL OR z > b)""")
@@ -133,28 +152,60 @@ def _(s, d):
     return res.cliques(res.average_ranks(wide(s, d)), 0.5)
 
 
-@query("st05_wilcoxon", W + PAIRED + """, r AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2.0 rk FROM diffs WHERE diff <> 0), t AS (SELECT sum(c*c*c - c)::DOUBLE t FROM (SELECT count(*) c FROM r GROUP BY rk))
-, g AS (SELECT count(*) n, coalesce(sum(rk) FILTER (diff > 0), 0)::DOUBLE w FROM r) SELECT n, round(w, 6) w_plus, CASE WHEN n >= 5 THEN round((w - n*(n+1)/4.0) / sqrt(n*(n+1)*(2*n+1)/24.0 - t/48), 6) END z FROM g, t""")
+SIGNED = PAIRED + """, rk AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2.0 rk FROM diffs WHERE diff <> 0), ti AS (SELECT coalesce(sum(c*c*c - c), 0)::DOUBLE t FROM (SELECT count(*) c FROM rk GROUP BY rk))
+, g AS (SELECT (SELECT count(*) FROM diffs) n, count(*) m, coalesce(sum(rk) FILTER (diff > 0), 0)::DOUBLE w FROM rk), z AS (SELECT n, m n_nonzero, w w_plus, CASE WHEN n >= 5 AND m > 0 THEN (w - m*(m+1)/4.0) / sqrt(m*(m+1)*(2*m+1)/24.0 - t/48) END z, n >= 5 AND m > 0 AND n <= 50 AND m = n AND t = 0 AS exact FROM g, ti)"""
+
+
+@query("st05_wilcoxon", W + SIGNED + " SELECT n, n_nonzero, round(w_plus, 6) w_plus, round(z, 6) z, exact FROM z")
 def _(s, d):
-    return res.wilcoxon(diffs(s, d)).select("n", "w_plus", "z")
+    return res.wilcoxon(diffs(s, d)).drop("p")
 
 
-@query("st05_wilcoxon_p")
+@query("st05_wilcoxon_p", "WITH RECURSIVE " + SIGNED + f""", dp(k, c) AS (SELECT 0, list_transform(range(0, 1276), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END) UNION ALL SELECT k + 1, list_transform(range(0, 1276), lambda i: c[i + 1] + CASE WHEN i > k THEN c[i - k] ELSE 0 END) FROM dp WHERE k < (SELECT n FROM z WHERE n <= 50))
+SELECT n, n_nonzero, round(w_plus, 6) w_plus, round(z, 6) z, exact, round(CASE WHEN exact THEN least(1, 2 * least(list_sum(c[1:w_plus::BIGINT + 1]), list_sum(c[w_plus::BIGINT + 1:])) / 2.0**n) ELSE 2 * (1 - {below('abs(z)')}) END, 6) p FROM z, dp WHERE k = (SELECT max(k) FROM dp)""")
 def _(s, d):
     return res.wilcoxon(diffs(s, d))
 
 
-@query("st06_sign_flip", W + PAIRED + """, o AS (SELECT diff, row_number() OVER (ORDER BY dataset) - 1 k FROM diffs WHERE diff <> 0), g AS (SELECT count(*) n, sum(diff) t FROM o), a AS (SELECT m, sum(CASE WHEN (m >> k) & 1 = 1 THEN -diff ELSE diff END) v FROM (SELECT unnest(range(0, 4096)) m), o WHERE k < 12 GROUP BY m)
-, b AS (SELECT m, sum(CASE WHEN (m >> (k - 12)) & 1 = 1 THEN -diff ELSE diff END) v FROM (SELECT unnest(range(0, (SELECT 1::BIGINT << greatest(n - 12, 0) FROM g))) m), o WHERE k >= 12 GROUP BY m) SELECT n, round((SELECT count(*) FROM a, b, g WHERE a.v + b.v >= t - 1e-6) / (1::BIGINT << n)::DOUBLE, 6) p FROM g""")
+FLIPS = PAIRED + """, o AS (SELECT abs(diff) diff, row_number() OVER (ORDER BY dataset) - 1 k FROM diffs WHERE diff <> 0), g AS (SELECT count(*) n FROM o), tt AS (SELECT sum(diff) t FROM diffs), a AS (SELECT m, sum(CASE WHEN (m >> k) & 1 = 1 THEN -diff ELSE diff END) v FROM (SELECT unnest(range(0, 4096)) m), o WHERE k < 12 GROUP BY m)
+, b AS (SELECT m, sum(CASE WHEN (m >> (k - 12)) & 1 = 1 THEN -diff ELSE diff END) v FROM (SELECT unnest(range(0, (SELECT 1::BIGINT << greatest(n - 12, 0) FROM g))) m), o WHERE k >= 12 GROUP BY m), s AS (SELECT a.v + b.v v FROM a, b)"""
+
+
+@query("st06_sign_flip", W + FLIPS + " SELECT n, round((SELECT count(*) FROM s, tt WHERE v >= t - 1e-6) / (1::BIGINT << n)::DOUBLE, 6) p, true AS exact FROM g")
 def _(s, d):
     return res.sign_flip(diffs(s, d), most=30)
 
 
+@query("st06_sign_flip_less", W + FLIPS + " SELECT n, round((SELECT count(*) FROM s, tt WHERE v <= t + 1e-6) / (1::BIGINT << n)::DOUBLE, 6) p, true AS exact FROM g")
+def _(s, d):
+    return res.sign_flip(diffs(s, d), "less", most=30)
+
+
+@query("st06_sign_flip_two_sided", W + FLIPS + " SELECT n, round(least(1, 2 * (SELECT count(*) FROM s, tt WHERE v >= abs(t) - 1e-6) / (1::BIGINT << n)::DOUBLE), 6) p, true AS exact FROM g")
+def _(s, d):
+    return res.sign_flip(diffs(s, d), "two-sided", most=30)
+
+
+@query("st08_sign_flip_dispatch")
+def _(s, d):
+    return res.sign_flip(diffs(s, d), "greater", most=22, draws=10_000, seed=42)
+
+
 @query("st10_bootstrap")
 def _(s, d):
     return res.bootstrap_median(diffs(s, d), 500, 42)
 
 
+@query("st10_bootstrap_mean")
+def _(s, d):
+    return rs.bootstrap_mean(diffs(s, d), "diff", "dataset", 500, 42)
+
+
+@query("st10_bootstrap_spearman")
+def _(s, d):
+    return rs.bootstrap_spearman(diffs(s, d), "va", "vb", "dataset", 500, 42)
+
+
 @query("st11_holm", W + RUNS + """, h AS (SELECT dataset, region, count(*) hash_ FROM runs GROUP BY ALL), t AS (SELECT dataset, region::BIGINT AS region, (hash_ * 37 % 997) / 9970.0 p FROM h), m AS (SELECT *, count(p) OVER (PARTITION BY region) m, row_number() OVER (PARTITION BY region ORDER BY p, dataset) r FROM t)
 SELECT dataset, region, round(p, 6) p, round(max(least(1, (m - r + 1) * p)) OVER (PARTITION BY region ORDER BY p, dataset ROWS UNBOUNDED PRECEDING), 6) p_holm FROM m""")
 def _(s, d):
@@ -172,7 +223,18 @@ def _(s, d):
     return res.cliffs_delta(wide(s, d), A, B)
 
 
-@query("st14_tost")
+@query("st13_paired_dominance", W + PAIRED + " SELECT round(avg(sign(diff)), 6) delta_pair FROM diffs")
+def _(s, d):
+    return res.paired_dominance(diffs(s, d))
+
+
+def _t_upper(t: str) -> str:
+    """DuckDB's form of the t distribution's upper tail at ``t`` with n - 1 degrees of freedom."""
+    density = f"exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) * (1 + (({t}) * i / 4000.0)**2 / (n - 1))**(-n / 2.0)"
+    return f"(0.5 - ({t}) / 4000.0 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density})))"
+
+
+@query("st14_tost", W + PAIRED + f", m AS (SELECT count(*) n, avg(diff) mean, stddev_samp(diff) sd FROM diffs) SELECT n, round(mean, 4) mean, round(sd, 4) sd, round(greatest({_t_upper('(mean + 20000) / (sd / sqrt(n))')}, {_t_upper('-(mean - 20000) / (sd / sqrt(n))')}), 4) p FROM m", 4)
 def _(s, d):
     return res.tost(diffs(s, d), 20_000.0)
 
@@ -203,9 +265,10 @@ def _(s, d):
     return a.join(b, "dataset", "full_outer")
 
 
-@query("jn11_relative_to_baseline", W + RUNS + """, g AS (SELECT dataset, nullif("method", '3-MEDIUM') alpha, seed % 5 lam, median(v) v FROM runs WHERE status = 'ok' GROUP BY ALL) SELECT dataset, alpha, lam, round(v / nullif(max(v) FILTER (lam = 0) OVER (PARTITION BY dataset, alpha), 0), 6) relative FROM g""")
+@query("jn11_relative_to_baseline", W + RUNS + """, g AS (SELECT dataset, nullif("method", '3-MEDIUM') alpha, seed % 5 lam, median(v) v FROM runs WHERE status = 'ok' AND NOT (dataset LIKE 'A%' AND seed % 5 = 0) GROUP BY ALL), b AS (SELECT *, max(v) FILTER (lam = 0) OVER (PARTITION BY dataset, alpha) base, count(*) FILTER (lam = 0) OVER (PARTITION BY dataset, alpha) c FROM g) SELECT dataset, alpha, lam, round(v / nullif(base, 0), 6) relative FROM b WHERE c > 0""")
 def _(s, d):
-    g = res.ok(runs(s, d), "v").groupBy("dataset", F.nullif("method", F.lit("3-MEDIUM")).alias("alpha"), (F.col("seed") % 5).alias("lam")).agg(F.median("v").alias("v"))
+    r = res.ok(runs(s, d), "v").filter(~(F.col("dataset").startswith("A") & (F.col("seed") % 5 == 0)))  # some groups have no baseline
+    g = r.groupBy("dataset", F.nullif("method", F.lit("3-MEDIUM")).alias("alpha"), (F.col("seed") % 5).alias("lam")).agg(F.median("v").alias("v"))
     return res.relative_to_baseline(g, "v", "lam", ["dataset", "alpha"]).drop("v")
 
 
@@ -368,3 +431,162 @@ def _(s, d):
     m = res.two_level_median(runs(s, d), "v")
     base = m.filter(F.col("method") == B).select(F.col("median").alias("base"))
     return m.crossJoin(F.broadcast(base)).select("method", (F.col("median") / F.col("base")).alias("ratio"))
+
+
+FAMILIES = [("levels", "h1", "confirmatory", "v", "1-URGENT", "5-LOW"), ("levels", "h2", "confirmatory", "v", "2-HIGH", "5-LOW"), ("levels", "h3", "exploratory", "v", "3-MEDIUM", "5-LOW"), ("costs", "h4", "confirmatory", "cost", "1-URGENT", "5-LOW"), ("costs", "h5", "confirmatory", "cost", "none", "5-LOW")]
+_ROWS = ", ".join(str(f) for f in FAMILIES)
+
+
+@query("st20_families", W + MEDIANS + f""", fam AS (SELECT * FROM (VALUES {_ROWS}) f(family, hypothesis, role, metric, method_a, method_b)), long AS (SELECT dataset, "method" m, 'v' metric, v FROM wide UNION ALL SELECT dataset, "method", 'cost', v FROM costs)
+, p AS (SELECT fam.*, a.dataset, a.v va, b.v vb, a.v - b.v diff FROM fam JOIN long a ON a.metric = fam.metric AND a.m = method_a JOIN long b ON b.metric = fam.metric AND b.m = method_b AND a.dataset = b.dataset), s AS (SELECT family, hypothesis, count(*) n, median(diff) median, avg(sign(diff)) delta_pair FROM p GROUP BY ALL)
+, hl AS (SELECT x.family, x.hypothesis, median((x.diff + y.diff) / 2) hodges_lehmann FROM p x JOIN p y ON x.family = y.family AND x.hypothesis = y.hypothesis AND x.dataset <= y.dataset GROUP BY ALL), cd AS (SELECT x.family, x.hypothesis, avg(sign(x.va - y.vb)) cliffs_delta FROM p x JOIN p y ON x.family = y.family AND x.hypothesis = y.hypothesis GROUP BY ALL)
+SELECT fam.*, n, round(median, 4) median, round(hodges_lehmann, 4) hodges_lehmann, round(cliffs_delta, 4) cliffs_delta, round(delta_pair, 4) delta_pair FROM fam LEFT JOIN s USING (family, hypothesis) LEFT JOIN hl USING (family, hypothesis) LEFT JOIN cd USING (family, hypothesis)""", 4)
+def _(s, d):
+    return family_tests(s, d).drop("p", "p_holm")
+
+
+def family_tests(s, d):
+    long = wide(s, d).withColumn("metric", F.lit("v")).unionByName(res.medians(runs(s, d), "cost").withColumn("metric", F.lit("cost")))
+    names = "family string, hypothesis string, role string, metric string, method_a string, method_b string"
+    return res.family_tests(long, s.createDataFrame(FAMILIES, names))
+
+
+@query("st20_family_p")
+def _(s, d):
+    return family_tests(s, d).select("family", "hypothesis", "p", "p_holm")
+
+
+@query("st18_dominated", W + RUNS + """ SELECT dataset, run, EXISTS (SELECT 1 FROM runs b WHERE b."method" = '5-LOW' AND b.dataset = a.dataset AND b.v >= a.v AND b.cost >= a.cost AND (b.v > a.v OR b.cost > a.cost)) dominated FROM runs a""")
+def _(s, d):
+    return res.dominated_by(runs(s, d), "dataset", "run", "method", B, "v", "cost")
+
+
+@query("st26_reproduces", W + MEDIANS + """, a AS (SELECT "method", median(v) computed FROM wide GROUP BY ALL), b AS (SELECT "method", avg(v) reference FROM wide WHERE "method" <> '3-MEDIUM' GROUP BY ALL) SELECT "method", round(computed, 4) computed, round(reference, 4) reference, coalesce(abs(computed - reference) <= greatest(0.005 * abs(reference), 10), false) ok FROM a FULL JOIN b USING ("method")""", 4)
+def _(s, d):
+    w = wide(s, d)
+    a, b = w.groupBy("method").agg(F.median("v").alias("x")), w.filter("method <> '3-MEDIUM'").groupBy("method").agg(F.avg("v").alias("x"))
+    return res.reproduces(a, b, ["method"], "x", 0.005, 10.0)
+
+
+@query("st30_properties", W + RUNS + """, u AS (SELECT dataset, median(v) target, count(*)::DOUBLE size, min(v)::DOUBLE low, max(cost)::DOUBLE top FROM runs GROUP BY ALL), l AS (UNPIVOT u ON size, low, top INTO NAME property VALUE x), r AS (SELECT property, rank() OVER (PARTITION BY property ORDER BY x) + (count(*) OVER (PARTITION BY property, x) - 1) / 2.0 rx, rank() OVER (PARTITION BY property ORDER BY target) + (count(*) OVER (PARTITION BY property, target) - 1) / 2.0 ry FROM l)
+, c AS (SELECT property, corr(rx, ry) rho, count(*) n FROM r GROUP BY ALL) SELECT property, round(rho, 6) rho, n, row_number() OVER (ORDER BY abs(rho) DESC, property) = 1 strongest FROM c""")
+def _(s, d):
+    u = runs(s, d).groupBy("dataset").agg(F.median("v").alias("target"), F.count(F.lit(1)).alias("size"), F.min("v").alias("low"), F.max("cost").alias("top"))
+    return res.strongest_property(u, "dataset", "target", ["size", "low", "top"])
+
+
+@query("st32_panels", W + RUNS + """ SELECT 'all' panel, count(*) n, round(median(v), 4) v, round(median(cost), 4) cost FROM runs UNION ALL SELECT 'late', count(*), round(median(v), 4), round(median(cost), 4) FROM runs WHERE seed >= 5 UNION ALL SELECT 'urgent', count(*), round(median(v), 4), round(median(cost), 4) FROM runs WHERE "method" = '1-URGENT'""", 4)
+def _(s, d):
+    return res.panel_medians(runs(s, d), ["v", "cost"], {"all": F.lit(True), "late": F.col("seed") >= 5, "urgent": F.col("method") == A})
+
+
+@query("st35_against_baseline", W + RUNS + """, m AS (SELECT dataset, seed, median(v) v FROM runs GROUP BY ALL), d AS (SELECT a.dataset, a.seed, a.v - b.v diff FROM m a JOIN m b ON a.dataset = b.dataset AND b.seed = 0 WHERE a.seed <> 0) SELECT seed, count(*) n, round(median(diff), 4) median, round(avg((diff > 0)::INT), 4) share_positive FROM d GROUP BY seed""", 4)
+def _(s, d):
+    return res.against_baseline(runs(s, d), "v", "seed", 0).drop("p")
+
+
+@query("jn10_equivalent_starts", W + RUNS + """, p AS (SELECT dataset, seed, max(v) FILTER ("method" = '1-URGENT') va, max(v) FILTER ("method" = '5-LOW') vb FROM runs GROUP BY ALL HAVING va IS NOT NULL AND vb IS NOT NULL) SELECT count(*) n, round(median(abs(va - vb)), 4) median, round(max(abs(va - vb)), 4) largest FROM p""", 4)
+def _(s, d):
+    return res.equivalent_starts(runs(s, d), "method", A, B, ["dataset", "seed"], "v")
+
+
+@query("agg09_family_best", W + MEDIANS + """, f AS (SELECT dataset, CASE WHEN "method" IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'rest' END family, v FROM wide) SELECT dataset, family, round(max(v), 4) best FROM f GROUP BY ALL""", 4)
+def _(s, d):
+    family = F.when(F.col("method").isin(A, "2-HIGH"), "high").otherwise("rest")
+    return wide(s, d).groupBy("dataset", family.alias("family")).agg(F.max("v").alias("best"))
+
+
+@query("st29_summary", W + RUNS + """, r AS (SELECT dataset, v, rank() OVER (PARTITION BY dataset ORDER BY v) + (count(*) OVER (PARTITION BY dataset, v) - 1) / 2.0 ra, rank() OVER (PARTITION BY dataset ORDER BY cost) + (count(*) OVER (PARTITION BY dataset, cost) - 1) / 2.0 rb FROM runs), c AS (SELECT dataset, corr(ra, rb) rho FROM r GROUP BY dataset HAVING count(DISTINCT v) >= 3)
+, g AS (SELECT count(*) n, median(rho) median, min(rho) low, max(rho) high, count(*) FILTER (rho > 0) positive, count(*) FILTER (rho <> 0) m FROM c) SELECT n, round(median, 6) median, round(low, 6) low, round(high, 6) high, positive, round(least(1, 2 * list_sum(list_transform(range(0, least(positive, m - positive) + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1)))) / 2.0**m), 6) p FROM g""")
+def _(s, d):
+    return res.sign_summary(res.within_group_spearman(runs(s, d), "dataset", "v", "cost"), "rho")
+
+
+@query("flt03_near", W + RUNS + " SELECT run FROM runs WHERE abs(v / 1000 - round(v / 1000)) <= 0.001")
+def _(s, d):
+    return runs(s, d).filter(scalars.near(F.col("v") / 1000, F.round(F.col("v") / 1000), 0.001)).select("run")
+
+
+@query("flt04_substring", W + RUNS + " SELECT run FROM runs WHERE contains(dataset, 'IN') AND \"method\" LIKE '%H'")
+def _(s, d):
+    return runs(s, d).filter(F.col("dataset").contains("IN") & F.col("method").endswith("H")).select("run")
+
+
+@query("flt05_name_parts", W + RUNS + """, n AS (SELECT run, 'sammon_alpha' || (seed / 4.0)::DECIMAL(9, 2) || '_' || lower(split_part("method", '-', 2)) || CASE WHEN seed % 3 = 0 THEN '_k' || seed ELSE '' END t FROM runs) SELECT run, regexp_extract(t, '^sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 1)::DOUBLE alpha, regexp_extract(t, '^sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 2) kind, nullif(regexp_extract(t, '^sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 4), '')::BIGINT k FROM n WHERE regexp_full_match(t, 'sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?')""")
+def _(s, d):
+    tail = F.when(F.col("seed") % 3 == 0, F.concat(F.lit("_k"), F.col("seed").cast("string"))).otherwise("")
+    text = F.concat(F.lit("sammon_alpha"), (F.col("seed") / 4).cast("decimal(9,2)").cast("string"), F.lit("_"), F.lower(F.split_part("method", F.lit("-"), F.lit(2))), tail)
+    return scalars.name_parts(runs(s, d).select("run", text.alias("t")), "t", r"sammon_alpha([0-9.]+)_([a-z ]+?)(?:_k([0-9]+))?", {"alpha": "double", "kind": "string", "k": "long"}).drop("t")
+
+
+@query("flt06_finite_positive", W + RUNS + " SELECT run FROM runs WHERE cost > 0 AND v > 0 AND NOT isnan(cost::DOUBLE) AND cost < 'inf'::DOUBLE")
+def _(s, d):
+    return runs(s, d).filter(scalars.finite_positive("cost", "v")).select("run")
+
+
+@query("flt10_recode", W + RUNS + """ SELECT DISTINCT "method", CASE "method" WHEN '1-URGENT' THEN 'now' WHEN '5-LOW' THEN 'later' ELSE "method" END AS recoded FROM runs""")
+def _(s, d):
+    return runs(s, d).select("method", scalars.recode(F.col("method"), {A: "now", B: "later"}).alias("recoded")).distinct()
+
+
+@query("flt12_eligible", W + RUNS + """, u AS (SELECT dataset, count(*) n, min(v) low, count(DISTINCT "method") m FROM runs GROUP BY ALL) SELECT dataset, n >= 500 enough, low > 1000 large, m = 5 complete, n >= 500 AND low > 1000 AND m = 5 eligible FROM u""")
+def _(s, d):
+    u = runs(s, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.count_distinct("method").alias("m"))
+    return scalars.eligible(u, {"enough": F.col("n") >= 500, "large": F.col("low") > 1000, "complete": F.col("m") == 5}).drop("n", "low", "m")
+
+
+@query("flt13_oriented", W + RUNS + ', l AS (UNPIVOT (SELECT run, v, cost FROM runs) ON v, cost INTO NAME metric VALUE x) SELECT run, metric, round(CASE WHEN metric = \'cost\' THEN -x ELSE x END, 4) x FROM l', 4)
+def _(s, d):
+    long = runs(s, d).select("run", "v", "cost").unpivot(["run"], ["v", "cost"], "metric", "x")
+    return long.withColumn("x", scalars.oriented(F.col("metric"), F.col("x"), ["cost"]))
+
+
+@query("set02_disjoint_union", W + RUNS + " SELECT run FROM runs WHERE seed < 3 UNION ALL SELECT run FROM runs WHERE seed > 6")
+def _(s, d):
+    r = runs(s, d)
+    return sinks.disjoint_union(r.filter("seed < 3").select("run"), r.filter("seed > 6").select("run"), ["run"])
+
+
+@query("set04_distinct_vectors", "SELECT id, label FROM (SELECT vec_id id, label, row_number() OVER (PARTITION BY list_transform(embedding[1:2], lambda v: round(v::DOUBLE, 1)) ORDER BY vec_id) p FROM embeddings) WHERE p = 1")
+def _(s, d):
+    x = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 2), lambda v: F.round(v, 1) + 0.0)
+    return res.first_of_equal(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", x.alias("x")), ["x"], "id").drop("x")
+
+
+@query("top06_evenly_spaced", W + MEDIANS + """, o AS (SELECT dataset, "method", row_number() OVER (ORDER BY v, dataset, "method") - 1 p, count(*) OVER () n FROM wide), w AS (SELECT DISTINCT round_even(i * (n - 1) / 6.0, 0)::BIGINT p FROM o, (SELECT unnest(range(0, 7)) i)) SELECT dataset, "method", p place FROM o SEMI JOIN w USING (p)""")
+def _(s, d):
+    return res.evenly_spaced(wide(s, d), ["v", "dataset", "method"], 7).select("dataset", "method", "place")
+
+
+@query("fn15_words", "SELECT k, w AS words FROM (SELECT unnest([0.0, 0.25, 1.0, 3.0, 10.0, 13.5, 17.0, 42.0])::DOUBLE k, unnest(['Zero', 'ZeroPointTwoFive', 'One', 'Three', 'Ten', 'OneThreePointFive', 'Seventeen', 'FourTwo']) w)")
+def _(s, d):
+    return s.createDataFrame([(k,) for k in (0.0, 0.25, 1.0, 3.0, 10.0, 13.5, 17.0, 42.0)], "k double").select("k", scalars.number_words(F.col("k")).alias("words"))
+
+
+@query("fn15_three_digits", "SELECT k, t AS text FROM (SELECT unnest([0.0, 1234.0, 12.345, 0.00456, -0.9996])::DOUBLE k, unnest(['0', '1234', '12.3', '0.00456', '-1.000']) t)")
+def _(s, d):
+    return s.createDataFrame([(v,) for v in (0.0, 1234.0, 12.345, 0.00456, -0.9996)], "k double").select("k", scalars.significant(F.col("k"), 3).alias("text"))
+
+
+@query("fn17_keys", W + RUNS + """ SELECT run, dataset || '__' || "method" || '__' || seed "key" FROM runs""")
+def _(s, d):
+    return runs(s, d).select("run", scalars.composite_key("dataset", "method", "seed").alias("key"))
+
+
+SHORT = {"trustworthiness_": "trust_", "continuity_": "cont_", "knn_jaccard_": "jacc_"}
+
+
+@query("fn19_short_keys", "SELECT k AS \"key\", s AS short FROM (SELECT unnest(['trustworthiness_k7', 'continuity_k20', 'knn_jaccard_k7']) k, unnest(['trust_k7', 'cont_k20', 'jacc_k7']) s)")
+def _(s, d):
+    keys = s.createDataFrame([(k,) for k in ("trustworthiness_k7", "continuity_k20", "knn_jaccard_k7")], "key string")
+    return keys.select("key", scalars.short_key(F.col("key"), SHORT).alias("short"))
+
+
+@query("m39_converged", W + MEDIANS + """ SELECT a.dataset, round(a.v / b.v, 6) ratio, a.v < 1.05 * b.v converged FROM wide a JOIN wide b ON a.dataset = b.dataset WHERE a."method" = '1-URGENT' AND b."method" = '5-LOW'""")
+def _(s, d):
+    return res.converged(diffs(s, d), "va", "vb", 1.05)
+
+
+@query("m40_gap", W + MEDIANS + """, j AS (SELECT a.dataset, a.v sa, b.v sb, c.v ca, e.v cb FROM wide a JOIN wide b ON a.dataset = b.dataset AND a."method" = '1-URGENT' AND b."method" = '5-LOW' JOIN costs c ON c.dataset = a.dataset AND c."method" = '1-URGENT' JOIN costs e ON e.dataset = a.dataset AND e."method" = '5-LOW') SELECT dataset, round((sa - sb) / nullif(sb, 0), 6) gap, round(cb / nullif(ca, 0), 6) speed_up FROM j""")
+def _(s, d):
+    return res.approximation_gap(diffs(s, d), res.paired(res.medians(runs(s, d), "cost"), A, B))

@@ -125,7 +125,7 @@ def _(s, d):
 
 
 @query("m14_silhouette", W + BOTH + """, m AS (SELECT i, ci, cj, avg(d_lo) m FROM both_ways GROUP BY ALL), p AS (SELECT i, min(m) FILTER (ci = cj) a, min(m) FILTER (ci <> cj) b FROM m GROUP BY i)
-SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / nullif(greatest(a, b), 0) END), 6) silhouette FROM p""")
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) silhouette FROM p""")
 def _(s, d):
     return geo.silhouette(pairs(s, d))
 
@@ -164,8 +164,14 @@ def _(s, d):
     return geo.gradient(pairs(s, d), points(s, d), 1, 0.1)
 
 
-CLASSES = PAIRS + ", means AS (SELECT least(ci, cj)::BIGINT ca, greatest(ci, cj)::BIGINT cb, avg(d_hi) hi, avg(d_lo) lo FROM pairs WHERE ci <> cj GROUP BY ALL), spread AS (SELECT ci::BIGINT label, median(d_hi) hi, median(d_lo) lo FROM pairs WHERE ci = cj GROUP BY ALL)"
-_SPEARMAN = ", rk AS (SELECT rank() OVER (ORDER BY hi) + (count(*) OVER (PARTITION BY hi) - 1) / 2.0 a, rank() OVER (ORDER BY lo) + (count(*) OVER (PARTITION BY lo) - 1) / 2.0 b FROM {}) SELECT round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) spearman FROM rk"
+@query("m17_diagonal_hessian", W + BOTH + """, h AS (SELECT b.i, power(d_hi + 0.1, -1) w, greatest(d_lo, 1e-12) l, (d_hi - d_lo) / greatest(d_lo, 1e-12) c, p.x[1] - q.x[1] dx, p.x[2] - q.x[2] dy FROM both_ways b JOIN points p ON p.id = b.i JOIN points q ON q.id = b.j)
+SELECT i, round(sum(-2 * w * (c - (dx / l)**2 * (1 + c))), 4) + 0.0 hx, round(sum(-2 * w * (c - (dy / l)**2 * (1 + c))), 4) + 0.0 hy FROM h GROUP BY i""", 4)
+def _(s, d):
+    return geo.diagonal_hessian(pairs(s, d), points(s, d), 1, 0.1)
+
+
+CLASSES = PAIRS + ", classes AS (SELECT count(DISTINCT label) n FROM points), means AS (SELECT least(ci, cj)::BIGINT ca, greatest(ci, cj)::BIGINT cb, avg(d_hi) hi, avg(d_lo) lo FROM pairs WHERE ci <> cj GROUP BY ALL), spread AS (SELECT ci::BIGINT label, median(d_hi) hi, median(d_lo) lo FROM pairs WHERE ci = cj GROUP BY ALL)"
+_SPEARMAN = ", rk AS (SELECT rank() OVER (ORDER BY hi) + (count(*) OVER (PARTITION BY hi) - 1) / 2.0 a, rank() OVER (ORDER BY lo) + (count(*) OVER (PARTITION BY lo) - 1) / 2.0 b FROM {}) SELECT CASE WHEN count(*) >= 3 AND (SELECT n FROM classes) BETWEEN 3 AND 50 THEN round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) END spearman FROM rk"
 
 
 @query("m18_class_means", W + CLASSES + " SELECT ca, cb, round(hi, 6) hi, round(lo, 6) lo FROM means")
@@ -175,7 +181,7 @@ def _(s, d):
 
 @query("m18_centroid_spearman", W + CLASSES + _SPEARMAN.format("means"))
 def _(s, d):
-    return geo.rank_correlation(geo.class_means(pairs(s, d)), "hi", "lo")
+    return geo.centroid_spearman(pairs(s, d))
 
 
 @query("m19_class_spread", W + CLASSES + " SELECT label, round(hi, 6) hi, round(lo, 6) lo FROM spread")
@@ -185,42 +191,50 @@ def _(s, d):
 
 @query("m19_spread_spearman", W + CLASSES + _SPEARMAN.format("spread"))
 def _(s, d):
-    return geo.rank_correlation(geo.class_spread(pairs(s, d)), "hi", "lo")
+    return geo.spread_spearman(pairs(s, d))
 
 
-@query("m19_lie_factor", W + CLASSES + " SELECT round(median(abs(ln(lo / hi))), 6) lie_factor FROM spread")
+@query("m19_lie_factor", W + CLASSES + ", a AS (SELECT median(d_hi) h, median(d_lo) l FROM pairs) SELECT CASE WHEN (SELECT n FROM classes) BETWEEN 3 AND 50 THEN round(median(abs(ln((lo / l) / (hi / h)))), 6) END lie_factor FROM spread, a WHERE hi > 0 AND lo > 0 AND h > 0 AND l > 0")
 def _(s, d):
-    return geo.lie_factor(geo.class_spread(pairs(s, d)))
+    return geo.lie_factor(pairs(s, d))
 
 
 @query("m20_class_neighbours", W + CLASSES + """, s AS (SELECT ca, cb, hi, lo FROM means UNION ALL SELECT cb, ca, hi, lo FROM means), r AS (SELECT ca, row_number() OVER (PARTITION BY ca ORDER BY hi, cb) r, row_number() OVER (PARTITION BY ca ORDER BY lo, cb) q FROM s)
-, p AS (SELECT ca, count(*) FILTER (r <= 3 AND q <= 3) m, least(3, count(*)) k FROM r GROUP BY ca) SELECT round(avg((m = k)::INT), 6) preserved FROM p""")
+, p AS (SELECT ca, count(*) FILTER (r <= 3 AND q <= 3) m FROM r GROUP BY ca) SELECT CASE WHEN count(*) > 3 AND (SELECT n FROM classes) BETWEEN 3 AND 50 THEN round(avg((m = 3)::INT), 6) END preserved FROM p""")
 def _(s, d):
-    return geo.class_neighbours_kept(geo.class_means(pairs(s, d)))
+    return geo.class_neighbours_kept(pairs(s, d))
 
 
-def _near(d):
-    return f"(SELECT ca || '-' || cb FROM means ORDER BY {d}, ca, cb LIMIT 1)"
+def _best(table, answer, d, way, order):
+    return f"(SELECT {answer} FROM {table} ORDER BY {d} {way}, {order} LIMIT 1), (SELECT coalesce(max(v) - min(v) <= 1e-9 * greatest(abs(arg_min(v, p)), 1e-12) AND count(*) > 1, false) FROM (SELECT {d} v, row_number() OVER (ORDER BY {d} {way}, {order}) p FROM {table}) WHERE p <= 2)"
 
 
-def _wide(d):
-    return f"(SELECT label::VARCHAR FROM spread ORDER BY {d} DESC, label LIMIT 1)"
+def _answers(question, table, answer, way, order, least):
+    a, b = _best(table, answer, "hi", way, order), _best(table, answer, "lo", way, order)
+    rho = _SPEARMAN.format(table)[2:].replace("rk AS", "WITH rk AS", 1)
+    return f"""SELECT '{question}' question, (SELECT n FROM classes) n_classes, CASE WHEN (SELECT n FROM classes) < 3 THEN 'insufficient_classes_or_no_labels' WHEN (SELECT n FROM classes) > 50 THEN 'excessive_classes_likely_continuous_label' WHEN n_candidates < {least} THEN 'fewer_than_2_classes_with_2plus_points' ELSE '' END note, n_candidates, true_answer, pred_answer, (true_answer = pred_answer)::BIGINT correct, (SELECT spearman FROM ({rho})) soft_rho, tie_in_truth, tie_in_prediction
+FROM (SELECT (SELECT count(*) FROM {table}) n_candidates, {a}, {b}) t(n_candidates, true_answer, tie_in_truth, pred_answer, tie_in_prediction)"""
+
+
+@query("m21_discovery", W + CLASSES + " " + _answers("nearest_class_pair", "means", "ca || '|' || cb", "ASC", "ca, cb", 1) + " UNION ALL " + _answers("most_dispersed_class", "spread", "label::VARCHAR", "DESC", "label", 2))
+def _(s, d):
+    return geo.discovery(pairs(s, d))
 
 
-@query("m21_discovery", W + CLASSES + f", a AS (SELECT 'nearest_pair' question, {_near('hi')} answer_hi, {_near('lo')} answer_lo UNION ALL SELECT 'most_dispersed', {_wide('hi')}, {_wide('lo')}) SELECT question, answer_hi, answer_lo, answer_hi = answer_lo AS correct FROM a")
+@query("agg16_eps", W + RANKS + " SELECT round(quantile_cont(d_hi, 0.1), 6) eps FROM ranks WHERE r = 5")
 def _(s, d):
-    p = pairs(s, d)
-    return geo.discovery(geo.class_means(p), geo.class_spread(p)).drop("tie")
+    return geo.estimate_eps(points(s, d), 5, 0.1)
 
 
 @query("m27_properties", W + RANKS + """, e AS (SELECT median(d_hi) med, avg(d_hi) m1, stddev_pop(d_hi) sd FROM pairs), e3 AS (SELECT avg((d_hi - m1)**3) / max(sd)**3 dist_skew FROM pairs, e)
 , ends AS (SELECT i, min(d_hi) lo, max(d_hi) hi FROM both_ways GROUP BY i), k AS (SELECT median(d_hi) FILTER (r = 1) k1, median(d_hi) FILTER (r = 5) k5, median(d_hi) FILTER (r = 10) k10 FROM ranks)
 , hub AS (SELECT p.id, count(r.i)::DOUBLE c FROM points p LEFT JOIN (SELECT * FROM ranks WHERE r <= 10) r ON r.j = p.id GROUP BY p.id), hm AS (SELECT avg(c) m, stddev_pop(c) s FROM hub)
-, mu AS (SELECT i, max(d_hi) FILTER (r = 2) / nullif(max(d_hi) FILTER (r = 1), 0) mu FROM ranks WHERE r <= 2 GROUP BY i), f AS (SELECT mu, row_number() OVER (ORDER BY mu, i) p, count(*) OVER () m FROM mu WHERE mu IS NOT NULL)
-, t AS (SELECT sum(ln(mu) * -ln(1 - p / m::DOUBLE)) / sum(ln(mu)**2) id_twonn FROM f WHERE p <= floor(m * 0.9)), far AS (SELECT i, d_hi t FROM ranks WHERE r = 10)
-, l AS (SELECT r.i, sum(ln(t / d_hi)) / 9 inv FROM ranks r JOIN far USING (i) WHERE r < 10 AND d_hi > 0 GROUP BY r.i)
+, mu AS (SELECT i, max(d_hi) FILTER (r = 2) / nullif(max(d_hi) FILTER (r = 1), 0) mu FROM ranks WHERE r <= 2 GROUP BY i), f AS (SELECT mu, row_number() OVER (ORDER BY mu, i) p, count(*) OVER () m FROM mu WHERE mu > 1)
+, t AS (SELECT sum(ln(mu) * -ln(1 - p / m::DOUBLE)) / sum(ln(mu)**2) id_twonn FROM f WHERE p <= round_even(m * 0.9, 0) AND m >= 10), far AS (SELECT i, d_hi t FROM ranks WHERE r = 10)
+, l AS (SELECT r.i, sum(CASE WHEN d_hi > 0 THEN ln(t / d_hi) WHEN t > 0 THEN 'inf'::DOUBLE END) / 9 inv FROM ranks r JOIN far USING (i) WHERE r < 10 GROUP BY r.i)
+, sm AS (SELECT i, ci, cj, avg(d_hi) m FROM both_ways GROUP BY ALL), sp AS (SELECT i, min(m) FILTER (ci = cj) a, min(m) FILTER (ci <> cj) b FROM sm GROUP BY i)
 SELECT (SELECT count(*) FROM ends) n, round(k1 / med, 6) nn_ratio_k1, round(k5 / med, 6) nn_ratio_k5, round(k10 / med, 6) nn_ratio_k10, round(sd / m1, 6) dist_cv, round(dist_skew, 6) dist_skew,
-(SELECT round(avg((hi - lo) / greatest(lo, 1e-9)), 6) FROM ends) relative_contrast, (SELECT round(avg((c - m)**3) / max(s)**3, 6) FROM hub, hm) hubness_skew, round(id_twonn, 6) id_twonn, (SELECT round(1 / avg(inv), 6) FROM l) id_mle FROM e, e3, k, t""")
+(SELECT round(median((hi - lo) / greatest(lo, 1e-9)), 6) FROM ends) relative_contrast, (SELECT round(avg((c - m)**3) / max(s)**3, 6) FROM hub, hm) hubness_skew, round(id_twonn, 6) id_twonn, (SELECT round(avg(1 / inv), 6) FROM l WHERE inv > 0) id_mle, (SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) FROM sp) silhouette FROM e, e3, k, t""")
 def _(s, d):
     return geo.properties(points(s, d))
 
@@ -246,7 +260,7 @@ def _(s, d):
     return geo.intrusion(ranks(s, d), 7)
 
 
-@query("fn04_rank_weights", W + RANKS + " SELECT a.i, a.j, round(power(greatest(1, (a.r + b.r) / 2.0), -1.0), 6) w FROM ranks a JOIN ranks b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j")
+@query("fn04_rank_weights", W + BOTH + ", rk AS MATERIALIZED (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d_hi, j) r FROM both_ways) SELECT least(i, j) i, greatest(i, j) j, round(power(greatest(1, sum(r) / 2.0), -1.0), 6) w FROM rk GROUP BY least(i, j), greatest(i, j)")
 def _(s, d):
     return geo.rank_weights(ranks(s, d), 1.0)
 
@@ -258,20 +272,21 @@ def _(s, d):
 
 _PARTS = {
     "m01_stress_si": "scale_invariant, scale", "m02_relative_stress": "relative", "m03_kruskal": "kruskal", "m06_trust_continuity_k7": "k, trustworthiness, continuity", "m11_overlap": "jaccard, common",
-    "m12_neighborhood_hit": "hit", "m13_distance_correlation": "dcor", "m14_silhouette": "silhouette", "m09_auc_rnx": "auc_rnx",
+    "m12_neighborhood_hit": "hit", "m13_distance_correlation": "dcor", "m14_silhouette": "silhouette", "m09_auc_rnx": "auc_rnx", "m06_trust_continuity_k20": "trustworthiness trustworthiness_far, continuity continuity_far",
+    "m10_local_global": "k_star, q_local, q_global", "m04_shepard": "pearson, spearman", "m14_davies_bouldin": "davies_bouldin", "m15_distance_consistency": "distance_consistency", "m18_centroid_spearman": "spearman centroid_dist_spearman",
+    "m19_spread_spearman": "spearman class_spread_spearman", "m19_lie_factor": "lie_factor class_spread_lie_factor", "m20_class_neighbours": "preserved centroid_knn_preservation",
 }
+_AT_K = "SELECT round(max(qnx) FILTER (k = 7), 6) qnx_k7, round(max(rnx) FILTER (k = 7), 6) rnx_k7, round(max(qnx) FILTER (k = 20), 6) qnx_k20, round(max(rnx) FILTER (k = 20), 6) rnx_k20, round(max(qnx - k / (n - 1)::DOUBLE) FILTER (k = 7), 6) lcmc_k FROM gains"
 
 
-@query("m38_evaluate", "SELECT * FROM " + ", ".join(f"(SELECT {c} FROM ({ORACLE_SQL[n]}))" for n, c in _PARTS.items()))
+@query("m38_evaluate", "SELECT * FROM " + ", ".join(f"(SELECT {c} FROM ({ORACLE_SQL[n]}))" for n, c in _PARTS.items()) + f", ({W}{CURVE} {_AT_K})")
 def _(s, d):
     return geo.evaluate(points(s, d))
 
 
-@query("flt14_standardise", W + POINTS + ", m AS (SELECT avg(x[1]) m, stddev_pop(x[1]) s FROM points) SELECT id, round((x[1] - m) / nullif(s, 0), 6) + 0.0 z FROM points, m")
+@query("flt14_standardise", W + POINTS + ", c AS (SELECT id, unnest(range(0, len(x))) k, unnest(x) v FROM points), m AS (SELECT k, avg(v) m, stddev_pop(v) s FROM c GROUP BY k) SELECT id, k, round(coalesce((v - m) / nullif(s, 0), 0), 6) + 0.0 z FROM c JOIN m USING (k)")
 def _(s, d):
-    p = points(s, d).select("id", F.col("y")[0].alias("v"))
-    m = p.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return p.crossJoin(F.broadcast(m)).select("id", geo.ratio(F.col("v") - F.col("m"), F.col("s")).alias("z"))
+    return geo.standardised(points(s, d))
 
 
 @query("agg28_class_radius", W + CENTRES + " SELECT label::BIGINT AS label, round(cx, 6) cx, round(cy, 6) cy, round(sqrt(avg((x[1] - cx)**2 + (x[2] - cy)**2)), 6) radius, count(*) n FROM points JOIN c USING (label) GROUP BY ALL")

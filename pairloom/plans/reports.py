@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bounds, geometry as geo, resampling as rs, results as res, truth
-from .experiments import A, B, PAIRED, diffs, wide
+from .experiments import A, B, PAIRED, below, diffs, wide
 from .registry import query
 from .tables import MEDIANS, PAIRS, POINTS, RANKS, RUNS, pairs, points, ranks, runs
 
@@ -16,9 +16,7 @@ REF = PAIRS + ", ref AS (SELECT p.*, sqrt((a.x[3]-b.x[3])**2 + (a.x[4]-b.x[4])**
 
 def with_reference(s, d):
     """Pairs with the distances of a second map."""
-    p = points(s, d)
-    a, b = p.select(F.col("id").alias("i"), F.col("z").alias("zi")), p.select(F.col("id").alias("j"), F.col("z").alias("zj"))
-    return pairs(s, d).join(F.broadcast(a), "i").join(F.broadcast(b), "j").withColumn("d_ref", geo.euclid("zi", "zj"))
+    return geo.pairs(points(s, d), extra="z")
 
 
 @query("m29_block_bounds", W + REF + """, q AS (SELECT d_hi h, (d_hi - d_lo)**2 g, (d_hi - d_ref)**2 f, 1 / (d_hi + 0.1) w FROM ref), s AS (SELECT sum(w*g) sigma, sum(w*f) sigma_ref, coalesce(sum(g) FILTER (h <= 7), 0) near, coalesce(sum(f) FILTER (h <= 7), 0) nr, coalesce(sum(f) FILTER (h > 7 AND h < 8), 0) mr, coalesce(sum(f) FILTER (h >= 8), 0) fr, sum(7.1 / (h + 0.1) * f) bound_a, min(h) lo FROM q)
@@ -98,9 +96,19 @@ def _(s, d):
     return rs.cluster_slope_interval(runs(s, d), "cost", "v", "dataset", 400, 42)
 
 
-@query("st17_power")
+_SIGN = "list_sum(list_transform(range({k}, g.n + 1), lambda i: exp(lgamma(g.n + 1) - lgamma(i + 1) - lgamma(g.n - i + 1) + i * ln({p}) + (g.n - i) * ln(1 - {p}))))"
+
+
+@query("st17_power", W + PAIRED + f""", m AS (SELECT median(diff) mu, stddev_samp(diff) sd, avg((diff > 0)::INT) sh FROM diffs), e AS (SELECT *, mu / sd e, {below('sqrt(2) * mu / sd')} - 0.5 a FROM m), g AS (SELECT unnest([10, 25, 50, 100])::BIGINT n), kk AS (SELECT g.n, (SELECT min(c) FROM (SELECT unnest(range(0, g.n + 1)) c) WHERE {_SIGN.format(k='c', p='0.5')} <= 0.05) k FROM g)
+SELECT g.n, round({below('sqrt(3.0 * g.n) * a - 1.6448536269514722')}, 4) noether, round({below('sqrt(g.n) * e - 1.6448536269514722')}, 4) t, round({_SIGN.format(k='k', p='sh')}, 4) sign, CASE WHEN a > 0 THEN round((1.6448536269514722 + 0.8416212335729143)**2 / (3 * a * a), 2) ELSE 'inf'::DOUBLE END noether_n, CASE WHEN e > 0 THEN round((1.6448536269514722 + 0.8416212335729143)**2 / (e * e), 2) ELSE 'inf'::DOUBLE END t_n FROM g JOIN kk USING (n), e""", 4)
 def _(s, d):
-    return rs.power_table(diffs(s, d), 0.05, 0.8, [10, 25, 50, 100])
+    t = rs.power_table(diffs(s, d), 0.05, 0.8, [10, 25, 50, 100])
+    return t.withColumns({c: F.round(c, 2) for c in ("noether_n", "t_n")})
+
+
+@query("st17_wilcoxon_power")
+def _(s, d):
+    return rs.wilcoxon_power(diffs(s, d), 0.05, [10, 25], 400, 42)
 
 
 @query("st22_leave_one_out", W + PAIRED + """, g AS (SELECT unnest([100000.0, 130000.0, 150000.0, 170000.0])::DOUBLE t), f AS (SELECT h.dataset held, h.va hx, h.vb hy, t, avg(o.vb) FILTER (o.va < t) ml, avg(o.vb) FILTER (o.va >= t) mh, coalesce(sum(o.vb**2) FILTER (o.va < t) - sum(o.vb) FILTER (o.va < t)**2 / count(*) FILTER (o.va < t), 0) + coalesce(sum(o.vb**2) FILTER (o.va >= t) - sum(o.vb) FILTER (o.va >= t)**2 / count(*) FILTER (o.va >= t), 0) sse
@@ -192,10 +200,10 @@ def _(s, d):
     return near.select("i", F.explode(F.array_except("b", "a")).alias("j"))
 
 
-@query("smp02_hash_sample")
+@query("smp02_hash_sample", W + POINTS + " SELECT id, label FROM points ORDER BY md5(id || ':42'), id LIMIT 100")
 def _(s, d):
-    p = points(s, d)
-    return p.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(100).select("id", "label")
+    key = F.md5(F.concat(F.col("id").cast("string"), F.lit(":42")))
+    return points(s, d).orderBy(key, "id").limit(100).select("id", "label")
 
 
 @query("smp17_sign_alignment", W + POINTS + " SELECT round(sign(sum(x[1] * x[3])), 1) s0, round(sign(sum(x[2] * x[4])), 1) s1 FROM points")

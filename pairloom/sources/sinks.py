@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,11 @@ def trajectories(embeddings: DataFrame) -> DataFrame:
     """``dataset, t, node, x, y`` from one row per snapshot with arrays of nodes and positions."""
     e = embeddings.select("dataset", "t", F.posexplode("positions").alias("k", "p"), "nodes")
     return e.select("dataset", "t", F.element_at("nodes", F.col("k") + 1).alias("node"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def disjoint_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of both; a key that both have is an error when the rows are read."""
+    both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
+    w = Window.partitionBy(*keys)
+    mixed = F.min("_side").over(w) != F.max("_side").over(w)
+    return both.withColumn("_mixed", F.when(mixed, F.raise_error(F.lit(f"both tables have a key of {keys}")).cast("boolean")).otherwise(F.lit(False))).filter(~F.col("_mixed")).drop("_side", "_mixed")

@@ -53,9 +53,25 @@ def test_resampling(spark):
     assert abs(r.rho - 1) < 1e-12 and r.p < 0.02
     s = rs.cluster_slope_interval(p, "va", "vb", "dataset", 200, 1).first()
     assert s.low <= s.slope <= s.high
-    assert abs(rs.noether(0.8, 0.05, 0.8) - 22.9) < 0.1
-    powers = [x.power for x in rs.power_table(p, 0.05, 0.8, [2, 10, 200]).collect()]
-    assert powers == sorted(powers) and powers[-1] > 0.999
+    powers = [(x.noether, x.t, x.sign) for x in rs.power_table(p, 0.05, 0.8, [2, 10, 200]).collect()]
+    assert powers == sorted(powers) and powers[-1][0] > 0.999
+
+
+def test_published_sizes(spark):
+    # Ten published differences: Noether's sizes are 25.6 with the robust sigma and 66.1 with the standard deviation.
+    import math
+
+    from pairloom.functions import distributions as dist
+
+    za, zb = dist.normal_quantile(0.975), dist.normal_quantile(0.8)
+    size = lambda mu, sigma: (za + zb) ** 2 / (3 * (dist.normal_cdf(math.sqrt(2) * mu / sigma) - 0.5) ** 2)
+    assert abs(size(0.03335, 1.4826 * 0.0348) - 25.6) < 0.1 and abs(size(0.03335, 0.0903) - 66.1) < 0.3  # of rounded figures
+    d = [0.4, -0.2, 0.9, 1.1, 0.3, 0.8, -0.1, 0.7]
+    p = spark.createDataFrame([(f"d{k}", v) for k, v in enumerate(d)], "dataset string, diff double")
+    mu, sd = float(np.median(d)), float(np.std(d, ddof=1))
+    r = rs.power_table(p, 0.025, 0.8, [10]).first()
+    assert abs(r.noether_n - size(mu, sd)) < 1e-6 and abs(r.t - dist.normal_cdf(math.sqrt(10) * mu / sd - za)) < 1e-9
+    assert abs(r.sign - sum(math.comb(10, k) * 0.75**k * 0.25 ** (10 - k) for k in range(9, 11))) < 1e-9  # 9 of 10 is critical
 
 
 def test_linkage_and_makespan(spark):

@@ -44,7 +44,13 @@ def test_flagship(spark):
     assert entry.entry(spark).count() == 1
 
 
-def test_the_rest_works_without_the_corpus_operators(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'm01_stress_si' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True)
+CODE = "import __spark_entry__ as e; q = e.queries(); assert 'm01_stress_si' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
+
+
+@pytest.mark.parametrize("gone", [["llm", "corpus_pipeline.py"], ["llm"]])
+@pytest.mark.parametrize("left_over", [False, True])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, gone, left_over):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", *gone))
+    if left_over:
+        (tmp_path / "r/pairloom/llm/__pycache__").mkdir(parents=True)
+    subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path / "r", check=True)

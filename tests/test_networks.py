@@ -27,7 +27,8 @@ def test_square_with_diagonals(spark):
     at = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0)], "node long, x double, y double")
     c = graphs.crossings(e, at).collect()
     assert len(c) == 1 and abs(c[0].angle - 90) < 1e-9
-    assert abs(graphs.angular_resolution(e, at).first()[0] - 45 / 120) < 1e-9
+    assert abs(graphs.angular_resolution(e, at).first()[0] - 45) < 1e-9
+    assert abs(graphs.crossing_angle_deviation(graphs.crossings(e, at)).first()[0]) < 1e-9
 
 
 def test_crossings_agree_with_brute_force(spark):
@@ -59,7 +60,69 @@ def test_turned_snapshots_are_stable(spark):
     p = spark.createDataFrame(rows, "t int, node long, x double, y double")
     s = temporal.stability(p).collect()
     assert len(s) == 2 and all(r.stability < 1e-9 and r.n == 12 for r in s)
-    assert {r.kept for r in temporal.mental_map(p, 3).collect()} == {1.0}
+    assert tuple(temporal.mean_stability(p).first())[1] == 2
+    assert tuple(temporal.mental_map(p, 3).first()) == (1.0, 2)
+
+
+PATH = "t int, node long, x double, y double"
+
+
+def test_smoothness_is_the_mean_square_of_second_differences(spark):
+    # Node 1 moves 0, 1, 4: second difference 2; node 2 stands still; node 3 misses a snapshot.
+    rows = [(0, 1, 0.0, 0.0), (1, 1, 1.0, 0.0), (2, 1, 4.0, 0.0), (0, 2, 5.0, 5.0), (1, 2, 5.0, 5.0), (2, 2, 5.0, 5.0), (0, 3, 9.0, 9.0)]
+    assert tuple(temporal.smoothness(spark.createDataFrame(rows, PATH)).first()) == (2.0, 2)
+    assert temporal.smoothness(spark.createDataFrame(rows[:2], PATH)).first().smoothness is None
+
+
+def test_stability_divides_by_the_size_of_the_whole_snapshot(spark):
+    # Nodes 1 and 2 move apart from 2 to 4: each is 1 off after alignment; node 3 counts in the size only.
+    rows = [(0, 1, 0.0, 0.0), (0, 2, 2.0, 0.0), (1, 1, 0.0, 0.0), (1, 2, 4.0, 0.0), (1, 3, 0.0, 3.0)]
+    size = (4 + 3 + 5) / 3
+    got = temporal.stability(spark.createDataFrame(rows, PATH)).first()
+    assert abs(got.stability - 1 / size) < 1e-12 and got.n == 2
+    assert abs(temporal.mean_stability(spark.createDataFrame(rows, PATH)).first().stability - 1 / size) < 1e-12
+    with pytest.raises(Exception, match="one place"):
+        temporal.stability(spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 1.0, 0.0), (1, 1, 1.0, 1.0), (1, 2, 1.0, 1.0)], PATH)).collect()
+
+
+def test_mental_map_and_overlap_need_enough_common_nodes(spark):
+    # On a line 0, 1, 3, 7 the nearest of each are 1, 0, 1, 3 (by place 0-based 1, 0, 1, 2); then node 2 moves next to node 3.
+    rows = [(0, i, float(x), 0.0) for i, x in enumerate((0, 1, 3, 7))] + [(1, i, float(x), 0.0) for i, x in enumerate((0, 1, 6, 7))] + [(2, 0, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, PATH)
+    assert tuple(temporal.mental_map(p, 1).first()) == (0.75, 1)
+    got = {(r.t, r.k): (r.jaccard, r.note) for r in temporal.overlap_by_k(p, [1, 5]).collect()}
+    assert got == {(1, 1): (0.75, ""), (1, 5): (None, "too few common nodes"), (2, 1): (None, "too few common nodes"), (2, 5): (None, "too few common nodes")}
+    assert tuple(temporal.lonely_transitions(p.unionByName(spark.createDataFrame([(3, 9, 0.0, 0.0)], PATH))).first()) == (3, 1)
+
+
+def test_usable_snapshots_go_by_their_largest_component(spark):
+    s = spark.createDataFrame([(0, 1, 2, 1), (0, 3, 4, 1), (1, 1, 2, 1), (1, 2, 3, 1), (4, 5, 6, 2), (4, 6, 7, 1), (4, 8, 9, 1)], "bin long, u long, v long, weight long")
+    assert [tuple(r) for r in temporal.usable(s, 3).orderBy("bin").collect()] == [(1, 3, 0), (4, 3, 1)]
+    with pytest.raises(ValueError, match="usable"):
+        temporal.usable(s, 4)
+    d = {(r.t, r.i, r.j): r.d for r in temporal.snapshot_distances(s, 3).collect()}
+    assert d == {(0, 1, 2): 1, (0, 2, 3): 1, (0, 1, 3): 2, (1, 5, 6): 1, (1, 6, 7): 1, (1, 5, 7): 2}
+
+
+def test_neighbours_kept_is_a_share_of_the_degree(spark):
+    # A path 0-1-2-3 drawn in the order 0, 1, 3, 2: degrees 1, 2, 2, 1.
+    e = edges(spark, [(0, 1), (1, 2), (2, 3)])
+    at = {0: 0.0, 1: 1.0, 3: 2.5, 2: 5.0}
+    pairs = spark.createDataFrame([(i, j, abs(at[i] - at[j])) for i in at for j in at if i < j], "i long, j long, d_lo double")
+    # 0 keeps 1; 1 has near 0, 3 and keeps 0 of {0, 2}; 2 has near 3, 1 and keeps both; 3 has near 1, not 2.
+    assert abs(graphs.neighbours_kept(e, pairs).first()[0] - (1 + 0.5 + 1 + 0) / 4) < 1e-12
+
+
+def test_distances_of_a_disconnected_graph_are_an_error(spark):
+    e = edges(spark, [(0, 1), (5, 6)])
+    assert graphs.hop_distances(e, graphs.degrees(e).select("node")).count() == 8
+    with pytest.raises(ValueError, match="components"):
+        graphs.hop_distances(e, graphs.degrees(e).select("node"), connected=True)
+
+
+def test_contacts_become_a_simple_graph(spark):
+    c = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (1, 2)], "i long, j long")
+    assert [tuple(r) for r in graphs.simple_graph(c).collect()] == [(1, 2, 3)]
 
 
 def test_majorisation_recovers_a_plane(spark):

@@ -45,6 +45,8 @@ def test_null_keys_keep_their_baseline(spark):
     r = spark.createDataFrame([(None, 0, 21.0), (None, 1, 11.0), ("a", 0, 0.0), ("a", 1, 5.0)], "alpha string, lam int, v double")
     got = {(x.alpha, x.lam): x.relative for x in res.relative_to_baseline(r, "v", "lam", ["alpha"]).collect()}
     assert got[None, 1] == 11 / 21 and got["a", 1] is None
+    more = r.unionByName(spark.createDataFrame([("none", 1, 3.0)], "alpha string, lam int, v double"))
+    assert "none" not in {x.alpha for x in res.relative_to_baseline(more, "v", "lam", ["alpha"]).collect()}
 
 
 def test_two_samples(spark):
@@ -62,9 +64,62 @@ def test_published_summary(spark):
     assert (s.median, s.mean, s.share_positive, s.mad) == (1.5, 1.5, 0.75, 1.5)
 
 
-def test_wilcoxon_needs_five(spark):
+def test_wilcoxon_is_exact_for_few_and_needs_five(spark):
     assert res.wilcoxon(pairs(spark, [1, 2, 3])).first().p is None
-    assert 0 < res.wilcoxon(pairs(spark, range(1, 12))).first().p < 0.01
+    assert res.wilcoxon(pairs(spark, [0.0] * 6)).first().p is None
+    for d in ([1, -2, 3, 4, -5, 6, 7], [-3.5, 1, 2, 4, 9, 12]):
+        r = res.wilcoxon(pairs(spark, d)).first()
+        ranks = {v: k + 1 for k, v in enumerate(sorted(map(abs, d)))}
+        w = sum(ranks[abs(v)] for v in d if v > 0)
+        sums = [sum(k for k, s in zip(range(1, len(d) + 1), c) if s) for c in itertools.product((0, 1), repeat=len(d))]
+        p = min(1.0, 2 * min(sum(x <= w for x in sums), sum(x >= w for x in sums)) / len(sums))
+        assert r.exact and r.w_plus == w and abs(r.p - p) < 1e-12
+    tied = res.wilcoxon(pairs(spark, [1, 1, -1, 2, 3, 0])).first()
+    assert not tied.exact and tied.n == 6 and tied.n_nonzero == 5 and 0 < tied.p < 1
+
+
+def test_sign_flip_alternatives_and_dispatch(spark):
+    d = np.random.default_rng(4).normal(0.4, 1, 10)
+    sums = np.array([np.dot(s, np.abs(d)) for s in itertools.product((1, -1), repeat=10)])
+    want = {"greater": np.mean(sums >= d.sum() - 1e-9), "less": np.mean(sums <= d.sum() + 1e-9), "two-sided": min(1.0, 2 * np.mean(sums >= abs(d.sum()) - 1e-9))}
+    for a, p in want.items():
+        exact = res.sign_flip(pairs(spark, d), a).first()
+        drawn = res.sign_flip(pairs(spark, d), a, most=5, draws=20_000, seed=1).first()
+        assert exact.exact and abs(exact.p - p) < 1e-12 and not drawn.exact and drawn.n == 10
+        if a != "two-sided":
+            assert abs(drawn.p - p) < 0.015
+    many = res.sign_flip(pairs(spark, np.random.default_rng(5).normal(0.1, 1, 60))).first()
+    assert many.n == 60 and not many.exact and 0 < many.p < 1
+    assert res.sign_flip(pairs(spark, [0.0, 0.0])).first().p is None
+    with pytest.raises(ValueError):
+        res.sign_flip(pairs(spark, d), "other")
+
+
+def test_critical_difference_for_any_number_of_methods(spark):
+    # Published upper 5 % points of the range over root 2: 2, 5, 10 and 20 methods.
+    for k, q in ((2, 1.960), (5, 2.728), (10, 3.164), (20, 3.544)):
+        r = spark.createDataFrame([(f"m{i}", float(i), 12) for i in range(k)], "method string, avg_rank double, n int")
+        assert abs(res.critical_difference(r).first().cd - q * (k * (k + 1) / 72) ** 0.5) < 2e-3 * k
+    assert res.critical_difference(spark.createDataFrame([("a", 1.0, 3)], "method string, avg_rank double, n int")).first().cd is None
+
+
+def test_families_by_hand(spark):
+    long = [(f"d{i}", m, "v", float(x)) for m, xs in (("a", (3, 4, 5, 6)), ("b", (1, 5, 2, 2))) for i, x in enumerate(xs)]
+    names = "family string, hypothesis string, role string, metric string, method_a string, method_b string"
+    fam = spark.createDataFrame([("f", "h1", "confirmatory", "v", "a", "b"), ("f", "h2", "confirmatory", "v", "a", "none")], names)
+    got = {r.hypothesis: r for r in res.family_tests(spark.createDataFrame(long, "dataset string, method string, metric string, v double"), fam).collect()}
+    h = got["h1"]
+    assert (h.n, h.median, h.delta_pair) == (4, 2.5, 0.5) and abs(h.cliffs_delta - 11 / 16) < 1e-12 and h.p_holm == h.p
+    assert h.hodges_lehmann == np.median([(a + b) / 2 for i, a in enumerate((2, -1, 3, 4)) for b in (2, -1, 3, 4)[i:]])
+    assert got["h2"].n is None and got["h2"].p_holm is None
+
+
+def test_dominated_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"g{i % 2}", i, "cd"[int(rng.integers(2))], float(rng.integers(5)), float(rng.integers(5))) for i in range(60)] + [("g0", 99, "d", None, 1.0)]
+    got = {r.item: r.dominated for r in res.dominated_by(spark.createDataFrame(rows, "g string, item long, f string, a double, b double"), "g", "item", "f", "c", "a", "b").collect()}
+    want = {i: a is not None and any(h == g and e == "c" and c >= a and d >= b and (c > a or d > b) for h, _, e, c, d in rows if c is not None) for g, i, _, a, b in rows}
+    assert got == want
 
 
 @pytest.mark.parametrize(("f", "args", "value"), [(dist.gamma_upper, (2.0, 4.743864518), 0.05), (dist.t_upper, (2.228138852, 10), 0.025), (dist.binomial_both, (2, 10), 0.109375), (dist.beta_lower, (2, 3, 0.4), 0.5248)])
