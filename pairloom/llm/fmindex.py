@@ -28,11 +28,11 @@ class WaveletTree:
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.n = bits, len(symbols)
         self.levels = []
-        now = symbols.astype(np.int64)
+        now = symbols.astype(np.int32)
         for level in range(bits - 1, -1, -1):
             bit = ((now >> level) & 1).astype(bool)
             packed = np.packbits(np.concatenate([bit, np.zeros(64 + (-len(bit)) % 64, bool)]), bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32)
             zeros = int(len(bit) - bit.sum())
             self.levels.append((packed, before, zeros))
             now = np.concatenate([now[~bit], now[bit]])
@@ -113,7 +113,7 @@ class FMIndex:
         marked[::sample] = True
         marked[starts] = True
         self.marked = marked[sa]
-        self.at_mark = np.where(self.marked, np.cumsum(self.marked) - 1, 0)
+        self.at_mark = np.where(self.marked, np.cumsum(self.marked) - 1, 0).astype(np.int32)
         self.sampled = sa[self.marked]
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def cut(text: str, spans: list) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, size: int = 10, shard_bytes: int = 8 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, size: int = 10, shard_bytes: int = 4 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``n_words, spans, items``: spans are [first, end) in words.
 
     The benchmark is searched for in blocks of about ``block_bytes`` of text, one pass over ``docs`` each; passes are
