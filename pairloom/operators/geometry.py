@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+
 BLOCK = 512
 
 
@@ -278,40 +280,63 @@ def classes_of(p: DataFrame) -> DataFrame:
     return every.agg(F.count_distinct("c").cast("long").alias("n_classes"))
 
 
-def _if_classes(df: DataFrame, p: DataFrame, column: str) -> DataFrame:
+class Classes:
+    """What class geometry needs of a pair table, each made at most once: a row a pair of classes, a class, and one."""
+
+    def __init__(self, p: DataFrame):
+        self.p = p
+        self._made: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in (make := {"means": class_means, "spread": class_spread, "number": classes_of}):
+            raise AttributeError(name)
+        if name not in self._made:
+            self._made[name] = cut_lineage(make[name](self.p))
+        return self._made[name]
+
+
+def _classes(p: DataFrame | Classes) -> Classes:
+    return p if isinstance(p, Classes) else Classes(p)
+
+
+def _if_classes(df: DataFrame, c: Classes, column: str) -> DataFrame:
     known = F.col("n_classes").between(LEAST_CLASSES, MOST_CLASSES)
-    return df.crossJoin(F.broadcast(classes_of(p))).select(F.when(known, F.col(column)).alias(column))
+    return df.crossJoin(F.broadcast(c.number)).select(F.when(known, F.col(column)).alias(column))
 
 
-def centroid_spearman(p: DataFrame) -> DataFrame:
+def centroid_spearman(p: DataFrame | Classes) -> DataFrame:
     """Spearman of the mean distances between classes; NULL below three classes or above fifty."""
-    return _if_classes(rank_correlation(class_means(p), "hi", "lo", 3), p, "spearman")
+    c = _classes(p)
+    return _if_classes(rank_correlation(c.means, "hi", "lo", 3), c, "spearman")
 
 
-def spread_spearman(p: DataFrame) -> DataFrame:
+def spread_spearman(p: DataFrame | Classes) -> DataFrame:
     """Spearman of the median distances within classes; NULL below three classes with two points, or above fifty."""
-    return _if_classes(rank_correlation(class_spread(p), "hi", "lo", 3), p, "spearman")
+    c = _classes(p)
+    return _if_classes(rank_correlation(c.spread, "hi", "lo", 3), c, "spearman")
 
 
-def lie_factor(p: DataFrame) -> DataFrame:
+def lie_factor(p: DataFrame | Classes) -> DataFrame:
     """Median over classes of the absolute log ratio of spreads, each over the median of all distances of its space.
 
     Classes without spread on a side are left out; NULL below three classes or above fifty.
     """
-    whole = exact_median(p, "d_hi").withColumnRenamed("median", "all_hi").crossJoin(exact_median(p, "d_lo").withColumnRenamed("median", "all_lo"))
-    spread = class_spread(p).filter("hi > 0 and lo > 0").crossJoin(F.broadcast(whole)).filter("all_hi > 0 and all_lo > 0")
+    c = _classes(p)
+    whole = exact_median(c.p, "d_hi").withColumnRenamed("median", "all_hi").crossJoin(exact_median(c.p, "d_lo").withColumnRenamed("median", "all_lo"))
+    spread = c.spread.filter("hi > 0 and lo > 0").crossJoin(F.broadcast(whole)).filter("all_hi > 0 and all_lo > 0")
     change = F.log((F.col("lo") / F.col("all_lo")) / (F.col("hi") / F.col("all_hi")))
-    return _if_classes(spread.agg(F.median(F.abs(change)).alias("lie_factor")), p, "lie_factor")
+    return _if_classes(spread.agg(F.median(F.abs(change)).alias("lie_factor")), c, "lie_factor")
 
 
-def class_neighbours_kept(p: DataFrame, k: int = 3) -> DataFrame:
+def class_neighbours_kept(p: DataFrame | Classes, k: int = 3) -> DataFrame:
     """Share of classes whose set of k nearest classes is the same in both spaces; NULL below k + 1 classes or above fifty."""
-    means = class_means(p)
+    c = _classes(p)
+    means = c.means
     s = means.select("ca", "cb", "hi", "lo").unionAll(means.select(F.col("cb"), F.col("ca"), "hi", "lo"))
     rank = lambda d: F.row_number().over(Window.partitionBy("ca").orderBy(d, "cb"))
     per = s.withColumn("r", rank("hi")).withColumn("q", rank("lo")).groupBy("ca").agg(F.count_if((F.col("r") <= k) & (F.col("q") <= k)).alias("m"))
     kept = per.agg(F.when(F.count(F.lit(1)) > k, F.avg((F.col("m") == k).cast("double"))).alias("preserved"))
-    return _if_classes(kept, p, "preserved")
+    return _if_classes(kept, c, "preserved")
 
 
 ANSWERS = "question string, n_classes long, note string, n_candidates long, true_answer string, pred_answer string, correct int, soft_rho double, tie_in_truth boolean, tie_in_prediction boolean"
@@ -323,8 +348,9 @@ def discovery(p: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     A row a question, with the columns of ``ANSWERS``: where there are too few or too many classes, or fewer than two
     with a spread, the answers are NULL and the note says why. A tie is a runner-up within ``tolerance`` of the best.
     """
-    means = class_means(p).select(F.concat_ws("|", "ca", "cb").alias("answer"), F.col("ca").alias("o1"), F.col("cb").alias("o2"), "hi", "lo")
-    spread = class_spread(p).select(F.col("label").cast("string").alias("answer"), F.col("label").alias("o1"), F.lit(0).alias("o2"), "hi", "lo")
+    classes = Classes(p)
+    means = classes.means.select(F.concat_ws("|", "ca", "cb").alias("answer"), F.col("ca").alias("o1"), F.col("cb").alias("o2"), "hi", "lo")
+    spread = classes.spread.select(F.col("label").cast("string").alias("answer"), F.col("label").alias("o1"), F.lit(0).alias("o2"), "hi", "lo")
 
     def best(candidates: DataFrame, d: str, sign: int, names: tuple[str, str]) -> DataFrame:
         top = candidates.withColumn("v", sign * F.col(d)).orderBy("v", "o1", "o2").limit(2)
@@ -334,13 +360,13 @@ def discovery(p: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
     def row(question: str, candidates: DataFrame, sign: int, rho: DataFrame, least: int) -> DataFrame:
         n = candidates.agg(F.count(F.lit(1)).alias("n_candidates"))
-        both = classes_of(p).crossJoin(n).crossJoin(best(candidates, "hi", sign, ("true_answer", "tie_in_truth"))).crossJoin(best(candidates, "lo", sign, ("pred_answer", "tie_in_prediction"))).crossJoin(rho.withColumnRenamed("spearman", "soft_rho"))
+        both = classes.number.crossJoin(n).crossJoin(best(candidates, "hi", sign, ("true_answer", "tie_in_truth"))).crossJoin(best(candidates, "lo", sign, ("pred_answer", "tie_in_prediction"))).crossJoin(rho.withColumnRenamed("spearman", "soft_rho"))
         note = F.when(F.col("n_classes") < LEAST_CLASSES, "insufficient_classes_or_no_labels").when(F.col("n_classes") > MOST_CLASSES, "excessive_classes_likely_continuous_label").when(F.col("n_candidates") < least, "fewer_than_2_classes_with_2plus_points").otherwise("")
         both = both.withColumn("question", F.lit(question)).withColumn("note", note).withColumn("correct", (F.col("true_answer") == F.col("pred_answer")).cast("int"))
         names = [x.split()[0] for x in ANSWERS.split(", ")]
         return both.select(*[F.col(c) if c in ("question", "n_classes", "note") else F.when(F.col("note") == "", F.col(c)).alias(c) for c in names])
 
-    return row("nearest_class_pair", means, 1, centroid_spearman(p), 1).unionByName(row("most_dispersed_class", spread, -1, spread_spearman(p), 2))
+    return row("nearest_class_pair", means, 1, centroid_spearman(classes), 1).unionByName(row("most_dispersed_class", spread, -1, spread_spearman(classes), 2))
 
 
 def estimate_eps(points: DataFrame, k: int = 5, q: float = 0.1) -> DataFrame:
@@ -445,16 +471,32 @@ def block_residuals(p: DataFrame, theta: float, m: float) -> DataFrame:
     return p.agg(part(near).alias("near"), part(~near & ~far).alias("mid"), part(far).alias("far"), F.count_if(near).alias("n_near"), F.count_if(far).alias("n_far"))
 
 
-def weight_spread(p: DataFrame, alpha: float, eps: float) -> DataFrame:
-    """Coefficient of variation of the weights (exact and to first order), and their dynamic range in decades."""
+def weight_spread(p: DataFrame, alpha: float, eps: float, reliable: float = 12.0) -> DataFrame:
+    """Coefficient of variation of the weights (exact, to first and to second order), their dynamic range in decades, and
+    whether that is within what double precision carries."""
     w = weight(alpha, eps)
     u = F.log(F.col("d_hi") + eps)
+    first = F.lit(float(alpha)) * F.stddev_pop(u)
+    decades = F.lit(float(alpha)) * F.log10((F.max("d_hi") + eps) / (F.min("d_hi") + eps))
     return p.agg(
-        ratio(F.stddev_pop(w), F.avg(w)).alias("cv_exact"), (F.lit(float(alpha)) * F.stddev_pop(u)).alias("cv_first_order"),
-        (F.lit(float(alpha)) * F.log10((F.max("d_hi") + eps) / (F.min("d_hi") + eps))).alias("range_log10"),
+        ratio(F.stddev_pop(w), F.avg(w)).alias("cv_exact"), first.alias("cv_first_order"), (first * (1 - F.coalesce(F.skewness(u), F.lit(0.0)) * first / 2)).alias("cv_second_order"),
+        decades.alias("range_log10"), (decades <= reliable).alias("reliable"),
     )
 
 
+def log_distance_moments(p: DataFrame, eps: float) -> DataFrame:
+    """Mean, deviation, skewness and excess kurtosis of the logarithms of the distances; the last two 0 if all are equal."""
+    u = F.log(F.col("d_hi") + eps)
+    some = F.stddev_pop(u) > 0
+    return p.agg(F.avg(u).alias("mean"), F.stddev_pop(u).alias("sd"), F.when(some, F.skewness(u)).otherwise(0.0).alias("skew"), F.when(some, F.kurtosis(u)).otherwise(0.0).alias("kurtosis"))
+
+
+def checked(p: DataFrame) -> DataFrame:
+    """The pairs; a distance that is negative, NaN, infinite or missing is an error when they are read."""
+    ok = F.col("d_hi").isNotNull() & ~F.isnan("d_hi") & (F.col("d_hi") >= 0) & (F.col("d_hi") < float("inf"))
+    return p.withColumn("d_hi", F.when(ok, F.col("d_hi")).otherwise(F.raise_error(F.lit("a distance is negative, infinite or missing")).cast("double")))
+
+
 def per_point_error(p: DataFrame) -> DataFrame:
     """Root mean squared residual over a point's partners, and its share of the squared input distances."""
     gap = (F.col("d_hi") - F.col("d_lo")) ** 2
@@ -509,7 +551,8 @@ def evaluate(points: DataFrame, k: int = 7, ks: tuple[int, ...] = (7, 20)) -> Da
     labelled = points.filter(F.col("label").isNotNull())
     several = labelled.agg(F.count_distinct("label").alias("c"), F.count(F.lit(1)).alias("m")).select(F.when((F.col("c") >= 2) & (F.col("c") < F.col("m")), F.lit(1.0)).alias("_known"))
     classes = davies_bouldin(labelled).crossJoin(distance_consistency(labelled)).crossJoin(several).select(*[(F.col(c) * F.col("_known")).alias(c) for c in ("davies_bouldin", "distance_consistency")])
-    parts = [more, at, share, shepard(p), classes, centroid_spearman(p).toDF("centroid_dist_spearman"), spread_spearman(p).toDF("class_spread_spearman"), lie_factor(p).toDF("class_spread_lie_factor"), class_neighbours_kept(p).toDF("centroid_knn_preservation")]
+    g = Classes(p)
+    parts = [more, at, share, shepard(p), classes, centroid_spearman(g).toDF("centroid_dist_spearman"), spread_spearman(g).toDF("class_spread_spearman"), lie_factor(g).toDF("class_spread_lie_factor"), class_neighbours_kept(g).toDF("centroid_knn_preservation")]
     for part in parts:
         wide = wide.crossJoin(F.broadcast(part))
     return wide
@@ -568,7 +611,7 @@ def _by_rows(points: DataFrame, work, schema: str, total=None) -> DataFrame:
 def nearest(points: DataFrame, k: int) -> DataFrame:
     """``i, j, rank, d_hi`` of the k nearest in the input, ties by id, without sorting all pairs."""
     if not fits_broadcast(points):
-        return knn(pairs(points), k).select("i", "j", "rank", "d_hi")
+        return nearest_by_blocks(points, k)
 
     def work(rows, ids, x, y, label):
         d = _row_distances(x[rows], x)
@@ -586,6 +629,35 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     return _by_rows(points, work, "i long, j long, rank int, d_hi double")
 
 
+def nearest_by_blocks(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``nearest`` for coordinates too large to go along with tasks: each pair of blocks gives the k nearest of each point
+    within it, and only these are brought together by point."""
+    spark = points.sparkSession
+    blocks = max(1, -(-points.count() // block))
+    rows = points.select("id", "x").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    packed = rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("r")).select("b", F.col("r.id").alias("id"), F.flatten("r.x").alias("x"))
+    met = spark.range(blocks).select(F.col("id").cast("int").alias("b1")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = (packed.select(F.col("b").alias(f"b{e}"), F.col("id").alias(f"id{e}"), F.col("x").alias(f"x{e}")) for e in (1, 2))
+    both = met.join(left, "b1").join(right, "b2").repartition(max(1, min(blocks * blocks, 4096)), "b1", "b2")
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                a, b = (row.column(f"id{e}").flatten().to_numpy() for e in (1, 2))
+                x, y = (row.column(f"x{e}").flatten().to_numpy().reshape(len(i), -1) for e, i in ((1, a), (2, b)))
+                d = _row_distances(x, y)
+                d[a[:, None] == b[None, :]] = np.inf
+                m = min(k, len(b))
+                edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+                i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))  # ties at the edge stay until ids decide
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(d[i, j])], names=["i", "j", "d_hi"])
+
+    some = both.mapInArrow(run, "i long, j long, d_hi double")
+    w = Window.partitionBy("i").orderBy("d_hi", "j")
+    return some.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "j", "rank", "d_hi")
+
+
 PROFILE = "n long, classes long, labelled long, late_q array<double>, late_r array<double>, jaccard array<double>, common array<double>, hit array<double>, hits array<long>, sums array<double>, silhouette double, kept array<long>"
 
 

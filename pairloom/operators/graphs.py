@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from itertools import count
 
 import numpy as np
@@ -15,21 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fold_angle
 from .geometry import nearest, ratio
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a round of a fix-point loop to the shared checkpoint folder and reads it back; a local one only on a local master."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="pairloom-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .lineage import cut_lineage
 
 
 def knn_graph(points: DataFrame, k: int) -> DataFrame:

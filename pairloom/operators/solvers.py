@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import cut_lineage
+from .lineage import cut_lineage
 
 MOST = 4000
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import geometry as geo
+from ..operators import truth
 from .registry import ORACLE_SQL, query
 from .tables import BOTH, PAIRS, POINTS, RANKS, pairs, points, ranks
 
@@ -245,7 +246,30 @@ def _(s, d):
     return geo.block_residuals(pairs(s, d), 1.0, 1.5)
 
 
-@query("m30_weight_spread", W + PAIRS + " SELECT round(stddev_pop(1 / (d_hi + 0.1)) / avg(1 / (d_hi + 0.1)), 6) cv_exact, round(stddev_pop(ln(d_hi + 0.1)), 6) cv_first_order, round(log10((max(d_hi) + 0.1) / (min(d_hi) + 0.1)), 6) range_log10 FROM pairs")
+LOGS = PAIRS + ", u AS (SELECT ln(d_hi + 0.1) u FROM pairs), um AS (SELECT avg(u) m, stddev_pop(u) s FROM u), u34 AS (SELECT max(m) mean, max(s) sd, avg((u - m)**3) / max(s)**3 skew, avg((u - m)**4) / max(s)**4 - 3 kurtosis FROM u, um)"
+
+
+@query("agg14_log_moments", W + LOGS + " SELECT round(mean, 6) mean, round(sd, 6) sd, round(skew, 6) skew, round(kurtosis, 6) kurtosis FROM u34")
+def _(s, d):
+    return geo.log_distance_moments(pairs(s, d), 0.1)
+
+
+@query("flt16_checked", W + PAIRS + " SELECT count(*) n, round(min(d_hi), 6) low FROM pairs WHERE d_hi >= 0")
+def _(s, d):
+    return geo.checked(pairs(s, d)).agg(F.count("d_hi").alias("n"), F.min("d_hi").alias("low"))
+
+
+@query("top02_knn_by_blocks", W + RANKS + ' SELECT i, j, r "rank" FROM ranks WHERE r <= 7')
+def _(s, d):
+    return geo.nearest_by_blocks(points(s, d), 7).select("i", "j", "rank")
+
+
+@query("m26_ultrametric", W + PAIRS + """, q AS (SELECT d_lo, length(bin(xor(ci, cj))) u FROM pairs WHERE ci <> cj), r AS (SELECT rank() OVER (ORDER BY d_lo) + (count(*) OVER (PARTITION BY d_lo) - 1) / 2.0 a, rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2.0 b FROM q) SELECT round(corr(a, b), 6) spearman, count(*) n FROM r""")
+def _(s, d):
+    return truth.ultrametric_spearman(pairs(s, d))
+
+
+@query("m30_weight_spread", W + LOGS + " SELECT round(stddev_pop(1 / (d_hi + 0.1)) / avg(1 / (d_hi + 0.1)), 6) cv_exact, round(stddev_pop(ln(d_hi + 0.1)), 6) cv_first_order, round(stddev_pop(ln(d_hi + 0.1)) * (1 - (SELECT skew FROM u34) * stddev_pop(ln(d_hi + 0.1)) / 2), 6) cv_second_order, round(log10((max(d_hi) + 0.1) / (min(d_hi) + 0.1)), 6) range_log10, log10((max(d_hi) + 0.1) / (min(d_hi) + 0.1)) <= 12 AS reliable FROM pairs")
 def _(s, d):
     return geo.weight_spread(pairs(s, d), 1, 0.1)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fitting, graphs, solvers, temporal
+from ..operators import fitting, graphs, results, solvers, temporal
 from ..operators.geometry import euclid, nearest
 from .registry import query
 from .tables import CONTACTS, EDGES, POINTS, POSITIONS, RANKS, contacts, edges, layout, pairs, points, positions
@@ -194,6 +194,38 @@ def _(s, d):
     return fitting.fit_large(points(s, d), rounds=10).agg(F.count(F.lit(1)).alias("n"), F.max("stress").alias("stress"), F.max("rounds").alias("rounds"))
 
 
+def _grid(s, d, names: list[str], seeds: int = 1, sets: list[str] | None = None, **parameters):
+    """The runs of methods over data sets and seeds."""
+    p = data_sets(s, d)
+    p = p.filter(F.col("dataset").isin(sets)) if sets else p
+    tasks = s.createDataFrame([(n, k, parameters or None) for n in names for k in range(seeds)], "method string, seed long, parameters map<string,double>")
+    return fitting.run_grid(p, p.select("dataset").distinct().crossJoin(F.broadcast(tasks)))
+
+
+@query("e00_smoke")
+def _(s, d):
+    return _grid(s, d, ["pca", "mds", "smacof"], sets=["0", "1", "2"]).select("dataset", "method", "status", "scale_invariant")
+
+
+@query("e01_benchmark")
+def _(s, d):
+    """Medians over seeds of every data set and method."""
+    runs = _grid(s, d, ["pca", "smacof", "sgd", "random"], seeds=3)
+    return runs.filter("status = 'ok'").groupBy("dataset", "method").agg(F.median("scale_invariant").alias("stress"), F.median("auc_rnx").alias("auc_rnx"), F.count(F.lit(1)).alias("seeds"))
+
+
+@query("e02_convergence")
+def _(s, d):
+    """Whether a few rounds come as near as many."""
+    few = _grid(s, d, ["smacof"], rounds=3.0).select("dataset", F.col("scale_invariant").alias("va"))
+    return results.converged(few.join(_grid(s, d, ["smacof"], rounds=100.0).select("dataset", F.col("scale_invariant").alias("vb")), "dataset"), "va", "vb", 1.5)
+
+
+@query("e06_alpha_curves")
+def _(s, d):
+    return fitting.choose_alpha(data_sets(s, d), [0.0, 0.5, 1.0, 2.0, 3.0])
+
+
 def _hops_by_bin(s, d):
     """``dataset, t, i, j, d``: path lengths within the largest component of each usable snapshot."""
     return temporal.snapshot_distances(temporal.snapshots(contacts(s, d), 86400), 2).withColumn("dataset", F.lit("contacts"))
@@ -223,7 +255,16 @@ def _(s, d):
     return r.join(e, (F.col("i") == F.col("u")) & (F.col("j") == F.col("v"))).agg(F.sum("d").alias("total"))  # over edges it is the number of nodes less one
 
 
-@query("smp05_pivot_cells")
+def _pivot_sql(n: int) -> str:
+    """Farthest points one after another, unrolled."""
+    parts = ["p0 AS (SELECT id, x FROM points ORDER BY id LIMIT 1)", "g0 AS (SELECT points.id, points.x, list_distance(points.x, p0.x) g FROM points, p0)"]
+    for k in range(1, n):
+        parts += [f"p{k} AS (SELECT id, x FROM g{k - 1} ORDER BY g DESC, id LIMIT 1)", f"g{k} AS (SELECT g{k - 1}.id, g{k - 1}.x, least(g, list_distance(g{k - 1}.x, p{k}.x)) g FROM g{k - 1}, p{k})"]
+    every = " UNION ALL ".join(f"SELECT id \"pivot\", x FROM p{k}" for k in range(n))
+    return W + POINTS + ", " + ", ".join(parts) + f", piv AS ({every}), c AS (SELECT points.id, \"pivot\", row_number() OVER (PARTITION BY points.id ORDER BY list_distance(points.x, piv.x), \"pivot\") r FROM points, piv) SELECT \"pivot\", count(*) n FROM c WHERE r = 1 GROUP BY \"pivot\""
+
+
+@query("smp05_pivot_cells", _pivot_sql(8))
 def _(s, d):
     p = points(s, d)
     chosen = solvers.pivots(p, 8)

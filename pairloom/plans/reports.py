@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import bounds, geometry as geo, resampling as rs, results as res, truth
 from .experiments import A, B, PAIRED, below, diffs, wide
 from .registry import query
@@ -61,6 +62,17 @@ def _(s, d):
     return truth.agreement(clusters(s, d))
 
 
+@query("m25_cophenetic", W + CLUSTERS + " SELECT round(corr(length(bin(xor(ca, cb)))::DOUBLE, got), 6) cophenetic FROM t")
+def _(s, d):
+    u = scalars.first_difference(F.col("ca"), F.col("cb")).cast("double")
+    return clusters(s, d).withColumn("u", u).agg(geo.pearson("u", "got").alias("cophenetic"))
+
+
+@query("m25_geodesic", W + REF + """, g AS (SELECT d_ref truth, d_lo got FROM ref), e AS (SELECT avg(ln(got) - ln(truth)) m FROM g WHERE got > 0 AND truth > 0) SELECT round(1 - sum(truth*got)**2 / (sum(truth**2) * sum(got**2)), 6) stress, round(corr(truth, got), 6) pearson, round(median(abs(ln(got) - ln(truth) - m)) FILTER (got > 0 AND truth > 0), 6) log_ratio_error FROM g, e""")
+def _(s, d):
+    return truth.agreement(with_reference(s, d).select(F.col("d_ref").alias("truth"), F.col("d_lo").alias("got"))).select("stress", "pearson", "log_ratio_error")
+
+
 @query("m25_triplets", W + CLUSTERS + """, j AS (SELECT a.truth t1, a.got g1, b.truth t2, b.got g2, c.truth t3, c.got g3 FROM t a JOIN t b ON a.ca = b.ca AND a.cb < b.cb JOIN t c ON c.ca = a.cb AND c.cb = b.cb)
 SELECT round(avg((list_position([t1, t2, t3], least(t1, t2, t3)) = list_position([g1, g2, g3], least(g1, g2, g3)))::INT), 6) triplet_accuracy, count(*) triples FROM j""")
 def _(s, d):

@@ -111,6 +111,40 @@ def xlsx(content: bytes, sheet: int = 1) -> list[list[str | None]]:
     return rows
 
 
+def table_rows(found: DataFrame, pattern: str) -> DataFrame:
+    """``member, row, cells`` of ARFF and XLSX members: cells are a map of column names to texts.
+
+    An ARFF member names its columns; the first row of a sheet does.
+    """
+
+    def run(batches):
+        for b in batches:
+            for m, c in zip(b.column(0).to_pylist(), b.column(1)):
+                if m.endswith(".xlsx"):
+                    rows = xlsx(c.as_py())
+                    names, rows = ([str(x) for x in rows[0]], rows[1:]) if rows else ([], [])
+                else:
+                    names, rows = arff(c.as_py().decode())
+                cells = [[(n, v) for n, v in zip(names, r)] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(cells, pa.map_(pa.string(), pa.string()))], names=["member", "row", "cells"])
+
+    return found.filter(F.col("member").rlike(pattern)).select("member", "content").mapInArrow(run, "member string, row long, cells map<string,string>")
+
+
+def npz_arrays(found: DataFrame) -> DataFrame:
+    """``member, name, id, x`` of the one- and two-dimensional arrays of npz members."""
+
+    def run(batches):
+        for b in batches:
+            for m, c in zip(b.column(0).to_pylist(), b.column(1)):
+                with np.load(io.BytesIO(c.as_py()), allow_pickle=False) as z:
+                    for name in z.files:
+                        a = np.atleast_2d(z[name].astype(np.float64).T).T
+                        yield pa.RecordBatch.from_arrays([pa.array([m] * len(a)), pa.array([name] * len(a)), pa.array(np.arange(len(a))), pa.array(a.tolist(), pa.list_(pa.float64()))], names=["member", "name", "id", "x"])
+
+    return found.filter(F.col("member").endswith(".npz")).select("member", "content").mapInArrow(run, "member string, name string, id long, x array<double>")
+
+
 def npy_points(found: DataFrame) -> DataFrame:
     """``member, id, x`` of two-dimensional npy arrays."""
 

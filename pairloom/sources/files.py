@@ -25,8 +25,13 @@ def labelled(contacts: DataFrame, labels: DataFrame) -> DataFrame:
 
 def edge_list(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     """``u < v`` edges of a white-space separated list: comments, loops and repeats are left out."""
+    return edges_of(spark.read.text(path), comment)
+
+
+def edges_of(lines: DataFrame, comment: str = "#") -> DataFrame:
+    """``u < v`` edges of ``value`` lines, as of a file or of an archive's member."""
     parts = F.split(F.trim("value"), r"[\s,]+")
-    e = spark.read.text(path).filter(~F.trim("value").startswith(comment) & (F.trim("value") != ""))
+    e = lines.filter(~F.trim("value").startswith(comment) & (F.trim("value") != ""))
     e = e.select(parts[0].cast("long").alias("a"), parts[1].cast("long").alias("b")).filter("a <> b")
     return e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
@@ -39,6 +44,36 @@ def citation_graph(content: DataFrame, cites: DataFrame) -> tuple[DataFrame, Dat
     return nodes, e.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def node_labels(lines: DataFrame, comment: str = "#") -> DataFrame:
+    """``node, label`` of white-space separated lines."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return lines.filter(~F.trim("value").startswith(comment) & (F.trim("value") != "")).select(parts[0].cast("long").alias("node"), parts[1].alias("label"))
+
+
+def labelled_graph(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``node, label`` and the edges both of whose ends have a label."""
+    return citation_graph(labels, edges)
+
+
+def read_citations(content: DataFrame, cites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The citation graph of two sets of ``value`` lines: node, features and class by tabs, and pairs of nodes."""
+    fields = F.split("value", "\t")
+    nodes = content.filter(F.trim("value") != "").select(fields[0].cast("long").alias("node"), F.element_at(fields, -1).alias("label"))
+    pair = F.split(F.trim("value"), r"\s+")
+    return citation_graph(nodes, cites.filter(F.trim("value") != "").select(pair[0].cast("long").alias("u"), pair[1].cast("long").alias("v")))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``name, url, sha256, bytes`` entries of JSON manifests, one array or one object a line."""
+    return spark.read.schema("name string, url string, sha256 string, bytes long").option("multiLine", True).json(path)
+
+
+def verified_files(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """``name, ok``: whether each file of a manifest is there with its digest; files come through Spark's binary reader."""
+    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    return entries.join(found, "name", "left").select("name", F.coalesce(F.lower("sha256") == F.col("digest"), F.lit(False)).alias("ok"))
+
+
 def results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A results CSV by an explicit schema; NaN becomes NULL and a file without the columns is an error."""
     df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)

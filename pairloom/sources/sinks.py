@@ -60,3 +60,56 @@ def disjoint_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     mixed = F.min("_side").over(w) != F.max("_side").over(w)
     return both.withColumn("_mixed", F.when(mixed, F.raise_error(F.lit(f"both tables have a key of {keys}")).cast("boolean")).otherwise(F.lit(False))).filter(~F.col("_mixed")).drop("_side", "_mixed")
+
+
+def save_maps(maps: DataFrame, path: str) -> None:
+    """Appends ``experiment, dataset, method, seed, id, y`` rows, in a folder an experiment and data set."""
+    maps.write.mode("append").partitionBy("experiment", "dataset").parquet(path)
+
+
+def failures(df: DataFrame, n: int = 50) -> DataFrame:
+    """The first ``n`` failed rows by dataset, method and seed, as a finished run's trace lists them."""
+    return df.filter("status <> 'ok'").orderBy("dataset", "method", "seed").limit(n)
+
+
+def clean_errors(df: DataFrame, path: str, backup: str) -> int:
+    """Writes the whole table to ``backup``, then the rows without an error to ``path``; gives how many went."""
+    df.write.mode("errorifexists").parquet(backup)
+    whole = df.sparkSession.read.parquet(backup)
+    kept = whole.filter(F.coalesce(F.col("status") != "error", F.lit(True)))
+    kept.write.mode("overwrite").parquet(path)
+    return whole.count() - kept.count()
+
+
+def repaired(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are all there; of rows with equal keys the last by all columns stays."""
+    whole = df.dropna("any", subset=keys)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in df.columns if c not in keys] or [F.lit(0)]))
+    return whole.withColumn("_p", last).filter("_p = 1").drop("_p")
+
+
+#: Modes of a run, each with a folder of its own. Fixed values.
+MODES = ("full", "quick", "smoke")
+
+
+def mode_path(base: str, mode: str) -> str:
+    """The folder of a mode below ``base``; an unknown mode is an error."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    return f"{base.rstrip('/')}/{mode}"
+
+
+def cached(key: str, make, base: str, spark) -> DataFrame:
+    """The table that ``make()`` gives, written once under the key of its content and read again from then on."""
+    path = f"{base.rstrip('/')}/{key}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def macros(df: DataFrame, name: str, value: str, source: str) -> DataFrame:
+    """``name, value, source`` lines of a report's numbers; a name that comes twice is an error when they are read."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(name))
+    once = F.when(n == 1, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("number named twice: "), F.col(name))).cast("string"))
+    return df.select(once.alias("name"), F.col(value).alias("value"), F.lit(source).alias("source"))

@@ -160,6 +160,28 @@ def test_grid_and_dimension(spark):
     assert abs(geo.properties(line).first().id_mle - 1) < 0.25
 
 
+def test_nearest_by_blocks_and_checks(spark, cloud):
+    x = np.round(cloud[0][:, :1], 1)  # many ties
+    f = frame(spark, x, cloud[1])
+    a, b = geo.nearest(f, 4).collect(), geo.nearest_by_blocks(f, 4, block=7).collect()
+    assert sorted((r.i, r.j, r.rank) for r in a) == sorted((r.i, r.j, r.rank) for r in b) and len(a) == 160
+    p = geo.pairs(f)
+    assert geo.checked(p).count() == p.count()
+    with pytest.raises(Exception, match="negative"):
+        geo.checked(p.withColumn("d_hi", -p["d_hi"] - 1)).collect()
+    m = geo.log_distance_moments(p.withColumn("d_hi", p["d_hi"] * 0 + 2), 0.0).first()
+    assert (round(m.mean, 9), m.sd, m.skew, m.kurtosis) == (round(float(np.log(2)), 9), 0.0, 0.0, 0.0)
+
+
+def test_points_with_known_truth(spark):
+    pair = registry.load(spark, "density_pair", n=2000)
+    assert {r["label"]: r["count"] for r in pair.groupBy("label").count().collect()} == {0: 1800, 1: 200}
+    hole = registry.load(spark, "swiss_roll_hole", n=500)
+    assert hole.count() == 500 and hole.filter("x[1] / 21 between 0.31 and 0.69 and label between 4 and 5").count() == 0
+    c = geo.centroids(registry.load(spark, "planar_clusters", n=1200).withColumnRenamed("x", "y"), dims=10).collect()
+    assert len(c) == 6 and all(abs(v) < 1 for r in c for v in r.c[2:])
+
+
 def test_exact_median(spark):
     rng = np.random.default_rng(2)
     for n, bands, most in ((1, 8, 0), (2, 8, 1), (999, 8, 5), (1000, 4, 3), (1000, 4096, 100_000)):
