@@ -122,7 +122,7 @@ def repeated(rows: DataFrame, n: str, name: str, first: Column | None = None, mo
     number = lambda lo, hi: F.explode(F.sequence(lo, hi))
     few = cut.filter(F.col(n).between(1, most)).withColumn(name, number(F.col(held), F.col(held) + F.col(n) - 1)).drop(held)
     many = cut.filter(F.col(n) > most).withColumn(held, F.explode(chunks(n, F.col(held), most)))
-    many = many.repartition(F.xxhash64(F.col(f"{held}.first"), *rows.columns)).withColumn(name, number(F.col(f"{held}.first"), F.col(f"{held}.last"))).drop(held)
+    many = many.repartition(F.xxhash64(F.col(f"{held}.first"), F.col(n))).withColumn(name, number(F.col(f"{held}.first"), F.col(f"{held}.last"))).drop(held)
     return few.unionByName(many)
 
 
