@@ -119,24 +119,34 @@ def stress(p: DataFrame, eps: float = 1e-9) -> DataFrame:
 
 def shepard(p: DataFrame) -> DataFrame:
     """Pearson and Spearman correlation of the two distances over all pairs."""
-    out = global_rank(global_rank(p.select("d_hi", "d_lo"), "d_hi", "rh"), "d_lo", "rl")
+    out = global_ranks(p.select("d_hi", "d_lo"), {"d_hi": "rh", "d_lo": "rl"})
     return out.agg(pearson("d_hi", "d_lo").alias("pearson"), pearson("rh", "rl").alias("spearman"))
 
 
-def global_rank(p: DataFrame, column: str, name: str, bands: int = 4096) -> DataFrame:
-    """``p`` with the average rank of ``column`` over the whole table, by a shuffle and without a sort in one task.
+def global_ranks(p: DataFrame, names: dict[str, str], bands: int = 4096) -> DataFrame:
+    """``p`` with the average rank of each named column over the whole table, a shuffle a column and no sort in one task.
 
     Values fall into bands of equal width; ranks within a band come from a window, those of earlier bands are counted
-    beforehand. A value that many rows share is one band's and is spilled there.
+    beforehand, for all columns at once. A value that many rows share is one band's and is spilled there.
     """
-    ends = p.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
-    width = ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / bands
-    band = F.lit(0) if not width else F.least(F.lit(bands - 1), F.floor((F.col(column) - F.lit(ends["low"])) / F.lit(width))).cast("int")
-    dealt = p.withColumn("_band", band)
-    counts = dealt.groupBy("_band").agg(F.count(F.lit(1)).alias("c")).toPandas().sort_values("_band")  # at most ``bands`` rows
-    before = dict(zip(counts["_band"].tolist(), (counts["c"].cumsum() - counts["c"]).tolist()))
-    offset = F.element_at(F.array(*[F.lit(int(before.get(k, 0))) for k in range(bands)]), F.col("_band") + 1) if len(before) > 1 else F.lit(0)
-    return dealt.withColumn(name, average_rank(column, "_band") + offset).drop("_band")
+    columns = list(names)
+    ends = p.agg(*[f(c).alias(f"{c}_{k}") for c in columns for k, f in (("low", F.min), ("high", F.max))]).first()
+
+    def band(c: str) -> Column:
+        width = ((ends[f"{c}_high"] or 0.0) - (ends[f"{c}_low"] or 0.0)) / bands
+        return F.lit(0) if not width else F.least(F.lit(bands - 1), F.floor((F.col(c) - F.lit(ends[f"{c}_low"])) / F.lit(width))).cast("int")
+
+    met = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), band(c).alias("_band")) for k, c in enumerate(columns)])).alias("b"))
+    counts = cut_lineage(met.groupBy("b.k", "b._band").agg(F.count(F.lit(1)).alias("c")))  # at most ``bands`` rows a column
+    before = counts.withColumn("_before", F.sum("c").over(Window.partitionBy("k").orderBy("_band")) - F.col("c"))
+    for k, (c, name) in enumerate(names.items()):
+        offset = before.filter(F.col("k") == k).select("_band", "_before")
+        p = p.withColumn("_band", band(c)).join(F.broadcast(offset), "_band", "left").withColumn(name, average_rank(c, "_band") + F.coalesce("_before", F.lit(0))).drop("_band", "_before")
+    return p
+
+
+def global_rank(p: DataFrame, column: str, name: str, bands: int = 4096) -> DataFrame:
+    return global_ranks(p, {column: name}, bands)
 
 
 def trust_continuity(r: DataFrame, k: int) -> DataFrame:
@@ -274,12 +284,6 @@ def rank_correlation(df: DataFrame, a: str, b: str, least: int = 0) -> DataFrame
 LEAST_CLASSES, MOST_CLASSES = 3, 50
 
 
-def classes_of(p: DataFrame) -> DataFrame:
-    """``n_classes``: the number of different labels of a pair table."""
-    every = p.select(F.col("ci").alias("c")).unionAll(p.select(F.col("cj").alias("c")))
-    return every.agg(F.count_distinct("c").cast("long").alias("n_classes"))
-
-
 class Classes:
     """What class geometry needs of a pair table, each made at most once: a row a pair of classes, a class, and one."""
 
@@ -288,10 +292,15 @@ class Classes:
         self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in (make := {"means": class_means, "spread": class_spread, "number": classes_of}):
+        if name not in ("means", "spread", "number"):
             raise AttributeError(name)
         if name not in self._made:
-            self._made[name] = cut_lineage(make[name](self.p))
+            if name == "number":  # with two points or more, a class is in a pair of classes or has a spread
+                every = self.means.select("ca").unionAll(self.means.select("cb")).unionAll(self.spread.select("label"))
+                made = every.agg(F.count_distinct("ca").cast("long").alias("n_classes"))
+            else:
+                made = {"means": class_means, "spread": class_spread}[name](self.p)
+            self._made[name] = cut_lineage(made)
         return self._made[name]
 
 

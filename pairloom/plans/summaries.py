@@ -115,7 +115,7 @@ def _(s, d):
 
 @query("r25_pooled_spearman", W + RUNS + ", r AS (SELECT rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 a, rank() OVER (ORDER BY cost) + (count(*) OVER (PARTITION BY cost) - 1) / 2.0 b FROM runs) SELECT round(corr(a, b), 6) rho, count(*) n FROM r")
 def _(s, d):
-    r = geo.global_rank(geo.global_rank(runs(s, d).select("v", "cost"), "v", "a"), "cost", "b")
+    r = geo.global_ranks(runs(s, d).select("v", "cost"), {"v": "a", "cost": "b"})
     return r.agg(geo.pearson("a", "b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
