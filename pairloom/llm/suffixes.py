@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, partitions_for, staged, text_bytes
+from .common import bound_batches, drop_staged, partitions_for, staged, text_bytes
 
 LENGTH, GRAM = 200, 40
 
@@ -444,7 +444,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     found = staged(_candidates(_runs(keyed, kind, length, gram), kind, partitions_for(spark, size, 128 << 20)), "repeat-runs")
     total = found.count()
     hot = staged(found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("m", F.ceil(F.col("n") / crowd).cast("int").alias("tasks")), "repeat-crowds")
-    crowds = hot.count()
+    crowds, hot_rows = hot.count(), hot
     if crowds <= 100_000:  # some MB at most; a longer list is joined by shuffling
         hot = F.broadcast(hot)
     deal = F.struct("start", "count", "m", F.coalesce("tasks", F.lit(0)).alias("tasks"))
@@ -452,6 +452,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     listed = found.join(hot, "m", "left").groupBy("doc_id", "th").agg(F.collect_set(deal).alias("runs")).withColumnsRenamed({"doc_id": "i", "th": "t"})
     texts = keyed.join(listed, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "th", "raw", "runs", "dh")
     texts = staged(texts, "repeat-texts")
+    drop_staged(found, hot_rows)
     segments = _segments(texts, kind, length).repartition(parts, "m", "salt")
     marked = staged(_marked(segments, kind, parts, length), "repeat-marks")
     marks = marked.filter(F.col("bucket").isNull()).select("doc_id", "th", "first", "last")
