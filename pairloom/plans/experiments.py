@@ -512,11 +512,11 @@ def _(s, d):
     return runs(s, d).filter(F.col("dataset").contains("IN") & F.col("method").endswith("H")).select("run")
 
 
-@query("flt05_name_parts", W + RUNS + """, n AS (SELECT run, 'sammon_alpha' || (seed / 4.0)::DECIMAL(9, 2) || '_' || lower(split_part("method", '-', 2)) || CASE WHEN seed % 3 = 0 THEN '_k' || seed ELSE '' END t FROM runs) SELECT run, regexp_extract(t, '^sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 1)::DOUBLE alpha, regexp_extract(t, '^sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 2) kind, nullif(regexp_extract(t, '^sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 4), '')::BIGINT k FROM n WHERE regexp_full_match(t, 'sammon_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?')""")
+@query("flt05_name_parts", W + RUNS + """, n AS (SELECT run, 'map_alpha' || (seed / 4.0)::DECIMAL(9, 2) || '_' || lower(split_part("method", '-', 2)) || CASE WHEN seed % 3 = 0 THEN '_k' || seed ELSE '' END t FROM runs) SELECT run, regexp_extract(t, '^map_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 1)::DOUBLE alpha, regexp_extract(t, '^map_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 2) kind, nullif(regexp_extract(t, '^map_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?$', 4), '')::BIGINT k FROM n WHERE regexp_full_match(t, 'map_alpha([0-9.]+)_([a-z ]+?)(_k([0-9]+))?')""")
 def _(s, d):
     tail = F.when(F.col("seed") % 3 == 0, F.concat(F.lit("_k"), F.col("seed").cast("string"))).otherwise("")
-    text = F.concat(F.lit("sammon_alpha"), (F.col("seed") / 4).cast("decimal(9,2)").cast("string"), F.lit("_"), F.lower(F.split_part("method", F.lit("-"), F.lit(2))), tail)
-    return scalars.name_parts(runs(s, d).select("run", text.alias("t")), "t", r"sammon_alpha([0-9.]+)_([a-z ]+?)(?:_k([0-9]+))?", {"alpha": "double", "kind": "string", "k": "long"}).drop("t")
+    text = F.concat(F.lit("map_alpha"), (F.col("seed") / 4).cast("decimal(9,2)").cast("string"), F.lit("_"), F.lower(F.split_part("method", F.lit("-"), F.lit(2))), tail)
+    return scalars.name_parts(runs(s, d).select("run", text.alias("t")), "t", r"map_alpha([0-9.]+)_([a-z ]+?)(?:_k([0-9]+))?", {"alpha": "double", "kind": "string", "k": "long"}).drop("t")
 
 
 @query("flt06_finite_positive", W + RUNS + " SELECT run FROM runs WHERE cost > 0 AND v > 0 AND NOT isnan(cost::DOUBLE) AND cost < 'inf'::DOUBLE")
