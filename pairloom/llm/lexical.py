@@ -59,29 +59,40 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unpacked(raw: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(raw < 128)
     begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    out = np.zeros(len(last), np.int64)
-    for b in range(5):
-        has = last - begin >= b
+    out = (raw[begin] & 127).astype(np.int64)
+    for b in range(1, 5):
+        has = np.flatnonzero(last - begin >= b)
+        if not len(has):
+            break
         out[has] |= (raw[begin[has] + b].astype(np.int64) & 127) << (7 * b)
     return out
 
 
+def _decoded(raw: np.ndarray, offsets: np.ndarray, dfs: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and frequencies of the terms ``which``, one after another, and where each term's end."""
+    size = offsets[which + 1] - offsets[which]
+    take = np.repeat(offsets[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    both = unpacked(raw[take])
+    gap, tf = both[::2], both[1::2]
+    ends = np.cumsum(dfs[which])
+    run = np.cumsum(gap)
+    before = np.concatenate([[0], run[ends[:-1] - 1]]) if len(ends) else ends
+    return run - np.repeat(before, dfs[which]), tf, ends
+
+
 def _shard(ids: pa.Array, lengths: list[int], owners: list[np.ndarray], codes: list[np.ndarray], terms: list[bytes]) -> dict:
     """The index of a shard. Documents come as they were read; owners are their places, codes their words' numbers."""
     order = pc.sort_indices(ids, sort_keys=[("", "ascending")], null_placement="at_end").to_numpy()
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
-    by_name = sorted(range(len(terms)), key=terms.__getitem__)
-    place = np.empty(len(terms), np.int64)
-    place[by_name] = np.arange(len(terms))
-    key, tf = np.unique(place[np.concatenate(codes)] * len(order) + number[np.concatenate(owners)], return_counts=True)
+    key, tf = np.unique(np.concatenate(codes) * np.int64(len(order)) + number[np.concatenate(owners)], return_counts=True)
     term, doc = key // len(order), key % len(order)
     new = np.concatenate([[True], term[1:] != term[:-1]])
     first = np.flatnonzero(new)
     gap = np.diff(doc, prepend=0)
     gap[first] = doc[first]
     raw, begin = packed(np.stack([gap, tf], 1).ravel())
-    return {"ids": ids.take(pa.array(order)).to_pylist(), "lengths": np.array(lengths)[order].tolist(), "terms": [terms[i] for i in by_name],
+    return {"ids": ids.take(pa.array(order)).to_pylist(), "lengths": np.array(lengths)[order].tolist(), "terms": terms,
             "dfs": np.diff(np.append(first, len(term))).tolist(), "offsets": np.append(begin[2 * first], len(raw)).tolist(), "postings": raw.tobytes()}
 
 
@@ -192,20 +203,20 @@ def _search(shared, k: int, schema: pa.Schema):
 
     def run(batches):
         n_docs, n_terms, weights, queries = shared.value
+        wanted = pa.array(list(weights), pa.binary())
         best: dict[int, list] = {}
         for b in batches:
             for row in range(len(b)):
-                ids, lengths, terms, offsets = (b.column(c)[row].values for c in ("ids", "lengths", "terms", "offsets"))
+                ids, lengths, terms, dfs, offsets = (b.column(c)[row].values for c in ("ids", "lengths", "terms", "dfs", "offsets"))
                 raw = np.frombuffer(b.column("postings")[row].as_buffer(), np.uint8)
                 damping = np.array([25 + 75 * n * n_docs // n_terms for n in lengths.to_pylist()], np.int64)
-                at = offsets.to_numpy()
+                known = pc.is_in(terms, value_set=wanted).to_numpy(zero_copy_only=False)
+                which = np.flatnonzero(known)
+                doc, tf, ends = _decoded(raw, offsets.to_numpy(), dfs.to_numpy(), which)
+                gain = _gains(tf, damping[doc])
                 here = {}
-                for i, t in enumerate(terms.to_pylist()):
-                    if t in weights:
-                        both = unpacked(raw[at[i] : at[i + 1]])
-                        doc = np.cumsum(both[::2])
-                        gain = _gains(both[1::2], damping[doc])
-                        here[t] = int(gain.max()), doc.tolist(), gain.tolist()
+                for t, lo, hi in zip(terms.take(pa.array(which)).to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                    here[t] = int(gain[lo:hi].max()), doc[lo:hi].tolist(), gain[lo:hi].tolist()
                 for query, counts in queries:
                     lists = [(w * here[t][0], w, here[t][1], here[t][2]) for t, n in counts.items() if t in here and (w := n * weights[t])]
                     if lists:
@@ -248,7 +259,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, text_col: str = "t
         weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1).cast("double"))).cast("long")
         weights = {bytes(r[0]): r[1] for r in held.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).select("term", weight).collect()}
         shared = spark.sparkContext.broadcast((n_docs, n_terms, weights, rows))
-        hits = index.drop("dfs").mapInArrow(_search(shared, k, id_type), f"q long, score long, found {kind}")
+        hits = index.mapInArrow(_search(shared, k, id_type), f"q long, score long, found {kind}")
         done.append(staged(_best(hits, k), "lexical-best"))
         shared.unpersist()
     found = done[0]
