@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fmindex, langid, lexical, mixing, ogg, quality, resampling, sharding, simhash, suffixes, warc
+from . import chat, fmindex, langid, lexical, mixing, ogg, pieces, quality, resampling, sharding, simhash, suffixes, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_suffixes, op4_langid, op5_sharding, op6_warc, op7_fmindex, op8_simhash, op9_chat, op10_ogg, op11_lexical, op12_resampling)}
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_suffixes, op4_langid, op5_sharding, op6_warc, op7_fmindex, op8_simhash, op9_chat, op10_ogg, op11_lexical, op12_resampling, op13_pieces)}
 
 ORACLE_SQL: dict[str, str] = {"op3_suffixes": suffixes.REMOVALS_SQL, "op6_warc": warc.READ_BACK_SQL, "op7_fmindex": fmindex.HITS_SQL, "op11_lexical": lexical.RANKED_SQL}
