@@ -7,12 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_AT_EXIT: set[str] = set()
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a round of a fix-point loop to the shared checkpoint folder and reads it back; a local one only on a local master."""
-    spark = df.sparkSession
+
+def _folder(spark: SparkSession) -> str:
+    """This application's folder in the shared checkpoint folder; a local one only on a local master. It goes with the driver."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,6 +21,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         base = tempfile.mkdtemp(prefix="pairloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/loops-{spark.sparkContext.applicationId}"
+    if path not in _AT_EXIT:
+        _AT_EXIT.add(path)
+        atexit.register(_quietly, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _quietly(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the JVM may be gone by now  # noqa: BLE001
+        pass
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes a round of a fix-point loop to the shared checkpoint folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that ``cut_lineage`` wrote and that no later plan reads; others stay as they are."""
+    for df in tables:
+        for name in df.inputFiles()[:1] if df is not None else []:
+            folder = name.rsplit("/", 1)[0]
+            if folder.split(":")[-1].lstrip("/").startswith(_folder(df.sparkSession).split(":")[-1].lstrip("/")):
+                _delete(df.sparkSession, folder)
