@@ -45,13 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loop_path = path
+    return out
 
 
 def drop(*tables: DataFrame | None) -> None:
     """Deletes the files of tables that ``cut_lineage`` wrote and that no later plan reads; others stay as they are."""
     for df in tables:
-        for name in df.inputFiles()[:1] if df is not None else []:
-            folder = name.rsplit("/", 1)[0]
-            if folder.split(":")[-1].lstrip("/").startswith(_folder(df.sparkSession).split(":")[-1].lstrip("/")):
-                _delete(df.sparkSession, folder)
+        if path := getattr(df, "_loop_path", None):
+            _delete(df.sparkSession, path)

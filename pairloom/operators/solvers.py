@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut_lineage
+from .lineage import cut_lineage, drop
 
 MOST = 4000
 
@@ -317,25 +317,11 @@ def pivots(points: DataFrame, n: int) -> list[int]:
     row = points.orderBy("id").first()
     chosen = [row["id"]]
     now = points.select("id", "x").withColumn("g", gap(row["x"]))
+    before = None
     while len(chosen) < n:
         now = cut_lineage(now)
+        drop(before)
         row = now.agg(F.max(F.struct("g", (-F.col("id")).alias("i"), "x")).alias("t")).select("t.*").first()
         chosen.append(-row["i"])
-        now = now.withColumn("g", F.least("g", gap(row["x"])))
+        before, now = now, now.withColumn("g", F.least("g", gap(row["x"])))
     return chosen
-
-
-def sparse_terms(near: DataFrame, points: DataFrame, pivot_ids: list[int], alpha: float, eps: float) -> DataFrame:
-    """``i, j, d, w, origin`` with i < j: neighbour pairs, point-pivot pairs and pivot pairs; the first origin stays."""
-    at = points.select("id", "x")
-    p = at.filter(F.col("id").isin(pivot_ids)).select(F.col("id").alias("j"), F.col("x").alias("xj"))
-    from_pivots = at.crossJoin(F.broadcast(p)).filter("id <> j").select(F.col("id").alias("i"), "j", F.sqrt(F.aggregate(F.zip_with("x", "xj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)).alias("d"))
-    both = F.col("i").isin(pivot_ids) & F.col("j").isin(pivot_ids)
-    every = near.select("i", "j", F.col("d_hi").alias("d"), F.lit(0).alias("o")).unionAll(from_pivots.select("i", "j", "d", F.when(both, 2).otherwise(1)))
-    best = every.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.min(F.struct("o", "d")).alias("t"))
-    w = F.lit(1.0) if alpha == 0 else F.pow(F.col("t.d") + eps, F.lit(-alpha))
-    return best.select("i", "j", F.col("t.d").alias("d"), w.alias("w"), F.element_at(F.array(F.lit("neighbour"), F.lit("pivot"), F.lit("pivots")), F.col("t.o") + 1).alias("origin"))
-
-
-def symmetric(terms: DataFrame) -> DataFrame:
-    return terms.select("i", "j", "d", "w").unionAll(terms.select(F.col("j"), F.col("i"), "d", "w"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fitting, graphs, results, solvers, temporal
+from ..operators import communities, fitting, graphs, neighbours, resistance, results, solvers, sparse, spectra, temporal
 from ..operators.geometry import euclid, nearest
+from ..operators.lineage import cut_lineage
 from .registry import query
 from .tables import CONTACTS, EDGES, POINTS, POSITIONS, RANKS, contacts, edges, layout, pairs, points, positions
 
@@ -255,13 +256,17 @@ def _(s, d):
     return r.join(e, (F.col("i") == F.col("u")) & (F.col("j") == F.col("v"))).agg(F.sum("d").alias("total"))  # over edges it is the number of nodes less one
 
 
-def _pivot_sql(n: int) -> str:
-    """Farthest points one after another, unrolled."""
+def _pivots(n: int) -> str:
+    """Farthest points one after another, unrolled, and each point's pivots by distance."""
     parts = ["p0 AS (SELECT id, x FROM points ORDER BY id LIMIT 1)", "g0 AS (SELECT points.id, points.x, list_distance(points.x, p0.x) g FROM points, p0)"]
     for k in range(1, n):
         parts += [f"p{k} AS (SELECT id, x FROM g{k - 1} ORDER BY g DESC, id LIMIT 1)", f"g{k} AS (SELECT g{k - 1}.id, g{k - 1}.x, least(g, list_distance(g{k - 1}.x, p{k}.x)) g FROM g{k - 1}, p{k})"]
     every = " UNION ALL ".join(f"SELECT id \"pivot\", x FROM p{k}" for k in range(n))
-    return W + POINTS + ", " + ", ".join(parts) + f", piv AS ({every}), c AS (SELECT points.id, \"pivot\", row_number() OVER (PARTITION BY points.id ORDER BY list_distance(points.x, piv.x), \"pivot\") r FROM points, piv) SELECT \"pivot\", count(*) n FROM c WHERE r = 1 GROUP BY \"pivot\""
+    return ", ".join(parts) + f", piv AS ({every}), c AS (SELECT points.id, \"pivot\", list_distance(points.x, piv.x) d, row_number() OVER (PARTITION BY points.id ORDER BY list_distance(points.x, piv.x), \"pivot\") r FROM points, piv)"
+
+
+def _pivot_sql(n: int) -> str:
+    return W + POINTS + ", " + _pivots(n) + " SELECT \"pivot\", count(*) n FROM c WHERE r = 1 GROUP BY \"pivot\""
 
 
 @query("smp05_pivot_cells", _pivot_sql(8))
@@ -273,11 +278,44 @@ def _(s, d):
     return cell.groupBy(F.col("m.pivot").alias("pivot")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ft05_sparse_terms", W + RANKS + """, t AS (SELECT least(i, j) i, greatest(i, j) j, d_hi d, 0 o FROM ranks WHERE r <= 5 UNION ALL SELECT least(i, j), greatest(i, j), d_hi, CASE WHEN i < 8 AND j < 8 THEN 2 ELSE 1 END FROM both_ways WHERE j < 8)
-SELECT i, j, round(min(d), 6) d, round(1 / (min(d) + 0.1), 6) w, CASE min(o) WHEN 0 THEN 'neighbour' WHEN 1 THEN 'pivot' ELSE 'pivots' END origin FROM t GROUP BY i, j""")
-def _(s, d):
+def _terms(s, d):
     p = points(s, d)
-    return solvers.sparse_terms(nearest(p, 5), p, list(range(8)), 1.0, 0.1)
+    return p, sparse.stress_terms(p, nearest(p, 5), solvers.pivots(p, 8), 1.0, 0.1)
+
+
+@query("ft05_sparse_terms", W + RANKS + ", " + _pivots(8) + """, n AS (SELECT "pivot", count(*) n FROM c WHERE r = 1 GROUP BY "pivot")
+, t AS (SELECT least(i, j) i, greatest(i, j) j, d_hi d, 0 o, 1 / (d_hi + 0.1) w FROM ranks WHERE r <= 5 UNION ALL SELECT least(id, "pivot"), greatest(id, "pivot"), d, 1, n / (d + 0.1) FROM c JOIN n USING ("pivot") WHERE r = 1 AND id <> "pivot"
+UNION ALL SELECT least(a."pivot", b."pivot"), greatest(a."pivot", b."pivot"), list_distance(a.x, b.x), 2, 1 / (list_distance(a.x, b.x) + 0.1) FROM piv a JOIN piv b ON a."pivot" < b."pivot")
+, m AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY o) k FROM t) SELECT i, j, round(d, 6) d, round(w, 6) w, CASE o WHEN 0 THEN 'neighbour' WHEN 1 THEN 'pivot' ELSE 'pivots' END origin FROM m WHERE k = 1""")
+def _(s, d):
+    return _terms(s, d)[1]
+
+
+@query("ft05_sparse_map")
+def _(s, d):
+    p, terms = _terms(s, d)
+    return sparse.majorised(cut_lineage(terms), cut_lineage(fitting.principal_map(p)), tol=1e-2).select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"), "stress", "rounds")
+
+
+@query("top02_approximate")
+def _(s, d):
+    return neighbours.approximate(points(s, d), 15)[0]
+
+
+@query("top08_scaling")
+def _(s, d):
+    return spectra.scaled(points(s, d)).select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
+
+
+@query("gr02_edge_resistances")
+def _(s, d):
+    e = edges(s, d)
+    return resistance.resistances(resistance.sketch(e, 64), e.select(F.col("u").alias("i"), F.col("v").alias("j")), e)
+
+
+@query("gr05_louvain")
+def _(s, d):
+    return communities.louvain(edges(s, d), sweeps=1)
 
 
 @query("tw02_usable_snapshots", "WITH RECURSIVE " + SNAPS + """, dir AS (SELECT bin, u, v FROM snaps UNION ALL SELECT bin, v, u FROM snaps), reach(bin, node, root) AS (SELECT DISTINCT bin, u, u FROM dir UNION SELECT reach.bin, dir.v, root FROM reach JOIN dir ON dir.bin = reach.bin AND dir.u = reach.node WHERE dir.v > root)
