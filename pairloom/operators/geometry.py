@@ -287,15 +287,17 @@ LEAST_CLASSES, MOST_CLASSES = 3, 50
 class Classes:
     """What class geometry needs of a pair table, each made at most once: a row a pair of classes, a class, and one."""
 
-    def __init__(self, p: DataFrame):
+    def __init__(self, p: DataFrame | None, made: dict[str, DataFrame] | None = None):
         self.p = p
-        self._made: dict[str, DataFrame] = {}
+        self._made: dict[str, DataFrame] = dict(made or {})
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in ("means", "spread", "number"):
+        if name not in ("means", "spread", "number", "whole"):
             raise AttributeError(name)
         if name not in self._made:
-            if name == "number":  # with two points or more, a class is in a pair of classes or has a spread
+            if name == "whole":  # the medians of all distances
+                made = exact_median(self.p, "d_hi").withColumnRenamed("median", "all_hi").crossJoin(exact_median(self.p, "d_lo").withColumnRenamed("median", "all_lo"))
+            elif name == "number":  # with two points or more, a class is in a pair of classes or has a spread
                 every = self.means.select("ca").unionAll(self.means.select("cb")).unionAll(self.spread.select("label"))
                 made = every.agg(F.count_distinct("ca").cast("long").alias("n_classes"))
             else:
@@ -331,8 +333,7 @@ def lie_factor(p: DataFrame | Classes) -> DataFrame:
     Classes without spread on a side are left out; NULL below three classes or above fifty.
     """
     c = _classes(p)
-    whole = exact_median(c.p, "d_hi").withColumnRenamed("median", "all_hi").crossJoin(exact_median(c.p, "d_lo").withColumnRenamed("median", "all_lo"))
-    spread = c.spread.filter("hi > 0 and lo > 0").crossJoin(F.broadcast(whole)).filter("all_hi > 0 and all_lo > 0")
+    spread = c.spread.filter("hi > 0 and lo > 0").crossJoin(F.broadcast(c.whole)).filter("all_hi > 0 and all_lo > 0")
     change = F.log((F.col("lo") / F.col("all_lo")) / (F.col("hi") / F.col("all_hi")))
     return _if_classes(spread.agg(F.median(F.abs(change)).alias("lie_factor")), c, "lie_factor")
 
@@ -388,6 +389,10 @@ def estimate_eps(points: DataFrame, k: int = 5, q: float = 0.1) -> DataFrame:
 
 def properties(points: DataFrame, k_mle: int = 10, k_hub: int = 10, fraction: float = 0.9, eps: float = 1e-9) -> DataFrame:
     """Properties of the input distances: neighbour ratios, spread, contrast, two intrinsic dimensions, hubness, silhouette."""
+    if "y" in points.columns and points.limit(2).count() > 1 and fits_broadcast(points):
+        from . import measures
+
+        return measures.properties(points, k_mle, k_hub, fraction, eps)
     p = pairs(points)
     med = exact_median(p, "d_hi").withColumnRenamed("median", "med")
     every = p.agg(F.avg("d_hi").alias("mean"), F.stddev_pop("d_hi").alias("sd"), F.skewness("d_hi").alias("dist_skew")).crossJoin(med)
@@ -544,12 +549,17 @@ def evaluate(points: DataFrame, k: int = 7, ks: tuple[int, ...] = (7, 20)) -> Da
     beyond that the window forms do. Both give the same values.
     """
     ks = tuple(dict.fromkeys((k, *ks)))
-    p = pairs(points)
     if fits_broadcast(points):
-        prof = profile(points, ks)
+        from .measures import Measured
+
+        m = Measured(points, ks)
+        prof, g = m.profile, m.classes
         wide, curve = profile_metrics(prof, ks, k), profile_curve(prof)
         more = profile_metrics(prof, ks, ks[-1]).select("trustworthiness", "continuity")
+        correlated = m.shepard(points)
     else:
+        p = pairs(points)
+        g, correlated = Classes(p), shepard(p)
         r = ranks(p)
         curve = qnx_curve(r)
         wide = stress(p).drop("n_pairs").crossJoin(trust_continuity(r, k)).crossJoin(overlap(r, k)).crossJoin(neighborhood_hit(r, k)).crossJoin(distance_correlation(p)).crossJoin(silhouette(p)).crossJoin(auc_rnx(curve))
@@ -560,8 +570,7 @@ def evaluate(points: DataFrame, k: int = 7, ks: tuple[int, ...] = (7, 20)) -> Da
     labelled = points.filter(F.col("label").isNotNull())
     several = labelled.agg(F.count_distinct("label").alias("c"), F.count(F.lit(1)).alias("m")).select(F.when((F.col("c") >= 2) & (F.col("c") < F.col("m")), F.lit(1.0)).alias("_known"))
     classes = davies_bouldin(labelled).crossJoin(distance_consistency(labelled)).crossJoin(several).select(*[(F.col(c) * F.col("_known")).alias(c) for c in ("davies_bouldin", "distance_consistency")])
-    g = Classes(p)
-    parts = [more, at, share, shepard(p), classes, centroid_spearman(g).toDF("centroid_dist_spearman"), spread_spearman(g).toDF("class_spread_spearman"), lie_factor(g).toDF("class_spread_lie_factor"), class_neighbours_kept(g).toDF("centroid_knn_preservation")]
+    parts = [more, at, share, correlated, classes, centroid_spearman(g).toDF("centroid_dist_spearman"), spread_spearman(g).toDF("class_spread_spearman"), lie_factor(g).toDF("class_spread_lie_factor"), class_neighbours_kept(g).toDF("centroid_knn_preservation")]
     for part in parts:
         wide = wide.crossJoin(F.broadcast(part))
     return wide
@@ -579,24 +588,47 @@ def fits_broadcast(points: DataFrame) -> bool:
 
 def _shared(points: DataFrame):
     """Ids, coordinates and codes of the labels (-1 without one), by id."""
-    rows = sorted(points.select("id", "x", "y", "label").collect(), key=lambda r: r["id"])
-    ids = np.array([r["id"] for r in rows], np.int64)
-    codes = {c: k for k, c in enumerate(sorted({r["label"] for r in rows} - {None}))}
-    label = np.array([codes.get(r["label"], -1) for r in rows], np.int64)
-    x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1)
-    y = np.array([r["y"] for r in rows], np.float64).reshape(len(rows), -1)
+    t = points.select("id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"), "label").toArrow().combine_chunks()
+    ids = t.column("id").to_numpy().astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    names = t.column("label").to_pylist()
+    codes = {c: k for k, c in enumerate(sorted(set(names) - {None}))}
+    label = np.array([codes.get(v, -1) for v in names], np.int64)[order]
+    x, y = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column(n).chunks]).reshape(len(ids), -1)[order] for n in "xy") if len(ids) else (np.zeros((0, 1)),) * 2
+    ids = ids[order]
     return points.sparkSession.sparkContext.broadcast((ids, x, y, label))
 
 
-def _row_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of each row of ``a`` to all of ``b``, dimension by dimension (exact for near duplicates)."""
-    out = np.zeros((len(a), len(b)))
-    step = np.empty_like(out)
-    for k in range(a.shape[1]):
-        np.subtract(a[:, k, None], b[None, :, k], out=step)
-        np.multiply(step, step, out=step)
-        out += step
-    return np.sqrt(out, out=out)
+def _row_distances(a: np.ndarray, b: np.ndarray, high: int = 128, wide: int = 256) -> np.ndarray:
+    """Distances of each row of ``a`` to all of ``b``, dimension by dimension (exact for near duplicates), in tiles that
+    stay in a core's cache."""
+    out = np.empty((len(a), len(b)))
+    one, other = np.ascontiguousarray(a.T)[:, :, None], np.ascontiguousarray(b.T)[:, None, :]
+    gap, total = np.empty((high, wide)), np.empty((high, wide))
+    for r in range(0, len(a), high):
+        for c in range(0, len(b), wide):
+            n, m = min(high, len(a) - r), min(wide, len(b) - c)
+            step, held = gap[:n, :m], total[:n, :m]
+            held[:] = 0.0
+            for k in range(a.shape[1]):
+                np.subtract(one[k, r : r + n], other[k, :, c : c + m], out=step)
+                np.multiply(step, step, out=step)
+                np.add(held, step, out=held)
+            np.sqrt(held, out=out[r : r + n, c : c + m])
+    return out
+
+
+def _row_ranks(d: np.ndarray) -> np.ndarray:
+    """Ranks from 1 within each row, ties by place: rows with ties are sorted again in a stable way."""
+    m, n = d.shape
+    order = np.argsort(d, axis=1)
+    value = np.take_along_axis(d, order, axis=1)
+    tied = np.flatnonzero((value[:, 1:] == value[:, :-1]).any(1))
+    if len(tied):
+        order[tied] = np.argsort(d[tied], axis=1, kind="stable")
+    ranks = np.empty((m, n), np.int32)
+    np.put_along_axis(ranks, order, np.arange(1, n + 1, dtype=np.int32)[None, :], axis=1)
+    return ranks
 
 
 def _by_rows(points: DataFrame, work, schema: str, total=None) -> DataFrame:
@@ -670,9 +702,11 @@ def nearest_by_blocks(points: DataFrame, k: int, block: int = BLOCK) -> DataFram
 PROFILE = "n long, classes long, labelled long, late_q array<double>, late_r array<double>, jaccard array<double>, common array<double>, hit array<double>, hits array<long>, sums array<double>, silhouette double, kept array<long>"
 
 
-def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
+def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20), more=None, extras: tuple[str, ...] = ()) -> DataFrame:
     """Partial sums of every map metric, one row per task, in a single pass over the distances.
 
+    ``more(rows, ids, x, y, label, distances)`` gives further arrays, by the names ``extras``, which are added up too and come as bytes.
+
     ``kept`` counts pairs by the larger of their two ranks; ``sums`` are over ordered pairs and rows: Dd, d^2, D^2,
     (D-d)^2 / D, (D-d)^2, D, then row sums' D, d, Dd, D^2, d^2.
     """
@@ -680,6 +714,7 @@ def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
     def work(rows, ids, x, y, label):
         n, m, at = len(ids), len(rows), np.arange(len(rows))
         hi, lo = _row_distances(x[rows], x), _row_distances(y[rows], y)
+        also = more(rows, ids, x, y, label, (hi, lo)) if more else {}
         gap = (hi - lo) ** 2
         a, b = hi.sum(1), lo.sum(1)
         sums = [(hi * lo).sum(), (lo * lo).sum(), (hi * hi).sum(), (gap / np.maximum(hi, 1e-9)).sum(), gap.sum(), a.sum(), a.sum(), b.sum(), (a * b).sum(), (a * a).sum(), (b * b).sum()]
@@ -700,10 +735,7 @@ def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
         rank = []
         for d in (hi, lo):
             d[at, rows] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")
-            r = np.empty((m, n), np.int32)
-            np.put_along_axis(r, order, np.arange(1, n + 1, dtype=np.int32)[None, :], axis=1)
-            rank.append(r)
+            rank.append(_row_ranks(d))
         r, q = rank
         kept = np.bincount(np.maximum(r, q)[np.arange(n)[None, :] != rows[:, None]], minlength=n + 1)[1:n]
         out: dict[str, list] = {name: [] for name in ("late_q", "late_r", "jaccard", "common", "hit", "hits")}
@@ -717,7 +749,7 @@ def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
             known = near & mine[:, None] & (label >= 0)[None, :]
             out["hit"].append(float((known & (label[rows][:, None] == label[None, :])).sum()))
             out["hits"].append(int(known.sum()))
-        yield {"n": n, "classes": len(classes), "labelled": int(mine.sum()), **{f: np.array(v) for f, v in out.items()}, "sums": np.array([float(v) for v in sums]), "silhouette": sil, "kept": kept}
+        yield {"n": n, "classes": len(classes), "labelled": int(mine.sum()), **{f: np.array(v) for f, v in out.items()}, "sums": np.array([float(v) for v in sums]), "silhouette": sil, "kept": kept, **also}
 
     def add_up(found):
         row: dict = {}
@@ -726,9 +758,10 @@ def profile(points: DataFrame, ks: tuple[int, ...] = (7, 20)) -> DataFrame:
         if not row:
             return
         kinds = {"n": pa.int64(), "classes": pa.int64(), "labelled": pa.int64(), **{f: pa.list_(pa.float64()) for f in ("late_q", "late_r", "jaccard", "common", "hit")}, "hits": pa.list_(pa.int64()), "sums": pa.list_(pa.float64()), "silhouette": pa.float64(), "kept": pa.list_(pa.int64())}
-        yield pa.RecordBatch.from_arrays([pa.array([row[f]], t) for f, t in kinds.items()], names=list(kinds))
+        extra = [f for f in row if f not in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array([row[f]], t) for f, t in kinds.items()] + [pa.array([row[f].tobytes()], pa.binary()) for f in extra], names=[*kinds, *extra])
 
-    return _by_rows(points, work, PROFILE, add_up)
+    return _by_rows(points, work, PROFILE + "".join(f", {f} binary" for f in extras), add_up)
 
 
 def profile_curve(prof: DataFrame) -> DataFrame:
