@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import communities, fitting, graphs, neighbours, resistance, results, solvers, sparse, spectra, temporal
+from ..operators import communities, fitting, graphs, neighbours, resistance, results, solvers, sparse, spectra, temporal, tournament
 from ..operators.geometry import euclid, nearest
 from ..operators.lineage import cut_lineage
 from .registry import query
@@ -307,6 +307,12 @@ def _(s, d):
     return spectra.scaled(points(s, d)).select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
 
 
+@query("ft04_tournament")
+def _(s, d):
+    y = tournament.tournament(points(s, d))
+    return y.select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
+
+
 @query("gr02_edge_resistances")
 def _(s, d):
     e = edges(s, d)
