@@ -511,6 +511,13 @@ def checked(p: DataFrame) -> DataFrame:
     return p.withColumn("d_hi", F.when(ok, F.col("d_hi")).otherwise(F.raise_error(F.lit("a distance is negative, infinite or missing")).cast("double")))
 
 
+def faults(p: DataFrame) -> DataFrame:
+    """``fault, n``: how many distances ``checked`` would stop at, by what is wrong with them; a kind without any has no row."""
+    d = F.col("d_hi")
+    kind = F.when(d.isNull(), "missing").when(F.isnan(d), "not a number").when(d < 0, "negative").when(d == float("inf"), "infinite")
+    return p.groupBy(kind.alias("fault")).agg(F.count(F.lit(1)).alias("n")).filter("fault IS NOT NULL")
+
+
 def per_point_error(p: DataFrame) -> DataFrame:
     """Root mean squared residual over a point's partners, and its share of the squared input distances."""
     gap = (F.col("d_hi") - F.col("d_lo")) ** 2

@@ -253,12 +253,20 @@ def _(s, d):
     return tb.same_rows(runs(s, d), runs(s, d))
 
 
+@query("smp16_one_row_differs", W + RUNS + " SELECT (SELECT count(*) FROM runs) n, false same FROM runs LIMIT 1")
+def _(s, d):
+    first, again = runs(s, d), runs(s, d)
+    one = F.col("run") == again.agg(F.max("run")).first()[0]
+    return tb.same_rows(first, again.withColumn("cost", F.when(one, F.col("cost") + 1).otherwise(F.col("cost"))))
+
+
 @query("win12_label_spacing", W + MEDIANS + """, o AS (SELECT dataset, max(v) v FROM wide GROUP BY ALL) SELECT count(*) n FROM o""")
 def _(s, d):
     kept = tb.spaced(wide(s, d).groupBy("dataset").agg(F.max("v").alias("v")), "dataset", "v", 0.0)
     return kept.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("win12_label_spacing_greedy")
+@query("win12_label_spacing_greedy", "WITH RECURSIVE " + MEDIANS + """, r AS (SELECT dataset, v, row_number() OVER (ORDER BY v, dataset) k FROM (SELECT dataset, max(v) v FROM wide GROUP BY ALL))
+, nxt AS (SELECT a.k, (SELECT min(b.k) FROM r b WHERE b.k > a.k AND b.v - a.v >= 2000) n FROM r a), pick(k) AS (SELECT 1::BIGINT UNION ALL SELECT n FROM pick JOIN nxt USING (k) WHERE n IS NOT NULL) SELECT dataset, round(v, 6) v FROM pick JOIN r USING (k)""")
 def _(s, d):
     return tb.spaced(wide(s, d).groupBy("dataset").agg(F.max("v").alias("v")), "dataset", "v", 2000.0)
