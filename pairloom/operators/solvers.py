@@ -65,6 +65,7 @@ def geodesics(d: np.ndarray, k: int) -> np.ndarray:
         new = out.copy()
         for c in near.T:
             np.minimum(new, out[c] + d[rows, c][:, None], out=new)
+            np.minimum.at(new, c, out + d[rows, c][:, None])  # a node that isn't among its neighbour's nearest
         new = np.minimum(new, new.T)
         if (new == out).all():
             break
