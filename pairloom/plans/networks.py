@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import communities, fitting, graphs, neighbours, resistance, results, solvers, sparse, spectra, temporal, tournament
+from ..operators import communities, fitting, graphs, neighbours, paths, resistance, results, solvers, sparse, spectra, temporal, tournament, truth
 from ..operators.geometry import euclid, nearest
 from ..operators.lineage import cut_lineage
 from .registry import query
@@ -319,6 +319,34 @@ def _(s, d):
     return resistance.resistances(resistance.sketch(e, 64), e.select(F.col("u").alias("i"), F.col("v").alias("j")), e)
 
 
+NEAR = """, near_ AS (SELECT least(i, j) u, greatest(i, j) v, min(d_hi) d FROM ranks WHERE r <= 6 GROUP BY ALL), arcs AS (SELECT u, v, d FROM near_ UNION ALL SELECT v, u, d FROM near_)
+, lengths(source, node, d) USING KEY (source, node) AS (SELECT "pivot", "pivot", 0.0::DOUBLE FROM piv UNION SELECT l.source, a.v, min(l.d + a.d) FROM lengths l JOIN arcs a ON a.u = l.node LEFT JOIN recurring.lengths o ON o.source = l.source AND o.node = a.v WHERE o.d IS NULL OR l.d + a.d < o.d GROUP BY ALL)"""
+LENGTHS = "WITH RECURSIVE " + RANKS + ", " + _pivots(8) + NEAR
+
+
+def _lengths(s, d):
+    p = points(s, d)
+    return paths.path_lengths(paths.neighbour_edges(p, 6), s.createDataFrame([(i,) for i in solvers.pivots(p, 8)], "node long"))
+
+
+@query("gr07_path_lengths", LENGTHS + " SELECT source, node, round(d, 6) d FROM lengths")
+def _(s, d):
+    return _lengths(s, d)
+
+
+@query("m25_geodesic_paths", LENGTHS + """, g AS (SELECT d truth, list_distance(a.x[1:2], b.x[1:2]) got FROM lengths JOIN points a ON a.id = source JOIN points b ON b.id = node WHERE source <> node), e AS (SELECT avg(ln(got) - ln(truth)) m FROM g WHERE got > 0 AND truth > 0)
+SELECT round(1 - sum(truth*got)**2 / (sum(truth**2) * sum(got**2)), 6) stress, round(corr(truth, got), 6) pearson, round(median(abs(ln(got) - ln(truth) - m)) FILTER (got > 0 AND truth > 0), 6) log_ratio_error, round((max(ln(got) - ln(truth)) FILTER (got > 0 AND truth > 0)) - (min(ln(got) - ln(truth)) FILTER (got > 0 AND truth > 0)), 6) log_distortion FROM g, e""")
+def _(s, d):
+    y = points(s, d)
+    g = _lengths(s, d).filter("source <> node").join(y.select(F.col("id").alias("source"), F.col("y").alias("a")), "source").join(y.select(F.col("id").alias("node"), F.col("y").alias("b")), "node")
+    return truth.agreement(g.select(F.col("d").alias("truth"), euclid("a", "b").alias("got"))).select("stress", "pearson", "log_ratio_error", "log_distortion")
+
+
+@query("ft10_landmark_map")
+def _(s, d):
+    return paths.landmark_map(_lengths(s, d)).select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
+
+
 @query("gr05_louvain")
 def _(s, d):
     return communities.louvain(edges(s, d), sweeps=1)
