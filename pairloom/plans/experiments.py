@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..operators import poisson
 from ..operators import results as res
 from ..sources import sinks
 from ..operators import resampling as rs
@@ -206,6 +207,27 @@ def _(s, d):
     return rs.bootstrap_spearman(diffs(s, d), "va", "vb", "dataset", 500, 42)
 
 
+def _drawn(rows: str, statistic: str, terms: str, draws: int, seed: int) -> str:
+    """Rows ``g, k`` and terms, crossed with all draws: what the one pass avoids."""
+    h = "('0x' || md5(coalesce(k::VARCHAR, ''))[1:7])::BIGINT"
+    weighed = ", ".join(f"sum(w * {t}) {t}" for t in terms.split())
+    return f"""{rows}, h AS (SELECT *, {h} h FROM r), d AS (SELECT *, {poisson.weight_sql('h', 'd', seed)} w FROM h, range({draws}) t(d)), s AS (SELECT g, d, {weighed} FROM d WHERE w > 0 GROUP BY ALL), v AS (SELECT g, {statistic} s FROM s)
+, a AS (SELECT g, {statistic} s FROM (SELECT g, {', '.join(f'sum({t}) {t}' for t in terms.split())} FROM r GROUP BY g)) SELECT a.g "group", round(any_value(a.s), 5) "value", round(quantile_cont(v.s, 0.025), 5) low, round(quantile_cont(v.s, 0.975), 5) high, count(v.s) draws FROM a JOIN v USING (g) GROUP BY a.g"""
+
+
+@query("st10_poisson_mean", "WITH " + RUNS + ", " + _drawn("""r AS (SELECT "method" g, run k, 1.0::DOUBLE n, v::DOUBLE s FROM runs WHERE v IS NOT NULL)""", "s / n", "n s", 200, 42), 5)
+def _(s, d):
+    terms, mean = poisson.mean_of("v")
+    return poisson.interval(runs(s, d), "run", terms, mean, 200, 42, group=F.col("method"))
+
+
+@query("st10_poisson_slope", "WITH " + RUNS + ", " + _drawn("r AS (SELECT '' g, dataset k, 1.0::DOUBLE n, cost / 1000.0::DOUBLE sx, v / 1000.0::DOUBLE sy, sx * sx xx, sx * sy xy FROM runs WHERE v IS NOT NULL AND cost IS NOT NULL)", "(n * xy - sx * sy) / nullif(n * xx - sx * sx, 0)", "n sx sy xx xy", 200, 7), 5)
+def _(s, d):
+    """Clusters are resampled: all runs of a data set share its weight."""
+    terms, slope = poisson.slope_of("a", "b")
+    return poisson.interval(runs(s, d).withColumn("a", F.col("cost") / 1000.0).withColumn("b", F.col("v") / 1000.0), "dataset", terms, slope, 200, 7)
+
+
 @query("st11_holm", W + RUNS + """, h AS (SELECT dataset, region, count(*) hash_ FROM runs GROUP BY ALL), t AS (SELECT dataset, region::BIGINT AS region, (hash_ * 37 % 997) / 9970.0 p FROM h), m AS (SELECT *, count(p) OVER (PARTITION BY region) m, row_number() OVER (PARTITION BY region ORDER BY p, dataset) r FROM t)
 SELECT dataset, region, round(p, 6) p, round(max(least(1, (m - r + 1) * p)) OVER (PARTITION BY region ORDER BY p, dataset ROWS UNBOUNDED PRECEDING), 6) p_holm FROM m""")
 def _(s, d):
