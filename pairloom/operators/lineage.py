@@ -40,10 +40,15 @@ def _quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in this application's shared folder, for a table of a query's own."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes a round of a fix-point loop to the shared checkpoint folder and reads it back."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loop_path = path

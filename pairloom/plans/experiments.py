@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import poisson
 from ..operators import results as res
-from ..sources import sinks
+from ..operators.lineage import scratch
+from ..sources import keyed, sinks
 from ..operators import resampling as rs
 from .registry import query
 from .tables import MEDIANS, RUNS, runs, table
@@ -215,6 +216,16 @@ def _drawn(rows: str, statistic: str, terms: str, draws: int, seed: int) -> str:
 , a AS (SELECT g, {statistic} s FROM (SELECT g, {', '.join(f'sum({t}) {t}' for t in terms.split())} FROM r GROUP BY g)) SELECT a.g "group", round(any_value(a.s), 5) "value", round(quantile_cont(v.s, 0.025), 5) low, round(quantile_cont(v.s, 0.975), 5) high, count(v.s) draws FROM a JOIN v USING (g) GROUP BY a.g"""
 
 
+@query("snk01_keyed_table", "WITH " + RUNS + ', r AS (SELECT dataset, "method", seed, min(run) run FROM runs GROUP BY ALL) SELECT dataset, "method", count(*) n, sum(run)::BIGINT run FROM r GROUP BY ALL')
+def _(s, d):
+    """Runs by data set, method and seed in three writes that overlap, one of them made twice: each key once, with its first run."""
+    one = runs(s, d).groupBy("dataset", "method", "seed").agg(F.min("run").alias("run"))
+    path = scratch(s)
+    for name, part in (("low", "seed < 6"), ("high", "seed >= 4"), ("low", "seed < 6"), ("all", "true")):
+        out = keyed.append(one.filter(part), path, ["dataset", "method", "seed"], name)
+    return out.groupBy("dataset", "method").agg(F.count(F.lit(1)).alias("n"), F.sum("run").alias("run"))
+
+
 @query("st10_poisson_mean", "WITH " + RUNS + ", " + _drawn("""r AS (SELECT "method" g, run k, 1.0::DOUBLE n, v::DOUBLE s FROM runs WHERE v IS NOT NULL)""", "s / n", "n s", 200, 42), 5)
 def _(s, d):
     terms, mean = poisson.mean_of("v")
