@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import communities, fitting, graphs, neighbours, paths, resistance, results, solvers, sparse, spectra, temporal, tournament, truth
 from ..operators.geometry import euclid, nearest
 from ..operators.lineage import cut_lineage
+from ..sources import scenarios
 from .registry import query
-from .tables import CONTACTS, EDGES, POINTS, POSITIONS, RANKS, contacts, edges, layout, pairs, points, positions
+from .tables import CONTACTS, EDGES, POINTS, POSITIONS, RANKS, contacts, edges, layout, pairs, points, positions, table
 
 W = "WITH "
 DEG = EDGES + ", dir AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges)"
@@ -347,6 +348,15 @@ def _(s, d):
     return paths.landmark_map(_lengths(s, d)).select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
 
 
+@query("m26_scenarios")
+def _(s, d):
+    """A replicate a nation: as many points as it has customers, of a scenario by its number."""
+    kinds = F.array(*[F.lit(k) for k in scenarios.SCENARIOS])
+    n = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("seed")).agg(F.count(F.lit(1)).alias("n"))
+    p = scenarios.scenario_points(n.select(F.col("seed").alias("replicate"), F.element_at(kinds, (F.col("seed") % 4 + 1).cast("int")).alias("scenario"), "n", "seed"))
+    return truth.scenario_truth(p.withColumn("y", F.slice("x", 1, 2)), scenarios.tree_heights())
+
+
 @query("gr05_louvain")
 def _(s, d):
     return communities.louvain(edges(s, d), sweeps=1)
