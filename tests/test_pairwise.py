@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from pairloom.operators import bounds, pairwise, tiles
+from pairloom.operators import bounds, pairwise, temporal, tiles
 from pairloom.operators import geometry as geo
 
 
@@ -97,3 +97,21 @@ def test_medians_centring_hits_and_faults(cloud, monkeypatch):
     assert near(geo.nearest_by_blocks(cloud, 5, 30)) == near(geo.nearest(cloud, 5))
     read = lambda i, j, d: np.ma.array(np.where(i == 0, -d - 1, np.where(j == 149, np.nan, d)), mask=i == 1)
     assert {r.fault: r.n for r in pairwise.faults(cloud, read).collect()} == {"negative": 149, "missing": 148, "not a number": 147}
+
+
+def test_overlap_looks_only_for_neighbours_that_are_there(spark, monkeypatch):
+    """A k beyond every snapshot asks for no ranks, so nothing but the 3 nearest of each block leaves a task."""
+    rng = np.random.default_rng(3)
+    rows = [(t, n, float(rng.integers(6)), float(rng.integers(6))) for t in range(3) for n in range(60) if (t + n) % 9]
+    p = spark.createDataFrame(rows, "t int, node long, x double, y double")
+    asked = []
+    found = temporal._candidates
+    monkeypatch.setattr(temporal, "_candidates", lambda steps, k: asked.append(k) or found(steps, k, 16))
+    got = {(r.t, r.k): (r.jaccard, r.note) for r in temporal.overlap_by_k(p, [3, 1_000_000]).collect()}
+    assert asked == [3] and got[1, 1_000_000] == (None, "too few common nodes") and len(got) == 4
+    at = {(t, n): (x, y) for t, n, x, y in rows}
+    for t in (1, 2):
+        both = [n for n in range(60) if (t, n) in at and (t - 1, n) in at]
+        near = lambda n, s: set(sorted((m for m in both if m != n), key=lambda m: (math.dist(at[s, n], at[s, m]), m))[:3])  # noqa: B023, E731
+        m = [len(near(n, t) & near(n, t - 1)) for n in both]
+        assert math.isclose(got[t, 3][0], sum(v / (6 - v) for v in m) / len(m))
