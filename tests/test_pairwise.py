@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from pairloom.operators import bounds, pairwise, temporal, tiles
+from pairloom.operators import bounds, measures, pairwise, temporal, tiles
 from pairloom.operators import geometry as geo
 
 
@@ -115,3 +115,12 @@ def test_overlap_looks_only_for_neighbours_that_are_there(spark, monkeypatch):
         near = lambda n, s: set(sorted((m for m in both if m != n), key=lambda m: (math.dist(at[s, n], at[s, m]), m))[:3])  # noqa: B023, E731
         m = [len(near(n, t) & near(n, t - 1)) for n in both]
         assert math.isclose(got[t, 3][0], sum(v / (6 - v) for v in m) / len(m))
+
+
+def test_counts_by_bands_come_once_a_task(spark):
+    """Not once a slice: they are 2 MB each."""
+    x = np.random.default_rng(2).normal(size=(9000, 3))
+    p = spark.createDataFrame([(i, r.tolist(), r[:2].tolist(), i % 3) for i, r in enumerate(x)], "id long, x array<double>, y array<double>, label int")
+    table = measures.row_table(p, 10)
+    assert table.filter("bands IS NOT NULL").count() <= table.rdd.getNumPartitions() < 9000 // 466
+    assert table.filter("i IS NOT NULL").count() == 9000
