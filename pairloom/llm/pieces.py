@@ -39,6 +39,7 @@ class Pieces:
         self.score = {p: scores[i] for i, p in enumerate(pieces) if i not in special}
         self.id = {p: i for i, p in enumerate(pieces) if i not in special}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.ends: dict[int, list[tuple[float, str]]] = {}
@@ -67,14 +68,18 @@ class Pieces:
 
     def _cuts(self) -> re.Pattern:
         """Parts that no piece spans: characters that are in no longer piece are alone, and a blank begins a part after
-        anything but a blank, unless some piece has one inside."""
+        anything but a blank, unless some piece has one inside. If no piece has a letter beside another character, such as a
+        point, a part ends between them, so that a word is the same part before any."""
         joined = {c for p in self.id if len(p) > 1 for c in p}
         inside = "".join(map(re.escape, sorted(joined - {BLANK})))
         if BLANK not in joined:
             return re.compile(f"[{inside}]+|[^{inside}]" if inside else ".", re.S)
         if any(BLANK in p.lstrip(BLANK) for p in self.id) or not inside:
             return re.compile(f"[{BLANK}{inside}]+|[^{BLANK}{inside}]", re.S)
-        return re.compile(f"{BLANK}+[{inside}]*|[{inside}]+|[^{BLANK}{inside}]", re.S)
+        letters, others = ("".join(map(re.escape, sorted(c for c in joined - {BLANK} if c.isalpha() == e))) for e in (True, False))
+        if not letters or not others or any(a.isalpha() != b.isalpha() for p in self.id for a, b in zip(p, p[1:]) if a != BLANK):
+            return re.compile(f"{BLANK}+[{inside}]*|[{inside}]+|[^{BLANK}{inside}]", re.S)
+        return re.compile(f"{BLANK}+(?:[{letters}]+|[{others}]*)|[{letters}]+|[{others}]+|[^{BLANK}{inside}]", re.S)
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether merging both pieces' texts side by side never joins them: their own merges go on in turn, the better
@@ -129,17 +134,22 @@ class Pieces:
         return array("i", out).tobytes()
 
     def encode(self, normal: str) -> bytes:
-        """The ids of a normalised text as 32-bit numbers. Parts that were met before are remembered, up to a bound."""
-        words, out = self.words, []
-        for part in self.cut.findall(normal):
-            ids = words.get(part)
+        """The ids of a normalised text as 32-bit numbers. Parts that were met before are remembered, up to a bound; those of the
+        bound before it are kept as well, so that frequent ones stay."""
+        words, parts = self.words, self.cut.findall(normal)
+        out = list(map(words.get, parts))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            part = parts[at]
+            ids = words.get(part)  # it may have been met earlier in this text
             if ids is None:
-                ids = self._part(part)
+                ids = self.older.get(part) or self._part(part)
                 if len(part) <= 64:
                     if len(words) >= self.remembered:
-                        words.clear()
+                        self.older, self.words = words, (words := {})
                     words[part] = ids
-            out.append(ids)
+            out[at] = ids
         return b"".join(out)
 
 

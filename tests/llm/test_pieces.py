@@ -67,3 +67,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = out.collect()
     assert len(got) == odd_docs.count() and all(r.decoded == (r.text or "") for r in got) and all(r["ids_"][-1] == 2 for r in got)
     assert pieces.digests(no_docs).count() == 0
+
+
+def test_a_word_is_one_part_before_any_point(sp):
+    """A word met before one mark is remembered before any other; parts of the bound before are, too."""
+    _, mine = pieces.library(MODEL)
+    assert mine.cut.findall("▁word.▁word,▁word(▁\"word\"") == ["▁word", ".", "▁word", ",", "▁word", "(", '▁"', "word", '"']
+    mine.remembered, mine.words, mine.older = 3, {}, {}
+    for t in ("one two three", "one four", "two. four, one!"):
+        assert memoryview(mine.encode(sp.normalize(t))).cast("i").tolist() == sp.encode(t)
+    assert {"▁one", "▁two", "▁four"} <= {*mine.words, *mine.older} and len(mine.words) <= 3
+
+
+def test_marks_stay_with_letters_where_a_piece_has_both():
+    v = pieces.Pieces(["<unk>", "a", ".", "▁", "a."], [0.0, -1.0, -1.0, -1.0, -2.0], {0}, 0, None)
+    assert memoryview(v.encode("▁a.a")).cast("i").tolist() == [3, 4, 1]
