@@ -1,7 +1,8 @@
 """Leading eigenpairs of doubly centred squared distances, without the matrix.
 
-A product with the matrix is a pass over pairs of blocks of points; its parts are summed by block. The basis stays with
-its blocks: the driver sees only its products with itself, some dozens of numbers squared.
+A product with the matrix takes the products of the points with the basis, summed over blocks, and then a pass over the blocks: it
+grows with the points, not with their pairs. The basis stays with its blocks: the driver sees only its products with itself, some
+dozens of numbers squared, and with the points.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _TYPES = {"b": pa.int32(), "id": pa.list_(pa.int64()), "x": _LIST, "k": _LIST, "
 
 
 def _mapped(state: DataFrame, each, schema: str) -> DataFrame:
-    """Applies ``each(b, id, k, w) -> columns`` to every block; ``w`` is None where the table has none."""
+    """Applies ``each(b, n, k, w, x) -> columns`` to every block of ``n`` points; ``w`` is None where the table has none."""
     has = "w" in state.columns
 
     def run(batches):
@@ -39,15 +40,16 @@ def _mapped(state: DataFrame, each, schema: str) -> DataFrame:
                 ids, k = _columns(batch, r, "id", "k")
                 n = len(ids)
                 w = _columns(batch, r, "w")[0].reshape(n, -1) if has else None
-                made = each(batch.column("b")[r].as_py(), n, k.reshape(n, -1) if len(k) else np.zeros((n, 0)), w)
-                yield _row({"b": batch.column("b")[r].as_py(), "id": ids, "x": _columns(batch, r, "x")[0], **made} if "id array" in schema else made, _TYPES)
+                x = _columns(batch, r, "x")[0]
+                made = each(batch.column("b")[r].as_py(), n, k.reshape(n, -1) if len(k) else np.zeros((n, 0)), w, x.reshape(n, -1))
+                yield _row({"b": batch.column("b")[r].as_py(), "id": ids, "x": x, **made} if "id array" in schema else made, _TYPES)
 
     return state.mapInArrow(run, schema)
 
 
 def _total(state: DataFrame, each, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over blocks of ``each(k, w)``, an array of ``shape``."""
-    parts = _mapped(state, lambda b, n, k, w: {"m": each(k, w).ravel()}, "m array<double>")
+    """The sum over blocks of ``each(k, w, x)``, an array of ``shape``."""
+    parts = _mapped(state, lambda b, n, k, w, x: {"m": each(k, w, x).ravel()}, "m array<double>")
     rows = parts.select(F.posexplode("m").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v")).collect()  # as many as the shape has
     out = np.zeros(int(np.prod(shape)))
     for p, v in rows:
@@ -55,31 +57,24 @@ def _total(state: DataFrame, each, shape: tuple[int, ...]) -> np.ndarray:
     return out.reshape(shape)
 
 
-def _product(state: DataFrame, blocks: int, width: int) -> DataFrame:
-    """``state`` with ``w``: squared distances times the last ``width`` columns of the basis. Each pair of blocks is met once."""
+def _product(state: DataFrame, width: int, mean: np.ndarray) -> DataFrame:
+    """``state`` with ``w``: squared distances times the last ``width`` columns of the basis.
 
-    def meet(batches):
-        for batch in batches:
-            for r in range(len(batch)):
-                b1, b2 = (batch.column(n)[r].as_py() for n in ("b1", "b2"))
-                x1, x2, k1, k2 = _columns(batch, r, "x1", "x2", "k1", "k2")
-                n1, n2 = len(batch.column("id1")[r]), len(batch.column("id2")[r])
-                x1, x2 = x1.reshape(n1, -1), x2.reshape(n2, -1)
-                q1, q2 = (k.reshape(n, -1)[:, -width:] for k, n in ((k1, n1), (k2, n2)))
-                d = np.maximum((x1 * x1).sum(1)[:, None] + (x2 * x2).sum(1)[None] - 2 * x1 @ x2.T, 0.0)
-                yield _row({"b": b1, "w": (d @ q2).ravel()}, _TYPES)
-                if b1 != b2:
-                    yield _row({"b": b2, "w": (d.T @ q1).ravel()}, _TYPES)
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(row.values.to_numpy() for c in group.column("w").chunks for row in c)
-        return pa.table({"b": pa.array([group.column("b")[0].as_py()], pa.int32()), "w": pa.array([total], _LIST)})
-
-    pairs = state.sparkSession.range(blocks).select(F.col("id").cast("int").alias("b1")).withColumn("b2", F.explode(F.sequence("b1", F.lit(blocks - 1))))
-    sides = [state.select(*[F.col(c).alias(f"{c}{e}") for c in ("b", "id", "x", "k")]) for e in (1, 2)]
-    met = pairs.join(sides[0], "b1").join(sides[1], "b2").repartition(max(1, min(blocks * (blocks + 1) // 2, 4096)), "b1", "b2")
-    sums = met.mapInArrow(meet, "b int, w array<double>").groupBy("b").applyInArrow(add, "b int, w array<double>")
-    return state.join(sums, "b")
+    With s the squared norms of centred points X, the squared distances are s 1' + 1 s' - 2 X X': three products of points with the
+    columns, summed over blocks, are all that a block needs of the others.
+    """
+
+    def met(k, w, x):
+        x, q = x - mean, k[:, -width:]
+        return np.vstack([x.T @ q, (x * x).sum(1) @ q, q.sum(0)])
+
+    t = _total(state, met, (len(mean) + 2, width))
+
+    def each(b, n, k, w, x):
+        x = x - mean
+        return {"k": k.ravel(), "w": ((x * x).sum(1)[:, None] * t[-1] + t[-2] - 2.0 * x @ t[:-2]).ravel()}
+
+    return _mapped(state, each, _STATE + ", w array<double>")
 
 
 def leading_pairs(points: DataFrame, dims: int = 2, tol: float = 1e-8, cycles: int = 60, steps: int = 8, seed: int = 0, block: int = BLOCK) -> tuple[list[float], DataFrame]:
@@ -99,13 +94,14 @@ def leading_pairs(points: DataFrame, dims: int = 2, tol: float = 1e-8, cycles: i
     rows = points.select("id", F.col("x").cast("array<double>").alias("x")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     packed = rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("r")).select("b", "r.id", F.flatten("r.x").alias("x"))
     blocks = max(1, blocks)
-    state = _mapped(packed.withColumn("k", F.array().cast("array<double>")), lambda b, m, k, w: {"k": np.random.default_rng([seed, b]).normal(size=(m, width)).ravel()}, _STATE)
+    state = _mapped(packed.withColumn("k", F.array().cast("array<double>")), lambda b, m, k, w, x: {"k": np.random.default_rng([seed, b]).normal(size=(m, width)).ravel()}, _STATE)
     state = cut_lineage(state)
+    middle = _total(state, lambda k, w, x: x.sum(0), (len((r := state.first())["x"]) // len(r["id"]),)) / n
 
     def based(s: DataFrame, mean: np.ndarray, through: np.ndarray, extend: bool, centre: np.ndarray | None = None) -> DataFrame:
         """The basis times ``through``, or extended by the last product's new directions."""
 
-        def each(b, m, k, w):
+        def each(b, m, k, w, x):
             if not extend:
                 return {"k": ((k - mean) @ through).ravel()}
             new = (-0.5 * (w - mean) - k @ centre) @ through
@@ -123,7 +119,7 @@ def leading_pairs(points: DataFrame, dims: int = 2, tol: float = 1e-8, cycles: i
     def orthonormal(s: DataFrame) -> DataFrame:
         m = len(s.first()["k"]) // len(s.first()["id"])
         for _ in range(2):  # once more, since the first turn is only as good as the Gram matrix
-            both = _total(s, lambda k, w: np.vstack([k.sum(0), k.T @ k]), (m + 1, m))
+            both = _total(s, lambda k, w, x: np.vstack([k.sum(0), k.T @ k]), (m + 1, m))
             mean, gram = both[0] / n, both[1:]
             turn = whitened(gram - n * np.outer(mean, mean))
             s, m = cut_lineage(based(s, mean, turn, False)), turn.shape[1]
@@ -136,12 +132,12 @@ def leading_pairs(points: DataFrame, dims: int = 2, tol: float = 1e-8, cycles: i
         width = len((r := first.first())["k"]) // len(r["id"])
         last = np.zeros((0, 0))
         for step in range(steps):
-            made = cut_lineage(_product(now, blocks, width))
+            made = cut_lineage(_product(now, width, middle))
             m = sum(widths) + width
-            both = _total(made, lambda k, w: np.vstack([w.sum(0), k.T @ w]), (1 + m, width))
+            both = _total(made, lambda k, w, x: np.vstack([w.sum(0), k.T @ w]), (1 + m, width))
             mean, kw = both[0] / n, -0.5 * both[1:]  # the basis has no part along the constant vector, so means drop out
             beyond = lambda k, w, mean=mean, kw=kw: -0.5 * (w - mean) - k @ kw
-            both = _total(made, lambda k, w, beyond=beyond: np.vstack([k.T @ (r := beyond(k, w)), r.T @ r]), (m + width, width))
+            both = _total(made, lambda k, w, x, beyond=beyond: np.vstack([k.T @ (r := beyond(k, w)), r.T @ r]), (m + width, width))
             kr, rr = both[:m], both[m:]
             h[step] = kw = kw + kr
             widths.append(width)
