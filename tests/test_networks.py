@@ -111,6 +111,8 @@ def test_neighbours_kept_is_a_share_of_the_degree(spark):
     pairs = spark.createDataFrame([(i, j, abs(at[i] - at[j])) for i in at for j in at if i < j], "i long, j long, d_lo double")
     # 0 keeps 1; 1 has near 0, 3 and keeps 0 of {0, 2}; 2 has near 3, 1 and keeps both; 3 has near 1, not 2.
     assert abs(graphs.neighbours_kept(e, pairs).first()[0] - (1 + 0.5 + 1 + 0) / 4) < 1e-12
+    points = spark.createDataFrame([(i, [v, 0.0]) for i, v in at.items()], "id long, y array<double>")
+    assert abs(graphs.neighbours_kept_of(e, points).first()[0] - (1 + 0.5 + 1 + 0) / 4) < 1e-12
 
 
 def test_distances_of_a_disconnected_graph_are_an_error(spark):
