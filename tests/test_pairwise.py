@@ -124,3 +124,11 @@ def test_counts_by_bands_come_once_a_task(spark):
     table = measures.row_table(p, 10)
     assert table.filter("bands IS NOT NULL").count() <= table.rdd.getNumPartitions() < 9000 // 466
     assert table.filter("i IS NOT NULL").count() == 9000
+
+
+def test_nearest_by_blocks_meets_a_pair_of_blocks_once(cloud):
+    """Blocks are few, so that a point is sent to few tiles."""
+    near = lambda df: {(r.i, r.j, r["rank"], r.d_hi) for r in df.collect()}
+    assert near(geo.nearest_by_blocks(cloud, 5, 2)) == near(geo.nearest(cloud, 5))
+    plan = geo.nearest_by_blocks(cloud, 5, 2)._jdf.queryExecution().executedPlan().toString()
+    assert f"{tiles.FEW * (tiles.FEW + 1) // 2})" in plan and tiles.dealt(cloud, ["x"], 2, most=tiles.FEW).count() == 78
