@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from pairloom.operators import bounds, measures, pairwise, temporal, tiles
+from pairloom.operators import bounds, measures, pairwise, temporal, tiles, truth
 from pairloom.operators import geometry as geo
 
 
@@ -132,3 +132,16 @@ def test_nearest_by_blocks_meets_a_pair_of_blocks_once(cloud):
     assert near(geo.nearest_by_blocks(cloud, 5, 2)) == near(geo.nearest(cloud, 5))
     plan = geo.nearest_by_blocks(cloud, 5, 2)._jdf.queryExecution().executedPlan().toString()
     assert f"{tiles.FEW * (tiles.FEW + 1) // 2})" in plan and tiles.dealt(cloud, ["x"], 2, most=tiles.FEW).count() == 78
+
+
+def test_rank_correlations_without_a_row_a_pair(cloud, monkeypatch):
+    p = cloud.filter("id < 40 or id >= 70")
+    want = geo.shepard(geo.pairs(p)).first()
+    level = truth.ultrametric_spearman(geo.pairs(p)).first()
+    monkeypatch.setattr(pairwise, "RANKED", 0)
+    monkeypatch.setattr(pairwise, "RANK_BANDS", 1 << 22)  # few pairs share a band
+    monkeypatch.setattr(geo, "pairs", None)  # not taken
+    got = pairwise.shepard(p).first()
+    assert math.isclose(got.pearson, want.pearson, rel_tol=1e-9) and math.isclose(got.spearman, want.spearman, rel_tol=1e-6)
+    got = pairwise.ultrametric_spearman(p).first()
+    assert got.n == level.n and math.isclose(got.spearman, level.spearman, abs_tol=1e-6)
